@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, media, mixing, quality, topk, warc
+from millrace.llm import langid, media, mixing, ngram_join, packing, quality, substring, topk, warc
 from millrace.llm.common import read, remainder
 
 WORD = mixing.WORD
 
 
+def tokenizer_path() -> str:
+    """The vocabulary of the public word-level tokenizer; it lies beside the installed libraries of every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), remainder("doc_id", 3) == 1)
 
@@ -20,10 +31,18 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_media(read(spark, sf_dir, "documents")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages_of(read(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -41,11 +60,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op2_quality": op2_quality, "op3_media": op3_media, "op5_mixing": op5_mixing, "op7_topk": op7_topk, "op9_warc": op9_warc, "op10_langid": op10_langid,
+        "op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_media": op3_media, "op4_packing": op4_packing, "op5_mixing": op5_mixing,
+        "op6_substring": op6_substring, "op7_topk": op7_topk, "op9_warc": op9_warc, "op10_langid": op10_langid,
     }
 
 
 SQL = {
+    "op1_ngram_join": r"""
+        with recursive d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+             s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) i from d)),
+             n as (select doc_id, count(*) n from s group by 1),
+             c as (select a.doc_id x, b.doc_id y, count(*) m from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+             l as (select x, y, m, a.n nx, b.n ny from c join n a on a.doc_id = x join n b on b.doc_id = y where 5 * m >= 4 * (a.n + b.n - m)),
+             r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x)
+        select d.doc_id, least(d.doc_id, coalesce((select min(y) from r where x = d.doc_id), d.doc_id)) class_id,
+               (select count(*) from l where x = d.doc_id) n_links, 1 + (select count(*) from l where x = d.doc_id and m = nx and m = ny) n_copies,
+               coalesce((select n from n where n.doc_id = d.doc_id), 0) n_shingles
+        from d""",
     "op5_mixing": rf"""
         with d as (select doc_id, coalesce('s' || source, 'n') s, source,
                           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
