@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.llm.common import stage
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,3 +67,19 @@ def mix_sources(docs: DataFrame, text: str = "text", weights: tuple[int, ...] =
     rest = total - passes * F.col("source_size") - F.col("_from") - F.col("_in")
     taken = passes * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
     return placed.select("doc_id", *keep, "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def take_mix(docs: DataFrame, text: str = "text", length: str | None = "n_chars", **options: object) -> DataFrame:
+    """docs as the mix of `mix_sources` takes them: rows repeated for each pass, the row at a source's cut shortened to the words taken, rows not taken left out.
+
+    A shortened text's words are joined by single spaces; the column `length`, if there is one, is set to its characters.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row"))
+    narrow = docs.select("doc_id", "source", F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_uid"))
+    taken = stage(mix_sources(narrow, "_text", keep=("_uid",), **options).where("taken > 0").select("_uid", "size", "taken"), "taken")
+    each = rows.join(taken, "_uid").withColumn("_left", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), i -> least(size, taken - i * size))")))
+    words = F.regexp_extract_all(F.col(f"_row.{text}"), F.lit(WORD), F.lit(0))
+    short = F.when(F.col("_left") < F.col("size"), F.array_join(F.slice(words, 1, F.col("_left").cast("int")), " ")).otherwise(F.col(f"_row.{text}"))
+    out = each.select("_row", short.alias("_text"))
+    columns = {text: F.col("_text")} | ({length: F.length("_text").cast(docs.schema[length].dataType)} if length in docs.columns else {})
+    return out.select(*[columns.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -283,17 +283,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def join(docs: DataFrame, text: str = "text", similarity: float = 0.8, recall: float = 0.9999, limit: int = 256, depth: int = 6, k: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies and n_shingles (and the columns named in keep) of every row of docs.
-
-    Rows are linked if the Jaccard similarity of their sets of k-word runs is at least `similarity`;
-    words end at ASCII white space, case counts. A text of 1 to k-1 words has one run, of all its
-    words; a null text or one without words has none, is linked to nothing and is its own class.
-    Classes are the components of the links; class_id is the least doc_id in it (nulls last).
-    n_links counts the other rows linked, copies among them; n_copies the rows with the same set.
-    Rows with equal or null doc_id count as rows of their own. An empty table gives an empty result.
-    """
-    docs = docs.withColumn("uid", F.monotonically_increasing_id())
+def classes(docs: DataFrame, text: str, similarity: float, recall: float, limit: int, depth: int, k: int) -> DataFrame:
+    """uid, doc_id, n, head (uid of the row that stands for the class), class_id, links and copies of every row of docs (uid, doc_id, text); the last four are null for rows without words."""
     rows = stage(describe(docs, text), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     full = rows.where("key is not null")
@@ -317,9 +308,35 @@ def join(docs: DataFrame, text: str = "text", similarity: float = 0.8, recall: f
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     member = components(linked.select("node", "root"))
     known = nodes.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min(F.struct("none", "least")).alias("c"))
-    result = known.join(least, "component").join(links, "node", "left").select("key", F.col("c.least").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    least = known.groupBy("component").agg(F.min(F.struct("none", "least", "node")).alias("c"))
+    result = known.join(least, "component").join(links, "node", "left").select("key", F.col("c.node").alias("head"), F.col("c.least").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     result = stage(result, "classes")
-    base = rows if not keep else rows.join(docs.select("uid", *keep), "uid")
-    out = base.withColumnRenamed("key", "k").join(result, F.col("k") == F.col("key"), "left")
-    return out.select("doc_id", *keep, F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.col("n").alias("n_shingles"))
+    return rows.withColumnRenamed("key", "k").join(result, F.col("k") == F.col("key"), "left").select("uid", "doc_id", "n", "head", "class_id", "links", "copies")
+
+
+def join(docs: DataFrame, text: str = "text", similarity: float = 0.8, recall: float = 0.9999, limit: int = 256, depth: int = 6, k: int = 5) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies and n_shingles of every row of docs.
+
+    Rows are linked if the Jaccard similarity of their sets of k-word runs is at least `similarity`;
+    words end at ASCII white space, case counts. A text of 1 to k-1 words has one run, of all its
+    words; a null text or one without words has none, is linked to nothing and is its own class.
+    Classes are the components of the links; class_id is the least doc_id in it (nulls last).
+    n_links counts the other rows linked, copies among them; n_copies the rows with the same set.
+    Rows with equal or null doc_id count as rows of their own. An empty table gives an empty result.
+    """
+    found = classes(with_uid(docs, text), "_text", similarity, recall, limit, depth, k)
+    own = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return found.select("doc_id", own.alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.col("n").alias("n_shingles"))
+
+
+def keep_first(docs: DataFrame, text: str = "text", similarity: float = 0.8, recall: float = 0.9999, limit: int = 256, depth: int = 6, k: int = 5) -> DataFrame:
+    """docs with one row of each class of `join` left: that with the least doc_id. Rows without words all stay."""
+    found = classes(with_uid(docs, text), "_text", similarity, recall, limit, depth, k)
+    gone = stage(found.where("head <> uid").select(F.col("uid").alias("_uid")), "duplicates")
+    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row"))
+    return rows.join(gone, "_uid", "left_anti").select("_row.*")
+
+
+def with_uid(docs: DataFrame, text: str) -> DataFrame:
+    """uid, doc_id and the text as _text; a row's uid is its place in the table's files."""
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col(text).alias("_text"))

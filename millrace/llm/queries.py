@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, media, mixing, ngram_join, packing, quality, substring, topk, warc
+from millrace.llm import hmm, langid, media, mixing, ngram_join, packing, quality, substring, topk, warc
 from millrace.llm.common import read, remainder
 
 WORD = mixing.WORD
@@ -47,6 +47,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(read(spark, sf_dir, "pages"))
 
@@ -61,7 +65,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_media": op3_media, "op4_packing": op4_packing, "op5_mixing": op5_mixing,
-        "op6_substring": op6_substring, "op7_topk": op7_topk, "op9_warc": op9_warc, "op10_langid": op10_langid,
+        "op6_substring": op6_substring, "op7_topk": op7_topk, "op8_hmm": op8_hmm, "op9_warc": op9_warc, "op10_langid": op10_langid,
     }
 
 
