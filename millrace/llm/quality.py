@@ -156,16 +156,18 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float
     return float(np.clip(((u_rate + wide)[ok] / p_rate[ok]).min(initial=1.0), 0.01, 0.99))
 
 
-def fit(rows: DataFrame, steps: int = 8, ridge: float = 1e-4, prior: float | None = None) -> QualityModel:
+def fit(rows: DataFrame, steps: int = 8, ridge: float = 1e-4, strength: float = 10.0, prior: float | None = None) -> QualityModel:
     """Fits a QualityModel to rows (x, positive): trusted positives and unlabelled texts; all rows count as a sample of the whole.
 
     First a logistic model tells positives from all rows; the class prior follows from its scores'
     tails, unless given. Then Newton steps with a search along the step lower the non-negative risk.
-    Without any positive row the model scores 0.5 everywhere.
+    Without any positive row the model scores 0.5 everywhere. Weights are drawn to 0 by `ridge`, or
+    by strength / rows where rows are few; the strength was chosen on a split of training rows.
     """
     d = len(NAMES)
     m = _sums(rows, lambda x, p: np.concatenate([x.sum(0), (x * x).sum(0), [len(x), p.sum()]]), 2 * d + 2)
     n, n_pos = max(m[2 * d], 1), m[2 * d + 1]
+    ridge = max(ridge, strength / n)
     mean = m[:d] / n
     deviation = np.sqrt(np.maximum(m[d : 2 * d] / n - mean**2, 0))
     model = QualityModel(mean, np.where(deviation > 1e-9, deviation, 1.0), np.zeros(d + 1), 0.5)
