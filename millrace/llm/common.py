@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,6 +35,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW_BY_ROW = re.compile(r"[\s:+|-]*(Project|Filter|Relation|LogicalRDD|LocalRelation)\b")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df itself if it reads a table row by row, else written and read again.
+
+    Rows are told apart by their place (monotonically_increasing_id), which must be the same in every
+    plan that reads them; after a shuffle or a limit it need not be.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString().rstrip().split("\n")
+    return df if all(ROW_BY_ROW.match(line) for line in plan) else stage(df, "settled")
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text (remainder 0)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

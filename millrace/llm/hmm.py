@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stage
+from millrace.llm.common import settled, stage
 from millrace.llm.text import U, mix, slices, string_bytes, word_hashes, word_spans
 
 RARE = 4096
@@ -235,7 +235,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", steps: int = 5,
     log10((c + 0.5) / (N + 0.5 * (V + 1))). A null text is an empty one and has the end alone. Rows
     with equal or null ids are scored each. Without training rows, classes are equally likely. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", held_out.alias("held_out"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("uid"))
+    docs = settled(docs).select("doc_id", held_out.alias("held_out"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("uid"))
     train_docs = docs.where(~F.col("held_out"))
     counts = count_words(train_docs, "t")
     n_docs = train_docs.count()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stage
+from millrace.llm.common import settled, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,6 +74,7 @@ def take_mix(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
 
     A shortened text's words are joined by single spaces; the column `length`, if there is one, is set to its characters.
     """
+    docs = settled(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row"))
     narrow = docs.select("doc_id", "source", F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_uid"))
     taken = stage(mix_sources(narrow, "_text", keep=("_uid",), **options).where("taken > 0").select("_uid", "size", "taken"), "taken")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stage
+from millrace.llm.common import settled, stage
 from millrace.llm.text import U, mix, shingle_hashes, text_words
 
 COORDS = 64
@@ -324,13 +324,14 @@ def join(docs: DataFrame, text: str = "text", similarity: float = 0.8, recall: f
     n_links counts the other rows linked, copies among them; n_copies the rows with the same set.
     Rows with equal or null doc_id count as rows of their own. An empty table gives an empty result.
     """
-    found = classes(with_uid(docs, text), "_text", similarity, recall, limit, depth, k)
+    found = classes(with_uid(settled(docs), text), "_text", similarity, recall, limit, depth, k)
     own = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return found.select("doc_id", own.alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.col("n").alias("n_shingles"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", similarity: float = 0.8, recall: float = 0.9999, limit: int = 256, depth: int = 6, k: int = 5) -> DataFrame:
     """docs with one row of each class of `join` left: that with the least doc_id. Rows without words all stay."""
+    docs = settled(docs)
     found = classes(with_uid(docs, text), "_text", similarity, recall, limit, depth, k)
     gone = stage(found.where("head <> uid").select(F.col("uid").alias("_uid")), "duplicates")
     rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_path, stage
+from millrace.llm.common import settled, shared_path, stage
 
 END = b"\r\n\r\n"
 CHUNK = 8192
@@ -76,7 +76,7 @@ def with_digests(pages: DataFrame, least: int = 1000) -> DataFrame:
     they are a written table, so the planner broadcasts them only if it sees that they are small.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", body.alias("html")).select("*", F.monotonically_increasing_id().alias("uid"), F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1("html").alias("payload_digest"))
+    rows = settled(pages).select("page_id", "url", body.alias("html")).select("*", F.monotonically_increasing_id().alias("uid"), F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1("html").alias("payload_digest"))
     last = F.max(F.struct("page_id", "uid")).alias("last")
     again = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("d")).agg(last, F.count("*").alias("n")).where("n > 1")
     again = stage(again.select("d", F.col("last.page_id").alias("to"), F.col("last.uid").alias("to_uid")), "copies")
