@@ -84,7 +84,8 @@ class Expression:
                 return F.lit(node.value)
             case ast.Subscript(value=ast.Name(id=name), slice=ast.Constant(value=str(key))) if name in self.names:
                 return self.field(key)
-            case ast.Subscript(slice=ast.Constant(value=int(at))):
+            case ast.Subscript(slice=ast.Constant(value=int()) | ast.UnaryOp(op=ast.USub(), operand=ast.Constant(value=int()))):
+                at = ast.literal_eval(node.slice)
                 return F.try_element_at(self.visit(node.value), F.lit(at + 1 if at >= 0 else at))
             case ast.Attribute(value=ast.Name(id=name), attr=key) if name in self.names:
                 return self.field(key)
