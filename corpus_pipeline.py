@@ -16,9 +16,8 @@ LEAST_SURE = 0.1
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, without text or in no known language; learns from the documents' lang."""
     model = langid.fit(docs.where(remainder("doc_id", 4) != 2))
-    own = docs.select(F.col("text").alias("_text"), F.struct("*").alias("_row"))
-    judged = langid.predict(own, model, "_text")
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select("_row.*")
+    judged = langid.predict(docs, model, names=("_lang", "_sure"))
+    return judged.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_sure") >= LEAST_SURE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ are set). A text's hits are counted per language, corrected for false positives,
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stage
 from millrace.llm.text import mix, slices, string_bytes
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\pL"
 UNKNOWN = "und"
 MASK_BITS = 63
 BLOCK = 4096
@@ -183,26 +182,26 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", positions_log2:
     return LanguageFilter(langs, masks, fill, hashes, langs.index(max(langs, key=lambda x: (learned[x], x))))
 
 
-def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to every row of docs; columns of these names are replaced.
+def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and the score to every row of docs, under these names; columns that have them are replaced.
 
     A null text, or one without a letter, gets `und` and score 0, as does every text if no language
     was learned. A text none of whose n-grams is known gets the most frequent language, score 0.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its number of positions
     at = docs.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = np.array([*model.langs, UNKNOWN], object)
+        all_langs = np.array([*model.langs, UNKNOWN], object)
         for batch in batches:
             best, sure = np.full(batch.num_rows, len(model.langs)), np.zeros(batch.num_rows)
             if model.langs:
                 for i, j, codes, offs in grams(batch.column(at)):
                     best[i:j], sure[i:j] = model.decide(codes, offs)
-                dumb = np.array([x is None or LETTER.search(x) is None for x in batch.column(at).to_pylist()], bool)
+                dumb = ~pc.fill_null(pc.match_substring_regex(batch.column(at), LETTER), False).to_numpy(zero_copy_only=False)
                 best[dumb], sure[dumb] = len(model.langs), 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(sure)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(all_langs[best], pa.string()), pa.array(sure)], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(score, docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    return docs.mapInArrow(score, docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema)

@@ -28,6 +28,7 @@ from millrace.llm.text import U, mix, shingle_hashes, text_words
 
 COORDS = 64
 DRAWN = 2
+BLOCK = 1024
 _SALT = mix(np.arange(COORDS, dtype=U), 77) | U(1)
 
 
@@ -123,9 +124,9 @@ def leaves(nodes: DataFrame, similarity: float, recall: float, limit: int, depth
     return out
 
 
-def deal(leaf: DataFrame, limit: int) -> DataFrame:
-    """Adds bucket and side: a leaf over the limit becomes pairs of blocks; in a bucket of two blocks, sides 1 and 2 are compared with each other."""
-    blocks = F.ceil(F.col("n") / limit).cast("int")
+def deal(leaf: DataFrame, block: int) -> DataFrame:
+    """Adds bucket and side: a leaf over `block` members becomes pairs of blocks; in a bucket of two blocks, sides 1 and 2 are compared with each other."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
     rows = leaf.withColumn("_b", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     lo, hi = F.least("_b", "_j"), F.greatest("_b", "_j")
     side = F.when(lo == hi, 0).when(F.col("_b") == lo, 1).otherwise(2)
@@ -292,8 +293,9 @@ def classes(docs: DataFrame, text: str, similarity: float, recall: float, limit:
     nodes = stage(nodes.select("key", F.col("o.uid").alias("node"), F.col("o.doc_id").alias("least"), F.col("o.none").alias("none"), "copies", "sketch"), "nodes")
     leaf = stage(leaves(nodes, similarity, recall, limit, depth).distinct(), "leaves")
     lists = leaf.groupBy("node").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    dealt = deal(leaf, limit)
-    found = stage(candidates(dealt.join(nodes.select("node", "sketch"), "node").join(lists, "node"), similarity), "candidates")
+    about = stage(lists.join(nodes.select("node", "copies", "sketch"), "node"), "members")
+    dealt = deal(leaf.join(about.drop("copies"), "node"), BLOCK)
+    found = stage(candidates(dealt, similarity), "candidates")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +306,7 @@ def classes(docs: DataFrame, text: str, similarity: float, recall: float, limit:
 
     wanted = found.select("node").distinct()
     texts = docs.select(F.col("uid").alias("node"), F.col(text).alias("t")).join(wanted, "node", "left_semi").mapInArrow(shingles, "node long, shingles binary")
-    linked = stage(verify(found.join(lists, "node").join(nodes.select("node", "copies"), "node").join(texts, "node"), similarity), "links")
+    linked = stage(verify(found.join(about.drop("sketch").join(texts, "node"), "node"), similarity), "links")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     member = components(linked.select("node", "root"))
     known = nodes.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -14,7 +14,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,34 +22,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stage
+from millrace.llm.text import slices, string_bytes, word_hashes, word_spans
 
 SIZE = 4096
 END_ID = 2
 FAN_IN = 64
 
 
-ASCII_RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+LETTERS = re.compile(rb"[a-z]+")
+KIND = np.full(256, 2, np.uint8)  # of ASCII bytes: letters, digits, others
+KIND[ord("a") : ord("z") + 1] = 0
+KIND[ord("0") : ord("9") + 1] = 1
+MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 
 
-def word_runs(word: bytes) -> list[bytes]:
-    """Parts of a word that the tokenizer never joins: runs of letters, digits and the rest, told apart only where no rule for apostrophes, special tokens or composed letters can apply."""
-    if b"'" in word or b"<|" in word:
-        return [word]
-    if word.isascii():
-        return ASCII_RUNS.findall(word.lower())
-    text = word.decode()
-    core = text.rstrip(".,;:!?")
-    return [core.encode(), text[len(core) :].encode()] if core != text and core[-1:].isalpha() else [word]
+def _inside(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of `size` bytes lie in the spans."""
+    edge = np.zeros(size + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
+def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, starts and ends of parts of words that the tokenizer never joins, and the offsets of the rows.
+
+    Words of ASCII bytes are parted into runs of letters, single digits and runs of the rest. A word
+    with an apostrophe (contractions), a < (special tokens, which keep their case) or other letters
+    is one part, but for a mark after an ASCII letter at its end.
+    """
+    s, e, _ = word_spans(data, offs)
+    odd, angle = (data >= 128) | (data == 0x27) | (data == 0x3C), data == 0x3C
+    count = lambda flags: (lambda c: c[e] - c[s])(np.concatenate([[0], np.cumsum(flags)]))
+    with_odd, with_angle = count(odd) > 0, count(angle) > 0
+    lower = data.copy()
+    upper = (data >= 65) & (data <= 90) & ~_inside(len(data), s[with_angle], e[with_angle])
+    lower[upper] += 32
+    kind = KIND[lower]
+    start = np.zeros(len(data), bool)
+    start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+    start &= _inside(len(data), s[~with_odd], e[~with_odd])
+    plain_end = e[with_odd & (count(angle | (data == 0x27)) == 0)] - 1
+    plain_end = plain_end[MARKS[data[plain_end]] & (plain_end > 0)]
+    start[plain_end[KIND[lower[plain_end - 1]] == 0]] = True
+    start[s] = True
+    us = np.flatnonzero(start)
+    ue = np.minimum(np.append(us[1:], len(data)), e[np.searchsorted(s, us, side="right") - 1]) if len(us) else us
+    return lower, us, ue, np.searchsorted(us, offs)
 
 
 class WordTokens:
     """Ids of whole texts by a tokenizer whose words are independent of the white space between them.
 
-    White space is dropped by the tokenizer and no token spans it, so a text's ids are those of its
-    words in turn. Words seen before are looked up; the table is emptied when it holds `limit` words.
+    White space is dropped by the tokenizer and no token spans it, so a text's ids are those of the
+    parts of its words in turn. Parts seen before are looked up by a 64-bit hash; the table is
+    emptied when it holds `limit` parts.
     """
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,63 +88,76 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.runs: dict[bytes, list[int]] = {}
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.pool, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def learn(self, words: list[bytes]) -> None:
-        runs = [word_runs(w) for w in words]
-        new = list({r for x in runs for r in x} - self.runs.keys())
-        barred = [x for x in new if b"|" in x]
-        self.runs.update(zip(barred, (self.encode([x])[0] if x != b"|" else self.bar for x in barred), strict=True))
-        new = [x for x in new if b"|" not in x]
-        for a in range(0, len(new), 512):
-            some = new[a : a + 512]
-            self.runs.update(zip(some, self.encode(some), strict=True))
-        found = [self.runs[x[0]] if len(x) == 1 else [i for r in x for i in self.runs[r]] for x in runs]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        n = len(self.known)
+        self.used = self.known = 0
+
+    def learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
+        """Adds parts, whose hashes are keys, in order."""
+        found = self.encode(parts)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        n = self.known
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(words) > len(self.starts):
+        while n + len(parts) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(words)] = sizes
-        self.used += len(flat)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, from one call for all: a bar, which has one id of its own, stands between them."""
-        text = " | ".join(w.decode() for w in words)
-        if len(self.bar) != 1 or len(words) == 1 or text.count("|") != len(words) - 1:
-            return [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        out: list[list[int]] = [[]]
-        for i in self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids:
-            if i == self.bar[0]:
-                out.append([])
+        self.starts[n : n + len(parts)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(parts)] = sizes
+        self.used, self.known = self.used + len(flat), n + len(parts)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, np.arange(n, n + len(parts)))
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word. Runs of plain lower-case letters go straight to the tokenizer's model, as nothing before it changes them; others are encoded, many at once with a bar, which has one id of its own, between them."""
+        model, out = self.tokenizer.model, [b""] * len(words)
+        other, alone = [], []
+        for i, w in enumerate(words):
+            if LETTERS.fullmatch(w):
+                out[i] = np.array([t.id for t in model.tokenize(w.decode())], np.uint32).tobytes()
+            elif b"|" in w or len(self.bar) != 1:
+                alone.append(i)
             else:
-                out[-1].append(i)
+                other.append(i)
+        for a in range(0, len(other), 512):
+            some = other[a : a + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(words[i].decode() for i in some)], add_special_tokens=False)[0].ids, np.uint32)
+            bars = np.flatnonzero(ids == self.bar[0])
+            data = ids.tobytes()
+            for i, x, y in zip(some, [0, *(bars + 1).tolist()], [*bars.tolist(), len(ids)], strict=True):
+                out[i] = data[4 * x : 4 * y]
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([words[i].decode() for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32).tobytes()
         return out
 
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        words = [w for x in split for w in x]
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        miss = np.flatnonzero(at < 0).tolist()
-        if miss:
-            if len(self.known) + len(miss) > self.limit:
-                self.clear()
-                miss = list(range(len(words)))
-            self.learn(list({words[i] for i in miss}))
-            at[miss] = [self.known[words[i]] for i in miss]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        flat = self.pool[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Places of sorted keys, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.place[at], -1)
+
+    def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each row; a null text has none."""
+        buf, offs = string_bytes(column)
+        for i, j in slices(offs):
+            data, us, ue, rows = units(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            keys, first, where = np.unique(word_hashes(data, us, ue), return_index=True, return_inverse=True)
+            at = self.look_up(keys)
+            new = np.flatnonzero(at < 0)
+            if len(new):
+                if self.known + len(new) > self.limit and self.known:
+                    self.clear()
+                    new = np.arange(len(keys))
+                self.learn(keys[new], [data[a:b].tobytes() for a, b in zip(us[first[new]].tolist(), ue[first[new]].tolist(), strict=True)])
+                at = self.look_up(keys)
+            at = at[where]
+            sizes = self.sizes[at]
+            ends = np.cumsum(sizes)
+            flat = self.pool[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+            bounds = np.concatenate([[0], ends])[rows]
+            yield from (flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
 
 
 @lru_cache(maxsize=1)
@@ -235,11 +277,9 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", windows: int = 32)
         kind = None
         for batch in batches:
             kind = batch["doc_id"].type
-            for a in range(0, batch.num_rows, 128):
-                some = batch.slice(a, 128)
-                for doc_id, ids in zip(some["doc_id"].to_pylist(), tokens.ids([t or b"" for t in some["t"].to_pylist()]), strict=True):
-                    packer.add(doc_id, np.append(ids, np.uint32(END_ID)))
-                if packer.done:
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), tokens.ids(batch["t"]), strict=True):
+                packer.add(doc_id, np.append(ids, np.uint32(END_ID)))
+                if len(packer.done) >= 64:
                     yield _batch(_rows(packer.done, part, part << 28 | number), kind)
                     number += len(packer.done)
                     packer.done = []
