@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD6E8FEB86659FD93
 
@@ -82,7 +82,7 @@ def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words' bytes, from one running sum."""
     if not len(s):
         return np.zeros(0, U)
-    up, down = _powers(1 << max(21, int(len(buf)).bit_length()))
+    up, down = _powers(1 << max(20, int(len(buf)).bit_length()))
     total = np.zeros(len(buf) + 1, U)
     np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], out=total[1:])
     return mix((total[e] - total[s]) * down[s])
