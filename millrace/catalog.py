@@ -206,7 +206,7 @@ def filter_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter_rows(table(spark, sf_dir, "documents"), CONDITION)[1].select("doc_id")
 
 
-@query("select event_id from events where not coalesce(try_cast(event_type as bigint) >= 0, false) and not coalesce(user_id % 3 = 0, false)")
+@query("select event_id from events where case when try_cast(event_type as bigint) is null then true else not (try_cast(event_type as bigint) >= 0 or user_id % 3 = 0) end")
 def filter_error_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter_rows(table(spark, sf_dir, "events"), "int(item['event_type']) >= 0 or item['user_id'] % 3 == 0")[1].select("event_id")
 

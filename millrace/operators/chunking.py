@@ -12,10 +12,10 @@ from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import words
+from millrace.operators.rows import running
 
 DEFAULT_SEPARATORS = "\\n\\n,\\n,. , , "  # fixed: as written in settings, backslashes escaped
 
@@ -29,13 +29,6 @@ def windows(tokens: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda i: F.slice(tokens, i + 1, size))
 
 
-def _indexed(pieces: DataFrame, doc: str) -> DataFrame:
-    """chunk_index over all documents in order of doc: pieces (doc, local, ...) plus the chunks of the documents before."""
-    before = W.orderBy(doc).rowsBetween(W.unboundedPreceding, -1)
-    starts = pieces.groupBy(doc).agg(F.count("*").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return pieces.join(starts, doc).withColumn("chunk_index", F.col("_s") + F.col("local")).drop("_s")
-
-
 def chunk_tokens(docs: DataFrame, doc: str, text: str = "text", size: int = 512, overlap: int = 50, unit: str = "words", encode: Callable[[str], Sequence[int]] | None = None, decode: Callable[[Sequence[int]], str] | None = None) -> DataFrame:
     """doc, local, text and chunk_tokens for windows over words, characters or the tokens of an encoding that is passed in."""
     if unit == "words":
@@ -57,7 +50,10 @@ def chunk_tokens(docs: DataFrame, doc: str, text: str = "text", size: int = 512,
 
 
 def with_index(chunks: DataFrame, doc: str) -> DataFrame:
-    return _indexed(chunks, doc)
+    """Adds chunk_index over all documents in order of doc: local plus the chunks of the documents before."""
+    counts = chunks.groupBy(doc).agg(F.count("*").alias("_n"))
+    starts = running(counts, [doc], F.col("_n"), "_s").select(doc, "_s")
+    return chunks.join(starts, doc).withColumn("chunk_index", F.col("_s") + F.col("local")).drop("_s")
 
 
 def unescape(separators: str) -> list[str]:

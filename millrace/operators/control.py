@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.rows import in_ranges
+
 # The states that may follow each state.
 RUN_STATES = {
     "pending": ("running", "cancelled", "failed"),
@@ -48,29 +52,51 @@ def finish(jobs: DataFrame, job_id: str, owner: str, status: str) -> DataFrame:
     return jobs.withColumn("status", F.when(held, F.lit(status)).otherwise(F.col("status"))).withColumn("lease_owner", F.when(held, F.lit(None)).otherwise(F.col("lease_owner")))
 
 
+def stretches(rows: DataFrame, key: str, at: str, order: str, seconds: int) -> DataFrame:
+    """Adds _stretch: the number of a run of rows of one key without a pause longer than `seconds`.
+
+    Rows are sorted in ranges of (key, at, order), not gathered by key; what comes before a range is
+    read off the last row of the range before, from a table of one row for each range.
+    """
+    ranged = in_ranges(rows, [key, at, order])
+    by = W.partitionBy("_p").orderBy(key, at, order)
+    last = ranged.groupBy("_p").agg(F.max(F.struct(key, at)).alias("_last"))
+    ends = last.select("_p", F.lag("_last").over(W.orderBy("_p")).alias("_end"))
+    known = ranged.withColumn("_before", F.lag(F.struct(key, at)).over(by)).join(F.broadcast(ends), "_p").withColumn("_before", F.coalesce("_before", "_end"))
+    pause = F.col(f"_before.{at}") < F.col(at) - F.expr(f"interval {seconds} seconds")
+    new = F.when(~F.col(f"_before.{key}").eqNullSafe(F.col(key)) | F.col("_before").isNull() | pause, 1).otherwise(0)
+    marked = known.withColumn("_new", new)
+    starts = marked.groupBy("_p").agg(F.sum("_new").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    inside = F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0))
+    return marked.withColumn("_n", inside).join(F.broadcast(starts), "_p").withColumn("_stretch", F.col("_s") + F.col("_n")).drop("_p", "_end", "_before", "_new", "_n", "_s")
+
+
 def accept_deliveries(deliveries: DataFrame, key: str, at: str, order: str, limit: int, seconds: int = 60) -> DataFrame:
     """deliveries with accepted: fewer than `limit` accepted ones of the key lie in the seconds up to it.
 
-    Only accepted ones count, so each depends on those before: a pass in time order over each key.
-    The state is a deque of at most `limit` times, whatever the key's length; a key is streamed in
-    Arrow batches of its partition, sorted, not gathered.
+    Only accepted ones count, so each depends on those before: a pass in time order. After a pause
+    longer than the seconds nothing is held, so a key is cut there and its parts are dealt apart; a
+    key without such a pause is one part. The state is a deque of at most `limit` times; a part is
+    streamed in Arrow batches, sorted, not gathered. Null keys are one key.
     """
     schema = deliveries.withColumn("accepted", F.lit(False)).schema
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, held_key = [], None
+        held, stretch, window = deque(), None, pd.Timedelta(seconds=seconds)
         for part in parts:
             verdict = []
-            for k, t in zip(part[key], part[at], strict=True):
-                if k != held_key:
-                    held, held_key = [], k
-                held = [x for x in held if x >= t - pd.Timedelta(seconds=seconds)]
+            for k, t in zip(part["_stretch"], part[at], strict=True):
+                if k != stretch:
+                    held, stretch = deque(), k
+                while held and held[0] < t - window:
+                    held.popleft()
                 verdict.append(len(held) < limit)
                 if verdict[-1]:
                     held.append(t)
-            yield part.assign(accepted=verdict)
+            yield part.drop(columns="_stretch").assign(accepted=verdict)
 
-    return deliveries.repartition(key).sortWithinPartitions(key, at, order).mapInPandas(run, schema)
+    dealt = stretches(deliveries, key, at, order, seconds).select("_stretch", *deliveries.columns)
+    return dealt.repartition("_stretch").sortWithinPartitions("_stretch", at, order).mapInPandas(run, schema)
 
 
 def lineage(rows: DataFrame, source: str, target: str, sample: int = 3) -> DataFrame:

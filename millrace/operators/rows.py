@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,170 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Functions that expressions may call.
-ALLOWED = ("len", "str", "int", "float", "bool", "abs", "min", "max", "sum", "any", "all", "list", "dict", "set", "tuple", "round", "enumerate", "range", "zip")
-
-
-class Expression:
-    """A condition or value in Python's syntax over `item`, as a column over a schema.
-
-    item['a'], item.a and item.get('a') are columns. Errors in a row (a cast that fails, a missing
-    value compared) give null. What can't be a column raises ValueError when the plan is made.
-    """
-
-    def __init__(self, schema: T.StructType, names: Sequence[str] = ("item", "data", "input")) -> None:
-        self.fields, self.names = {f.name: f.dataType for f in schema.fields}, names
-
-    def column(self, text: str) -> Column:
-        if not text.strip():
-            raise ValueError("an empty expression")
-        return self.visit(ast.parse(text.strip(), mode="eval").body)
-
-    def condition(self, text: str) -> Column:
-        """True where the expression is true or truthy; never null."""
-        node = ast.parse(text.strip(), mode="eval").body if text.strip() else None
-        if node is None:
-            raise ValueError("an empty expression")
-        return F.coalesce(self.truth(node), F.lit(False))
-
-    def field(self, name: str) -> Column:
-        if name.startswith("_"):
-            raise ValueError(f"{name}: names that start with _ are not allowed")
-        return F.col(f"`{name}`") if name in self.fields else F.lit(None)
-
-    def truth(self, node: ast.AST) -> Column:
-        if isinstance(node, ast.Compare) or isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            return self.visit(node)
-        if isinstance(node, ast.BoolOp):
-            parts = [self.truth(v) for v in node.values]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out & p if isinstance(node.op, ast.And) else out | p
-            return out
-        value = self.visit(node)
-        kind = self.kind(node)
-        if kind == "string":
-            return F.length(value) > 0
-        if kind == "boolean":
-            return value
-        if kind in ("array", "map"):
-            return F.size(value) > 0
-        return value != 0
-
-    def kind(self, node: ast.AST) -> str:
-        """string, boolean, array, map or number."""
-        name = None
-        if isinstance(node, ast.Subscript) and isinstance(node.slice, ast.Constant):
-            name = node.slice.value
-        elif isinstance(node, ast.Attribute):
-            name = node.attr
-        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "get" and node.args:
-            name = getattr(node.args[0], "value", None)
-        if name in self.fields:
-            return self.fields[name].typeName()
-        if isinstance(node, ast.Constant):
-            return "boolean" if isinstance(node.value, bool) else "string" if isinstance(node.value, str) else "number"
-        if isinstance(node, ast.Call):
-            called = node.func.attr if isinstance(node.func, ast.Attribute) else getattr(node.func, "id", "")
-            return "boolean" if called in ("startswith", "endswith", "bool") else "string" if called in ("lower", "upper", "strip", "replace", "str", "lstrip", "rstrip", "title") else "array" if called == "split" else "number"
-        return "number"
-
-    def visit(self, node: ast.AST) -> Column:
-        match node:
-            case ast.Constant():
-                return F.lit(node.value)
-            case ast.Subscript(value=ast.Name(id=name), slice=ast.Constant(value=str(key))) if name in self.names:
-                return self.field(key)
-            case ast.Subscript(slice=ast.Constant(value=int()) | ast.UnaryOp(op=ast.USub(), operand=ast.Constant(value=int()))):
-                at = ast.literal_eval(node.slice)
-                return F.try_element_at(self.visit(node.value), F.lit(at + 1 if at >= 0 else at))
-            case ast.Attribute(value=ast.Name(id=name), attr=key) if name in self.names:
-                return self.field(key)
-            case ast.BoolOp() | ast.UnaryOp(op=ast.Not()):
-                return ~self.truth(node.operand) if isinstance(node, ast.UnaryOp) else self.truth(node)
-            case ast.UnaryOp(op=ast.USub()):
-                return -self.visit(node.operand)
-            case ast.BinOp():
-                return self.arithmetic(node)
-            case ast.IfExp():
-                return F.when(self.truth(node.test), self.visit(node.body)).otherwise(self.visit(node.orelse))
-            case ast.Compare():
-                out, left = None, node.left
-                for op, right in zip(node.ops, node.comparators, strict=True):
-                    one = self.compare(op, left, right)
-                    out, left = one if out is None else out & one, right
-                return out
-            case ast.Call():
-                return self.call(node)
-            case ast.JoinedStr():
-                return F.concat(*[self.visit(v.value).cast("string") if isinstance(v, ast.FormattedValue) else self.visit(v) for v in node.values])
-        raise ValueError(f"{ast.unparse(node)}: not supported")
-
-    def arithmetic(self, node: ast.BinOp) -> Column:
-        a, b = self.visit(node.left), self.visit(node.right)
-        match node.op:
-            case ast.Add():
-                return F.concat(a, b) if "string" in (self.kind(node.left), self.kind(node.right)) else F.try_add(a, b)
-            case ast.Sub():
-                return F.try_subtract(a, b)
-            case ast.Mult():
-                return F.try_multiply(a, b)
-            case ast.Div():
-                return F.try_divide(a.cast("double"), b)
-            case ast.FloorDiv():
-                return F.floor(F.try_divide(a.cast("double"), b))
-            case ast.Mod():
-                return F.when(b != 0, F.pmod(a, b))
-        raise ValueError(f"{ast.unparse(node)}: not supported")
-
-    def compare(self, op: ast.cmpop, left: ast.AST, right: ast.AST) -> Column:
-        if isinstance(op, ast.In | ast.NotIn):
-            if isinstance(right, ast.List | ast.Tuple | ast.Set):
-                found = self.visit(left).isin(*[ast.literal_eval(x) for x in right.elts])
-            elif self.kind(right) == "array":
-                found = F.array_contains(self.visit(right), self.visit(left))
-            else:
-                found = F.contains(self.visit(right), self.visit(left))
-            return ~found if isinstance(op, ast.NotIn) else found
-        if isinstance(op, ast.Is | ast.IsNot):
-            none = self.visit(left).isNull()
-            return ~none if isinstance(op, ast.IsNot) else none
-        a, b = self.visit(left), self.visit(right)
-        kinds = {self.kind(left), self.kind(right)}
-        if kinds >= {"string"} and len(kinds) > 1 and not isinstance(op, ast.Eq | ast.NotEq):
-            return F.lit(None).cast("boolean")  # an order between text and number is an error in every row
-        return {ast.Eq: a == b, ast.NotEq: a != b, ast.Lt: a < b, ast.LtE: a <= b, ast.Gt: a > b, ast.GtE: a >= b}[type(op)]
-
-    def call(self, node: ast.Call) -> Column:
-        if isinstance(node.func, ast.Attribute):
-            name, of = node.func.attr, node.func.value
-            if name == "get" and isinstance(of, ast.Name) and of.id in self.names:
-                value = self.field(ast.literal_eval(node.args[0]))
-                return F.coalesce(value, self.visit(node.args[1])) if len(node.args) > 1 else value
-            args, me = [self.visit(a) for a in node.args], self.visit(of)
-            made = {
-                "lower": lambda: F.lower(me), "upper": lambda: F.upper(me), "strip": lambda: F.trim(me), "lstrip": lambda: F.ltrim(me), "rstrip": lambda: F.rtrim(me), "title": lambda: F.initcap(me),
-                "startswith": lambda: F.startswith(me, *args), "endswith": lambda: F.endswith(me, *args), "replace": lambda: F.replace(me, *args), "find": lambda: F.instr(me, *args) - 1,
-                "split": lambda: F.split(F.trim(me), r"\s+") if not args else F.split(me, F.concat(F.lit("\\Q"), args[0], F.lit("\\E"))), "count": lambda: F.regexp_count(me, F.concat(F.lit("\\Q"), args[0], F.lit("\\E"))),
-            }
-            if name in made:
-                return made[name]()
-            raise ValueError(f".{name}() is not supported")
-        name = getattr(node.func, "id", "")
-        if name not in ALLOWED:
-            raise ValueError(f"{name}() is not allowed")
-        args = [self.visit(a) for a in node.args]
-        if name == "len":
-            return F.size(args[0]) if self.kind(node.args[0]) in ("array", "map") else F.length(args[0])
-        made = {
-            "str": lambda: args[0].cast("string"), "int": lambda: args[0].try_cast("double").try_cast("long") if self.kind(node.args[0]) != "string" else args[0].try_cast("long"), "float": lambda: args[0].try_cast("double"), "bool": lambda: self.truth(node.args[0]),
-            "abs": lambda: F.abs(args[0]), "min": lambda: F.least(*args) if len(args) > 1 else F.array_min(args[0]), "max": lambda: F.greatest(*args) if len(args) > 1 else F.array_max(args[0]),
-            "round": lambda: F.bround(args[0], ast.literal_eval(node.args[1]) if len(args) > 1 else 0), "sum": lambda: F.aggregate(args[0], F.lit(0.0), lambda a, b: a + b),
-        }
-        if name in made:
-            return made[name]()
-        raise ValueError(f"{name}() can't be a column")
-
+from millrace.functions.expressions import Expression
+from millrace.storage import written
 
 def filter_rows(rows: DataFrame, condition: str) -> tuple[DataFrame, DataFrame]:
     """(matched, rejected): every row is in one of them; a row in which the condition fails is rejected."""
@@ -187,14 +24,25 @@ def transform_rows(rows: DataFrame, **outputs: str) -> DataFrame:
     return rows.select(*[e.column(text).alias(name) for name, text in outputs.items()])
 
 
-def numbered(rows: DataFrame, order: Sequence[str], name: str = "idx", rows_per_range: int = 1 << 20) -> DataFrame:
-    """Rows with their positions from 0 in order, without gathering them: ranges of the order are sorted apart, and each range starts where the rows before it end."""
-    keys = [F.col(c) for c in order]
-    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*keys)))
+def in_ranges(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """rows with _p, the number of their range in order, written once: bounds of ranges are drawn anew by each plan that makes them."""
+    return written(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()), "ranges")
+
+
+def running(rows: DataFrame, order: Sequence[str], size: Column, name: str) -> DataFrame:
+    """Adds the sum of `size` over all rows before, in order, without gathering them: ranges of the order are summed apart, and each range starts where the ones before it end."""
+    ranged = in_ranges(rows.withColumn("_size", size.cast("long")), order)
+    inside = F.sum("_size").over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranged.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    return ranged.join(F.broadcast(starts.select("_p", "_s")), "_p").withColumn(name, F.col("_s") + F.col("_n") - 1).drop("_p", "_n", "_s")
+    # One row for each range.
+    starts = ranged.groupBy("_p").agg(F.sum("_size").alias("_sum")).select("_p", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    placed = ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "_p")
+    return placed.withColumn(name, F.col("_start") + F.col("_inside")).drop("_p", "_size", "_inside", "_start")
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
+    """Rows with their positions from 0 in order. Rows with equal keys have positions of their own, in any order."""
+    return running(rows, order, F.lit(1), name)
 
 
 def split_batches(rows: DataFrame, size: int, order: Sequence[str]) -> DataFrame:

@@ -6,10 +6,13 @@ import hashlib
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import written
+
 PORT_TYPES = ("any", "file_list", "table", "json", "document", "chunks", "embeddings", "text", "items")  # fixed values
 
 
@@ -119,22 +122,36 @@ class Graph:
 
 
 def downstream(edges: DataFrame, failed: DataFrame) -> DataFrame:
-    """The same closure over tables: edges (source, target), failed (node). A join for each step of the longest way."""
-    seen = failed.select("node").distinct()
-    new = seen
+    """The same closure over tables: edges (source, target), failed (node).
+
+    A join for each step of the longest way; each step's new nodes are written, so a step's plan reads
+    edges and tables alone, however many steps there were.
+    """
+    rounds = [written(failed.select("node").distinct(), "closure")]
     while True:
-        new = new.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti")
+        new = rounds[-1].join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, rounds)
+        new = written(new.join(seen, "node", "left_anti"), "closure")
         if new.isEmpty():
             return seen
-        seen = seen.unionByName(new)
-
-
-def table_levels(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
-    """node and level, the longest way to it, over tables; ValueError after `most` steps, as in a cycle."""
-    now, out = nodes.select("node", F.lit(0).alias("level")), nodes.select("node", F.lit(0).alias("level"))
-    for step in range(1, most + 1):
-        now = now.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(step).alias("level")).distinct()
-        if now.isEmpty():
-            return out.groupBy("node").agg(F.max("level").alias("level"))
-        out = out.unionByName(now)
-    raise ValueError("the graph has a cycle")
+        rounds.append(new)
+        if len(rounds) == 32:
+            rounds = [written(reduce(DataFrame.unionByName, rounds[:-1]), "closure"), new]
+
+
+def table_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and level, the longest way to it, over tables; ValueError for a cycle: a way with more edges than there are nodes."""
+    out = [written(nodes.select("node", F.lit(0).alias("level")).distinct(), "levels")]
+    most, step = out[0].count(), 0
+    while True:
+        step += 1
+        new = out[-1].join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(step).alias("level")).distinct()
+        new = written(new, "levels")
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, out).groupBy("node").agg(F.max("level").alias("level"))
+        if step >= most:
+            raise ValueError("the graph has a cycle")
+        out.append(new)
+        if len(out) == 32:
+            reached = reduce(DataFrame.unionByName, out[:-1]).groupBy("node").agg(F.max("level").alias("level"))
+            out = [written(reached, "levels"), new]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.operators import chunking, control, models, rows, search, select, view
+from millrace.plans import graph
 from millrace.sources import envelopes
 
 LOG = "source string, stream string, id string, operation string, v string, seq long"
@@ -73,8 +74,11 @@ def test_replays_add_nothing(spark):
 def test_filter_rejects_what_fails_and_loses_nothing(spark):
     table = spark.createDataFrame([("a", 5, ["x"]), ("b", None, []), ("7", 200, None)], "name string, size int, tags array<string>")
     for text, want in {
-        "item['size'] > 100": {"7"}, "int(item['name']) > 1": {"7"}, "item.size": {"a", "7"}, "not item['size']": set(), "item.get('size', 0) < 10": {"a", "b"}, "'x' in item['tags']": {"a"},
+        "item['size'] > 100": {"7"}, "int(item['name']) > 1": {"7"}, "item.size": {"a", "7"}, "not item['size']": {"b"}, "item.get('size', 0) < 10": {"a", "b"}, "'x' in item['tags']": {"a"},
         "item['name'].upper() == 'A' or len(item['name']) > 5": {"a"}, "item['name'] > 3": set(), "1 < item['size'] < 10": {"a"}, "item['size'] is None": {"b"}, "item['tags']": {"a"}, "item['size'] / 0 > 1": set(),
+        "int(item['name']) >= 0 or item['size'] == 5": {"7"}, "item['size'] == 5 or int(item['name']) >= 0": {"a", "7"}, "item['size'] is not None and item['size'] > 3": {"a", "7"}, "item['size'] != 5": {"b", "7"},
+        "item['size'] not in [5, 7]": {"b", "7"}, "item['name'] == 7": set(), "item['missing'] or True": set(), "item.get('missing') is None": {"a", "b", "7"}, "any(t == 'x' for t in item['tags'])": {"a"},
+        "all(len(t) > 0 for t in item['tags'])": {"a", "b"}, "len([t for t in item['tags'] if t != 'x']) == 0": {"a", "b"}, "'x' in sorted(item['tags'])": {"a"}, "max(item['tags']) == 'x'": {"a"}, "1 < 0 < item['size'] or True": {"a", "b", "7"},
     }.items():
         yes, no = rows.filter_rows(table, text)
         assert {r.name for r in yes.collect()} == want, text
@@ -89,6 +93,36 @@ def test_transform_rounds_half_to_even(spark):
     assert tuple(got) == (2.0, "b", "a b!", 1)
 
 
+def test_expressions_over_arrays(spark):
+    table = spark.createDataFrame([([3, 1, 2], ["b", "a"])], "n array<int>, t array<string>")
+    got = rows.transform_rows(
+        table, a="[x * 2 for x in item['n'] if x > 1]", b="sorted(item['n'], reverse=True)", c="[f'{i}{x}' for i, x in enumerate(item['t'])]", d="[n for n, t in zip(item['n'], item['t'])]",
+        e="list(map(lambda x: x + 1, item['n']))", f="','.join(item['t'])", g="sum(item['n'])", h="list(range(3))", i="list(reversed(item['n']))", j="list(filter(lambda x: x > 1, item['n']))", k="list(range(0))",
+    ).first()
+    assert tuple(got) == ([6, 4], [3, 2, 1], ["0b", "1a"], [3, 1], [4, 2, 3], "b,a", 6.0, [0, 1, 2], [2, 1, 3], [3, 2], [])
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_positions_over_many_ranges(spark, coalesce):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        n = 400_000
+        table = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), 40).alias("wide"))
+        got = rows.numbered(table, ["k"]).agg(F.count("*").alias("n"), F.count_if(F.col("idx") != F.col("k")).alias("wrong"), F.max(F.length("wide")).alias("w")).first()
+        assert tuple(got) == (n, 0, 40)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_closure_and_levels_of_long_chains(spark):
+    chain = spark.range(45).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    assert graph.downstream(chain, spark.createDataFrame([(5,)], "node long")).count() == 41
+    assert graph.table_levels(chain, spark.range(46).toDF("node")).agg(F.max("level")).first()[0] == 45
+    ring = chain.where("source < 5").unionByName(spark.createDataFrame([(5, 0)], "source long, target long"))
+    with pytest.raises(ValueError, match="cycle"):
+        graph.table_levels(ring, spark.range(6).toDF("node"))
+
+
 def test_split_and_merge(spark):
     table = spark.range(10).toDF("k")
     got = {r.batch: [x.k for x in r["items"]] for r in rows.split_batches(table, 4, ["k"]).collect()}
