@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.storage import shared_path, written
+
 
 BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
@@ -24,39 +22,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where none is set (tests on one machine), one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the written table: cuts the lineage, outlives executors, and its size is known to the planner."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-ROW_BY_ROW = re.compile(r"[\s:+|-]*(Project|Filter|Relation|LogicalRDD|LocalRelation)\b")
-
+    small_batches(df.sparkSession)
+    return written(df, name)
 
-def settled(df: DataFrame) -> DataFrame:
-    """df itself if it reads a table row by row, else written and read again.
 
-    Rows are told apart by their place (monotonically_increasing_id), which must be the same in every
-    plan that reads them; after a shuffle or a limit it need not be.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan().toString().rstrip().split("\n")
-    return df if all(ROW_BY_ROW.match(line) for line in plan) else stage(df, "settled")
+def identified(df: DataFrame) -> DataFrame:
+    """df with uid, a number for each row, written once: a plan that numbers rows anew may number them otherwise when executors come or go. A column uid of df is replaced."""
+    return stage(df.withColumn("uid", F.monotonically_increasing_id()), "rows")
 
 
 def remainder(doc_id: str, n: int) -> Column:

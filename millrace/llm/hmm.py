@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settled, stage
+from millrace.llm.common import stage
 from millrace.llm.text import U, mix, slices, string_bytes, word_hashes, word_spans
 
 RARE = 4096
@@ -30,7 +30,8 @@ COMMON = 60_000
 END = COMMON + RARE  # the class of the token that ends a text
 CLASSES = END + 1
 STATES = 8
-STRETCH, SEGMENT = 512, 2048
+SEGMENT = 2048
+BINS = 256  # of word counts, for each power of two
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -127,12 +128,31 @@ def forward(seq: np.ndarray, first: np.ndarray, size: np.ndarray, vector: np.nda
     return vector, scale
 
 
-def likelihood(seq: np.ndarray, offs: np.ndarray, m: Model) -> np.ndarray:
-    """The natural log probability of each row's classes. Of a row longer than SEGMENT, later segments are run from each state and chained."""
-    out, size = np.zeros(len(offs) - 1), np.diff(offs)
-    last = np.tile(m.start, (len(out), 1))
-    for rows in _by_length(np.concatenate([[0], np.cumsum(np.minimum(size, SEGMENT))]), 1 << 20):
-        last[rows], out[rows] = forward(seq, offs[rows], np.minimum(size[rows], SEGMENT), last[rows], m, False)
+@dataclass
+class Segments:
+    """The segments after the first of rows longer than SEGMENT: row, first token, length, and for each state before it the scaled state vector after it and the log of its scale."""
+
+    row: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
+    vectors: np.ndarray
+    scales: np.ndarray
+
+    def step(self, k: int, v: np.ndarray) -> tuple[np.ndarray, float]:
+        """The state vector after segment k, from the one before it, and the log of its scale."""
+        top = self.scales[k].max()
+        v = (v * np.exp(self.scales[k] - top)) @ self.vectors[k]
+        c = v.sum()
+        return v / c, top + np.log(c)
+
+    def back(self, k: int, beta: np.ndarray) -> np.ndarray:
+        """What follows after segment k seen from before it, up to a factor."""
+        out = np.exp(self.scales[k] - self.scales[k].max()) * (self.vectors[k] @ beta)
+        return out / out.sum()
+
+
+def segments(seq: np.ndarray, offs: np.ndarray, m: Model) -> Segments:
+    size = np.diff(offs)
     long = np.flatnonzero(size > SEGMENT)
     count = -(-size[long] // SEGMENT) - 1
     row = np.repeat(long, count)
@@ -143,47 +163,79 @@ def likelihood(seq: np.ndarray, offs: np.ndarray, m: Model) -> np.ndarray:
     for some in _by_length(np.concatenate([[0], np.cumsum(length)]), 1 << 17):
         v, s = forward(seq, np.repeat(first[some], STATES), np.repeat(length[some], STATES), np.tile(np.eye(STATES), (len(some), 1)), m, True)
         vectors[some], scales[some] = v.reshape(-1, STATES, STATES), s.reshape(-1, STATES)
-    for k, r in enumerate(row.tolist()):
-        top = scales[k].max()
-        v = (last[r] * np.exp(scales[k] - top)) @ vectors[k]
-        c = v.sum()
-        last[r], out[r] = v / c, out[r] + top + np.log(c)
+    return Segments(row, first, length, vectors, scales)
+
+
+def likelihood(seq: np.ndarray, offs: np.ndarray, m: Model) -> np.ndarray:
+    """The natural log probability of each row's classes. Of a row longer than SEGMENT, later segments are run from each state and chained."""
+    out, size = np.zeros(len(offs) - 1), np.diff(offs)
+    last = np.tile(m.start, (len(out), 1))
+    for rows in _by_length(np.concatenate([[0], np.cumsum(np.minimum(size, SEGMENT))]), 1 << 20):
+        last[rows], out[rows] = forward(seq, offs[rows], np.minimum(size[rows], SEGMENT), last[rows], m, False)
+    later = segments(seq, offs, m)
+    for k, r in enumerate(later.row.tolist()):
+        last[r], more = later.step(k, last[r])
+        out[r] += more
     return out
 
 
 def expected(seq: np.ndarray, offs: np.ndarray, m: Model, emitted: np.ndarray, moved: np.ndarray, begun: np.ndarray) -> None:
-    """Adds the expected counts of Baum-Welch over the rows, in stretches of at most STRETCH tokens, to emitted, moved and begun."""
-    size = np.diff(offs)
-    count = -(-size // STRETCH)
-    row = np.repeat(np.arange(len(size)), count)
-    first = offs[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * STRETCH
-    length = np.minimum(offs[row + 1] - first, STRETCH)
+    """Adds the expected counts of Baum-Welch over the rows to emitted, moved and begun.
+
+    Rows are worked on in segments; a segment starts from the state vector that the ones before it
+    leave, and ends with what the ones after it say, so the counts are those of whole rows.
+    """
+    size, later = np.diff(offs), segments(seq, offs, m)
+    n, k = len(size), len(later.row)
+    first, length = np.concatenate([offs[:-1], later.first]), np.concatenate([np.minimum(size, SEGMENT), later.length])
+    before, after = np.tile(m.start, (n + k, 1)), np.ones((n + k, STATES))
+    if k:
+        last = np.tile(m.start, (n, 1))
+        rows = np.unique(later.row)
+        rows = rows[np.argsort(-size[rows], kind="stable")]
+        last[rows], _ = forward(seq, offs[rows], np.full(len(rows), SEGMENT), last[rows], m, False)
+        for x, r in enumerate(later.row.tolist()):
+            before[n + x] = last[r]
+            last[r], _ = later.step(x, last[r])
+        beta = np.ones((n, STATES))
+        for x in range(k - 1, -1, -1):
+            r = later.row[x]
+            after[n + x] = beta[r]
+            beta[r] = later.back(x, beta[r])
+        after[:n] = beta
     for some in _by_length(np.concatenate([[0], np.cumsum(length)]), 1 << 18):
-        at, size = first[some], length[some]
-        live = np.searchsorted(-size, -np.arange(int(size.max())), side="left").tolist()
+        at, size, goes_on = first[some], length[some], some >= n
+        live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left").tolist()
         alpha, scale, gamma, where = [], [], [], []
-        v = np.tile(m.start, (len(some), 1))
-        for t, n in enumerate(live):
-            v = (v if t == 0 else v[:n] @ m.move) * m.emit[seq[at[:n] + t]]
+        v = np.where(goes_on[:, None], before[some] @ m.move, before[some])
+        for t, a in enumerate(live):
+            v = (v if t == 0 else v[:a] @ m.move) * m.emit[seq[at[:a] + t]]
             c = np.maximum(v.sum(axis=1), 1e-300)
             v = v / c[:, None]
             alpha.append(v)
             scale.append(c)
-        beta = np.ones((len(some), STATES))
+        beta = after[some]
         for t in range(len(live) - 1, -1, -1):
-            n = live[t]
-            if t + 1 < len(live):
-                k = live[t + 1]
-                ahead = beta[:k] * m.emit[seq[at[:k] + t + 1]] / scale[t + 1][:, None]
-                moved += (alpha[t][:k].T @ ahead) * m.move
-                beta[:k] = ahead @ m.move.T
-            g = alpha[t] * beta[:n]
+            a = live[t]
+            ends = live[t + 1] if t + 1 < len(live) else 0
+            if ends < a:  # rows whose last token this is: what follows, in the scale of the row
+                beta[ends:a] /= np.maximum((alpha[t][ends:] * beta[ends:a]).sum(axis=1), 1e-300)[:, None]
+            if ends:
+                ahead = beta[:ends] * m.emit[seq[at[:ends] + t + 1]] / scale[t + 1][:, None]
+                moved += (alpha[t][:ends].T @ ahead) * m.move
+                beta[:ends] = ahead @ m.move.T
+            g = alpha[t] * beta[:a]
             gamma.append(g / np.maximum(g.sum(axis=1), 1e-300)[:, None])
-            where.append(at[:n] + t)
-        begun += gamma[-1].sum(axis=0)
-        g, c = np.concatenate(gamma), seq[np.concatenate(where)]
-        for k in range(STATES):
-            emitted[:, k] += np.bincount(c, weights=g[:, k], minlength=CLASSES)
+            where.append(at[:a] + t)
+        if live:
+            begun += gamma[-1][~goes_on[: live[0]]].sum(axis=0)
+            if goes_on.any():  # the step over the border into a segment
+                into = np.flatnonzero(goes_on[: live[0]])
+                ahead = beta[into] * m.emit[seq[at[into]]] / scale[0][into][:, None]
+                moved += (before[some][into].T @ ahead) * m.move
+            g, c = np.concatenate(gamma), seq[np.concatenate(where)]
+            for x in range(STATES):
+                emitted[:, x] += np.bincount(c, weights=g[:, x], minlength=CLASSES)
 
 
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +257,7 @@ def train(seqs: DataFrame, m: Model, whole: np.ndarray, steps: int) -> None:
     seeds = seqs.where("length(seq) >= 400").orderBy(F.xxhash64("seq"), "seq").limit(STATES).collect()
     emitted = np.tile(whole[:, None] * 200.0, (1, STATES))
     for k, r in enumerate(seeds):
-        emitted[:, k] += np.bincount(np.frombuffer(r["seq"], np.uint16)[:4096], minlength=CLASSES)
+        emitted[:, k] += np.bincount(np.frombuffer(r["seq"], np.uint16), minlength=CLASSES)
     m.start, m.move, m.emit = _maximise(emitted, np.eye(STATES) * 200.0, np.ones(STATES), whole)
     fields = ", ".join(f"s{k} float" for k in range(STATES))
     for _ in range(steps):
@@ -235,22 +287,27 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", steps: int = 5,
     log10((c + 0.5) / (N + 0.5 * (V + 1))). A null text is an empty one and has the end alone. Rows
     with equal or null ids are scored each. Without training rows, classes are equally likely. An empty table gives an empty result.
     """
-    docs = settled(docs).select("doc_id", held_out.alias("held_out"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("uid"))
+    docs = docs.select("doc_id", held_out.alias("held_out"), F.col(text).alias("t"))
     train_docs = docs.where(~F.col("held_out"))
     counts = count_words(train_docs, "t")
     n_docs = train_docs.count()
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = (totals["n"] or 0) + n_docs, totals["v"] + bool(n_docs)
-    top = counts.orderBy(F.col("n").desc(), "key").limit(common).toArrow()  # `common` rows
+    # Common words are those of the highest counts: as many bins of a histogram as hold `common` words at most.
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * BINS) - (10 * BINS - 1024)).cast("long")
+    bins = counts.groupBy(level.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.col("bin").desc()).collect()  # 1024 and BINS for each power of two at most
+    least, words = 1 << 62, 0
+    for r in bins:
+        words += r["n"]
+        if words > common:
+            break
+        least = r["bin"]
+    top = counts.where(level >= least).select("key", "n").toArrow()  # `common` rows at most
     order = np.argsort(top["key"].to_numpy())
     keys, number = top["key"].to_numpy()[order], top["n"].to_numpy()[order]
-    least = int(number.min(initial=1 << 62)) if len(keys) == common else 0
     m = Model(keys, number, *[np.zeros(0)] * 3)
     spark = docs.sparkSession
-    # Rows of words that aren't common: those below the least common count, and what ties left out.
-    is_common = spark.createDataFrame([], "key long") if not len(keys) else spark.createDataFrame(pa.table({"key": keys[number == least] if least else keys}))
-    rest = counts.where(F.col("n") <= least) if least else counts
-    rest = rest.join(F.broadcast(is_common), "key", "left_anti")  # `common` rows at most
+    rest = counts.where(level < least)
     kinds = rest.groupBy("rare").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"))
     total, once = np.zeros(RARE), np.zeros(RARE)
     got = kinds.toArrow()  # RARE rows
@@ -275,31 +332,28 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", steps: int = 5,
                 hit = at >= 0
                 np.cumsum(np.where(hit, np.log10((m.number[at] if len(m.number) else np.zeros(len(at))) + 0.5), 0), out=log[1:])
                 np.cumsum(hit, out=known[1:])
-                cols = [batch[c].slice(w.i, w.j - w.i) for c in ("uid", "doc_id", "held_out")]
-                sums = [pa.array(size + 1), pa.array(known[w.offs[1:]] - known[w.offs[:-1]]), pa.array(log[w.offs[1:]] - log[w.offs[:-1]])]
-                yield pa.RecordBatch.from_arrays([*cols, *sums, pa.array([seq[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["uid", "doc_id", "held_out", "n_tokens", "known", "log", "seq"])
-
-    def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for w in words_of(batch["t"]):
-                _, at = m.classes(w)
-                rare = np.flatnonzero(at < 0)
-                row = np.repeat(np.arange(w.j - w.i), np.diff(w.offs))[rare]
+                # The row's words that aren't common, each with the times it occurs and its rare class.
+                rare = np.flatnonzero(~hit)
+                row = np.repeat(np.arange(len(size)), size)[rare]
                 order = np.lexsort((w.keys[rare], row))
                 rare, row = rare[order], row[order]
                 new = np.ones(len(rare), bool)
                 new[1:] = (row[1:] != row[:-1]) | (w.keys[rare][1:] != w.keys[rare][:-1])
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(rare)))
-                chosen = rare[first]
-                yield pa.RecordBatch.from_arrays([pa.array(w.keys[chosen]), batch["uid"].slice(w.i, w.j - w.i).take(pa.array(row[first])), pa.array(times << 12 | w.rare[chosen])], ["key", "uid", "times"])
+                offs = pa.array(np.searchsorted(row[first], np.arange(len(size) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offs, pa.array(v)) for v in (w.keys[rare[first]], times << 12 | w.rare[rare[first]])]
+                cols = [batch[c].slice(w.i, w.j - w.i) for c in ("uid", "doc_id", "held_out")]
+                sums = [pa.array(size + 1), pa.array(known[w.offs[1:]] - known[w.offs[:-1]]), pa.array(log[w.offs[1:]] - log[w.offs[:-1]])]
+                yield pa.RecordBatch.from_arrays([*cols, *sums, pa.array([seq[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), *lists], ["uid", "doc_id", "held_out", "n_tokens", "known", "log", "seq", "keys", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seqs = stage(docs.mapInArrow(encode, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, known long, log double, seq binary"), "sequences")
+    # Rows are numbered where they are written; what is rare in them is read from there, so both sides of the join below mean the same rows.
+    coded = stage(docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(encode, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, known long, log double, seq binary, keys array<long>, times array<long>"), "sequences")
+    seqs = coded.drop("keys", "times")
     train(seqs.where(~F.col("held_out")).select("seq"), m, whole, steps)
     # What rare words' counts, or their absence, add to a row doesn't depend on the states.
-    found = docs.select("uid", "t").mapInArrow(seldom, "key long, uid long, times long").join(rest.select("key", "n"), "key", "left")
+    found = coded.select("uid", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("uid", F.col("w.keys").alias("key"), F.col("w.times").alias("times")).join(rest.select("key", "n"), "key", "left")
     log_new = spark.createDataFrame(pa.table({"rare": np.arange(RARE), "new": np.log10(new), "old": np.log10(1 - new) - np.log10(np.maximum(total, 1))}))
     by_row = found.select("uid", "times", F.coalesce("n", F.lit(0)).alias("n"))
     by_row = by_row.withColumn("rare", F.expr("times & 4095")).withColumn("times", F.expr("shiftright(times, 12)")).join(F.broadcast(log_new), "rare")  # RARE rows

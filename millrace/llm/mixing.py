@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settled, stage
+from millrace.llm.common import identified, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,10 +47,10 @@ def mix_sources(docs: DataFrame, text: str = "text", weights: tuple[int, ...] =
     sums over ranges are added from a table of one row per source and range.
 
     Null texts and texts without words have size 0 and taken 0. A null source is a source of its
-    own, last in order. Rows with equal ids are ordered by size and text hash; equal rows are
-    interchangeable. An empty table gives an empty result.
+    own, last in order. The key of a row whose doc_id is null is drawn from its text. Rows with equal
+    keys are ordered by doc_id and size; those that are equal in both are interchangeable. An empty table gives an empty result.
     """
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))).cast("binary"))
     rows = docs.select(
         "doc_id", *keep, word_count(text).alias("size"),
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_s"), key.alias("_key"),
@@ -74,13 +74,12 @@ def take_mix(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
 
     A shortened text's words are joined by single spaces; the column `length`, if there is one, is set to its characters.
     """
-    docs = settled(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row"))
-    narrow = docs.select("doc_id", "source", F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_uid"))
+    rows = identified(docs.select(F.struct("*").alias("_row"))).withColumnRenamed("uid", "_uid")
+    narrow = rows.select("_row.doc_id", "_row.source", F.col(f"_row.`{text}`").alias("_text"), "_uid")
     taken = stage(mix_sources(narrow, "_text", keep=("_uid",), **options).where("taken > 0").select("_uid", "size", "taken"), "taken")
     each = rows.join(taken, "_uid").withColumn("_left", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), i -> least(size, taken - i * size))")))
-    words = F.regexp_extract_all(F.col(f"_row.{text}"), F.lit(WORD), F.lit(0))
-    short = F.when(F.col("_left") < F.col("size"), F.array_join(F.slice(words, 1, F.col("_left").cast("int")), " ")).otherwise(F.col(f"_row.{text}"))
+    words = F.regexp_extract_all(F.col(f"_row.`{text}`"), F.lit(WORD), F.lit(0))
+    short = F.when(F.col("_left") < F.col("size"), F.array_join(F.slice(words, 1, F.col("_left").cast("int")), " ")).otherwise(F.col(f"_row.`{text}`"))
     out = each.select("_row", short.alias("_text"))
     columns = {text: F.col("_text")} | ({length: F.length("_text").cast(docs.schema[length].dataType)} if length in docs.columns else {})
     return out.select(*[columns.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

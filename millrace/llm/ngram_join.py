@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settled, stage
+from millrace.llm.common import identified, stage
 from millrace.llm.text import U, mix, shingle_hashes, text_words
 
 COORDS = 64
@@ -133,21 +133,24 @@ def deal(leaf: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("bucket", F.when(blocks == 1, F.col("path")).otherwise(F.xxhash64("path", lo, hi))).withColumn("side", side.cast("int")).drop("_b", "_j", "n")
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch], units: int = 1 << 16) -> Iterator[pa.Table]:
-    """Tables of whole buckets from batches that are sorted by bucket, of about `units` rows or 64 MB."""
+def whole_buckets(batches: Iterator[pa.RecordBatch], units: int = 1 << 16, most_bytes: int = 32 << 20, bucket: str = "bucket") -> Iterator[pa.Table]:
+    """Tables of whole buckets from batches that are sorted by bucket, of about `units` rows or `most_bytes`; more only if one bucket has more."""
     held: list[pa.RecordBatch] = []
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        b = batch["bucket"].to_numpy()
-        last = int(np.searchsorted(b != b[-1], False)) if b[0] != b[-1] else 0
-        last = int(np.flatnonzero(b != b[-1])[-1]) + 1 if b[0] != b[-1] else 0
-        if held and (last or held[-1]["bucket"][-1].as_py() != b[0]):
-            cut = last if held[-1]["bucket"][-1].as_py() == b[0] or sum(x.num_rows for x in held) < units else 0
+        b = batch[bucket].to_numpy()
+        other = np.flatnonzero(b != b[-1])
+        last = int(other[-1]) + 1 if len(other) else 0  # where the batch's last bucket starts
+        apart = bool(held) and held[-1][bucket][-1].as_py() != b[0]
+        if held and (last or apart) and (rows + last >= units or size + batch.nbytes >= most_bytes):
+            cut = last if not apart or size + batch.nbytes < 2 * most_bytes else 0
             yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
+            held, rows, size = [], 0, 0
+            batch = batch.slice(cut)
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
     if held:
         yield pa.Table.from_batches(held)
 
@@ -287,7 +290,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, text: str, similarity: float, recall: float, limit: int, depth: int, k: int) -> DataFrame:
     """uid, doc_id, n, head (uid of the row that stands for the class), class_id, links and copies of every row of docs (uid, doc_id, text); the last four are null for rows without words."""
     rows = stage(describe(docs, text), "sketches")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "uid")
     full = rows.where("key is not null")
     nodes = full.groupBy("key").agg(F.min(order).alias("o"), F.count("*").alias("copies"), F.min("sketch").alias("sketch"))
     nodes = stage(nodes.select("key", F.col("o.uid").alias("node"), F.col("o.doc_id").alias("least"), F.col("o.none").alias("none"), "copies", "sketch"), "nodes")
@@ -310,7 +313,7 @@ def classes(docs: DataFrame, text: str, similarity: float, recall: float, limit:
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     member = components(linked.select("node", "root"))
     known = nodes.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min(F.struct("none", "least", "node")).alias("c"))
+    least = known.groupBy("component").agg(F.min(F.struct("none", "least", "key", "node")).alias("c"))
     result = known.join(least, "component").join(links, "node", "left").select("key", F.col("c.node").alias("head"), F.col("c.least").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     result = stage(result, "classes")
     return rows.withColumnRenamed("key", "k").join(result, F.col("k") == F.col("key"), "left").select("uid", "doc_id", "n", "head", "class_id", "links", "copies")
@@ -326,20 +329,15 @@ def join(docs: DataFrame, text: str = "text", similarity: float = 0.8, recall: f
     n_links counts the other rows linked, copies among them; n_copies the rows with the same set.
     Rows with equal or null doc_id count as rows of their own. An empty table gives an empty result.
     """
-    found = classes(with_uid(settled(docs), text), "_text", similarity, recall, limit, depth, k)
+    rows = identified(docs.select("doc_id", F.col(text).alias("_text")))
+    found = classes(rows, "_text", similarity, recall, limit, depth, k)
     own = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return found.select("doc_id", own.alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.col("n").alias("n_shingles"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", similarity: float = 0.8, recall: float = 0.9999, limit: int = 256, depth: int = 6, k: int = 5) -> DataFrame:
-    """docs with one row of each class of `join` left: that with the least doc_id. Rows without words all stay."""
-    docs = settled(docs)
-    found = classes(with_uid(docs, text), "_text", similarity, recall, limit, depth, k)
-    gone = stage(found.where("head <> uid").select(F.col("uid").alias("_uid")), "duplicates")
-    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row"))
-    return rows.join(gone, "_uid", "left_anti").select("_row.*")
-
-
-def with_uid(docs: DataFrame, text: str) -> DataFrame:
-    """uid, doc_id and the text as _text; a row's uid is its place in the table's files."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col(text).alias("_text"))
+    """docs with one row of each class of `join` left: that with the least doc_id, of equal ones that with the least hash of its words. Rows without words all stay."""
+    rows = identified(docs.select(F.struct("*").alias("_row")))
+    found = classes(rows.select("uid", F.col("_row.doc_id").alias("doc_id"), F.col(f"_row.`{text}`").alias("_text")), "_text", similarity, recall, limit, depth, k)
+    gone = stage(found.where("head <> uid").select("uid"), "duplicates")
+    return rows.join(gone, "uid", "left_anti").select("_row.*")

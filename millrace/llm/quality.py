@@ -47,7 +47,7 @@ def _copies(keys: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """A row of statistics (NAMES) for each whole text; a null text is an empty one."""
+    """A row of statistics (NAMES) for each whole text; a null text is an empty one. Equal texts have equal statistics, whatever their ids."""
     buf, offs = string_bytes(column)
     out = np.zeros((len(offs) - 1, len(NAMES)), np.float32)
     for i, j in slices(offs):
@@ -160,7 +160,9 @@ def fit(rows: DataFrame, steps: int = 8, ridge: float = 1e-4, strength: float =
     """Fits a QualityModel to rows (x, positive): trusted positives and unlabelled texts; all rows count as a sample of the whole.
 
     First a logistic model tells positives from all rows; the class prior follows from its scores'
-    tails, unless given. Then Newton steps with a search along the step lower the non-negative risk.
+    tails, unless given. Then Newton steps with a search along the step lower the non-negative risk;
+    where its second part is below 0, they follow the first part alone and, as a second try, raise
+    the second one.
     Without any positive row the model scores 0.5 everywhere. Weights are drawn to 0 by `ridge`, or
     by strength / rows where rows are few; the strength was chosen on a split of training rows.
     """
@@ -173,44 +175,54 @@ def fit(rows: DataFrame, steps: int = 8, ridge: float = 1e-4, strength: float =
     model = QualityModel(mean, np.where(deviation > 1e-9, deviation, 1.0), np.zeros(d + 1), 0.5)
     if not n_pos:
         return model
-    tries = np.array([1.0, 0.5, 0.25, 0.1, 0.02])
-
-    def newton(pi: float, nnpu: bool, steps: int) -> None:
+    tries = np.array([1.0, 0.5, 0.25, 0.1, 0.02, 0.002])
+    penalty = np.append(np.full(d, ridge), 1e-9)
+
+    def search(w: np.ndarray, steps: list[np.ndarray], pi: float) -> tuple[np.ndarray, float, float]:
+        """The best of w and of the points along the steps: the point, its risk and the part of it that may not be negative, and how much the risk fell. pi 1 without the bound: the first model's."""
+        points = np.stack([w, *[w + t * step for step in steps for t in tries]], axis=1)
+
+        def losses(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+            g = model.design(x) @ points
+            return np.stack([_loss(-g).sum(0), _loss(-g[p]).sum(0), _loss(g[p]).sum(0)]).ravel()
+
+        u_neg, p_neg, p_pos = _sums(rows, losses, 3 * points.shape[1]).reshape(3, -1) / np.array([[n], [n_pos], [n_pos]])
+        negative = u_neg - pi * p_neg
+        risk = (pi * p_pos + np.maximum(negative, 0)) if bounded else u_neg + p_pos
+        risk = risk + (penalty[:, None] / 2 * points**2).sum(axis=0)
+        at = int(risk.argmin())
+        return points[:, at], float(negative[at]), float(risk[0] - risk[at])
+
+    def newton(pi: float, steps: int) -> None:
+        w, negative = model.weights, 0.0
         for _ in range(steps):
-            w = model.weights
 
-            def slope(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+            def slopes(x: np.ndarray, p: np.ndarray, w: np.ndarray = w) -> np.ndarray:
                 a = model.design(x)
-                g = a @ w
-                s = _sigmoid(g)
-                curve = s * (1 - s) * (1.0 if nnpu else 1.0 + p * (n / n_pos))
-                return np.concatenate([s @ a, p.astype(float) @ a if nnpu else ((1 - s) * p) @ a, ((a * curve[:, None]).T @ a).ravel()])
-
-            q = _sums(rows, slope, (d + 1) * (d + 3))
-            up, pos, curve = q[: d + 1] / n, q[d + 1 : 2 * d + 2] / n_pos, q[2 * d + 2 :].reshape(d + 1, d + 1) / n
-            grad = up - pi * pos if nnpu else up - pos
-            penalty = np.full(d + 1, ridge)
-            penalty[-1] = 1e-9
-            step = -np.linalg.solve(curve + np.diag(penalty + 1e-6), grad + penalty * w)
-            step *= min(1.0, 10 / max(np.linalg.norm(step), 1e-12))
-
-            def risks(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-                g = model.design(x) @ (w[:, None] + step[:, None] * np.append(tries, 0.0)[None, :])
-                return np.stack([_loss(-g).sum(0), _loss(-g[p]).sum(0), _loss(g[p]).sum(0)]).ravel()
-
-            u_neg, p_neg, p_pos = _sums(rows, risks, 3 * (len(tries) + 1)).reshape(3, -1) / np.array([[n], [n_pos], [n_pos]])
-            negative = u_neg - pi * p_neg
-            risk = (pi * p_pos + np.maximum(negative, 0)) if nnpu else u_neg + p_pos
-            risk = risk + [ridge / 2 * ((w + t * step) ** 2).sum() for t in np.append(tries, 0.0)]
-            at = int(risk.argmin())
-            if at == len(tries):
-                break
-            model.weights = w + tries[at] * step
-            if risk[-1] - risk[at] < 1e-7:
+                s = _sigmoid(a @ w)
+                curve = lambda c: ((a * c[:, None]).T @ a).ravel()
+                return np.concatenate([s @ a, (s * p) @ a, ((1 - s) * p) @ a, curve(s * (1 - s)), curve(s * (1 - s) * p)])
+
+            q = _sums(rows, slopes, (d + 1) * (2 * d + 5))
+            (u, pn, pp), (cu, cp) = q[: 3 * (d + 1)].reshape(3, -1), q[3 * (d + 1) :].reshape(2, d + 1, d + 1)
+            # Gradients of E_U[loss(-g)] - pi E_P[loss(-g)] and of pi E_P[loss(g)], and their curvatures.
+            below, above = u / n - pi * pn / n_pos, -pi * pp / n_pos
+            down = lambda grad, curve: -np.linalg.solve(curve + np.diag(penalty + 1e-6), grad + penalty * w)  # noqa: B023, E731
+            if not bounded:
+                tried = [down(u / n - pp / n_pos, cu / n + cp / n_pos)]
+            elif negative >= 0:
+                tried = [down(below + above, cu / n)]
+            else:  # the risk is pi E_P[loss(g)] alone; and a step that raises the negative part
+                tried = [down(above, pi * cp / n_pos), down(-below, cu / n)]
+            tried = [x * min(1.0, 10 / max(float(np.linalg.norm(x)), 1e-12)) for x in tried]
+            w, negative, fell = search(w, tried, pi)
+            model.weights = w
+            if fell < 1e-7:
                 break
 
+    bounded = False
     if prior is None:
-        newton(1.0, False, max(4, steps // 2))
+        newton(1.0, max(4, steps // 2))
 
         def tails(x: np.ndarray, p: np.ndarray) -> np.ndarray:
             at = np.minimum((model.score(x) * BINS).astype(int), BINS - 1)
@@ -218,8 +230,8 @@ def fit(rows: DataFrame, steps: int = 8, ridge: float = 1e-4, strength: float =
 
         both = _sums(rows, tails, 2 * BINS)
         prior = class_prior(both[:BINS], both[BINS:])
-    model.prior, model.weights = prior, np.zeros(d + 1)
-    newton(prior, True, steps)
+    model.prior, model.weights, bounded = prior, np.zeros(d + 1), True
+    newton(prior, steps)
     return model
 
 

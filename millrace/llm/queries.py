@@ -84,7 +84,7 @@ SQL = {
     "op5_mixing": rf"""
         with d as (select doc_id, coalesce('s' || source, 'n') s, source,
                           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
-                          md5('mix:' || coalesce(doc_id::varchar, '')) k from documents),
+                          md5('mix:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))) k from documents),
              t as (select s, any_value(source) source, sum(size)::bigint source_size from d group by s),
              r as (select *, (1 + (row_number() over (order by source nulls last) - 1) % 3)::double w from t),
              o as (select *, 3.0::double * source_size cap, row_number() over (order by 3.0::double * source_size / w, source nulls last) i from r),
@@ -96,11 +96,11 @@ SQL = {
         select doc_id, size, source_size, target,
                (passes * size + least(greatest(floor(target) - passes * source_size - before, 0), size))::bigint taken from p""",
     "op7_topk": """
-        with e as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) v from embeddings
+        with e as (select row_number() over () u, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) v from embeddings
                    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-             s as (select q.vec_id query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::bigint score
-                   from e q join e x on q.vec_id % 100 = 0 and x.vec_id <> q.vec_id)
-        select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+             s as (select q.u, q.vec_id query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::bigint score
+                   from e q join e x on q.vec_id % 100 = 0 and x.u <> q.u)
+        select query_id, (row_number() over (partition by u order by score desc, vec_id))::int as rank, vec_id, score
         from s qualify rank <= 10""",
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') html, strlen(coalesce(html, '')) n from pages),

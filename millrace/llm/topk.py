@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.llm.common import stage
+
 SAFE = float(1 << 22)  # products of integers below this add up exactly in a double, for up to 512 components
 LONG = 1 << 63
 
@@ -29,38 +31,52 @@ def segment_stats(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([s1 / np.sqrt(n), np.sqrt(np.maximum(s2 - s1 * s1 / n, 0))])
 
 
-def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of pairs of rows, as int64; beyond the range of a long, the nearest long."""
+def _dots(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (qi, xi) of rows of q and x: pair by pair where they are few, else of whole blocks."""
+    if len(qi) * 16 < len(q) * len(x):
+        return np.concatenate([np.einsum("ij,ij->i", q[qi[b : b + 65536]], x[xi[b : b + 65536]]) for b in range(0, len(qi), 65536)] or [np.zeros(0)])
+    return (q @ x.T)[qi, xi]
+
+
+def _exact(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (qi, xi) of rows of q and x, as int64; beyond the range of a long, the nearest long."""
     if max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) < SAFE and q.shape[1] <= 512:
-        return np.einsum("ij,ij->i", q, x).astype(np.int64)
+        return _dots(q, x, qi, xi).astype(np.int64)
+    q, x = q[qi], x[xi]
     return np.array([min(max(sum(int(a) * int(b) for a, b in zip(u, v, strict=True)), -LONG), LONG - 1) for u, v in zip(q, x, strict=True)], np.int64)
 
 
-def best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of query and row, and scores, of each query's k best rows with another id; ties to the smaller id."""
+def best(queries: np.ndarray, q_uids: np.ndarray, least: np.ndarray, rows: np.ndarray, uids: np.ndarray, ids: np.ndarray, k: int, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of query and row, and scores, of each query's k best other rows among those that score at least its `least`; ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
-    rows, ids = rows[order], ids[order]
+    rows, ids, uids = rows[order], ids[order], uids[order]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     stats = [segment_stats(rows, s) for s in levels]
     norm2, large = (rows * rows).sum(1), np.abs(rows).max(initial=0)
     for a in range(0, len(queries), 64):
-        q, own = queries[a : a + 64], q_ids[a : a + 64]
+        q, own = queries[a : a + 64], q_uids[a : a + 64]
         q2 = (q * q).sum(1)
         q_stats = [segment_stats(q, s) for s in levels]
         slack = 1e-9 * (q2[:, None] + norm2[None, :]) + 1.0
         lower = q2[:, None] + norm2[None, :] - 2 * (q_stats[0] @ stats[0].T) - 2 * slack  # of squared distances
         upper = (q2[:, None] + norm2[None, :] - lower) / 2  # of inner products
-        upper[own[:, None] == ids[None, :]] = -np.inf
+        upper[own[:, None] == uids[None, :]] = -np.inf
         seeds = np.argpartition(-upper, min(4 * k, upper.shape[1] - 1), axis=1)[:, : 4 * k]
-        seed_scores = _exact(np.repeat(q, seeds.shape[1], axis=0), rows[seeds.ravel()]).reshape(seeds.shape).astype(float)
+        n = seeds.shape[1]
+        seed_scores = _exact(q, rows, np.repeat(np.arange(len(q)), n), seeds.ravel()).reshape(seeds.shape).astype(float)
         seed_scores[np.take_along_axis(upper, seeds, 1) == -np.inf] = -np.inf
-        least = np.sort(seed_scores, axis=1)[:, -k] if seeds.shape[1] >= k else np.full(len(q), -np.inf)
-        qi, xi = np.nonzero((upper >= least[:, None]) & (upper > -np.inf))
+        bar = least[a : a + 64]
+        if n >= k:
+            bar = np.maximum(bar, np.sort(seed_scores, axis=1)[:, -k])
+        if large >= SAFE:  # beyond exact doubles
+            bar = bar - np.abs(bar) * 1e-12
+        qi, xi = np.nonzero((upper >= bar[:, None]) & (upper > -np.inf))
         for s, qs in zip(stats[1:], q_stats[1:], strict=True):
-            bound = np.concatenate([np.einsum("ij,ij->i", qs[qi[b : b + 65536]], s[xi[b : b + 65536]]) for b in range(0, len(qi), 65536)] or [np.zeros(0)])
-            keep = bound + slack[qi, xi] >= least[qi]
+            keep = _dots(qs, s, qi, xi) + slack[qi, xi] >= bar[qi]
             qi, xi = qi[keep], xi[keep]
-        score = np.concatenate([_exact(q[qi[b : b + 65536]], rows[xi[b : b + 65536]]) for b in range(0, len(qi), 65536)] or [np.zeros(0, np.int64)])
+        score = _exact(q, rows, qi, xi)
+        keep = score >= bar[qi]
+        qi, xi, score = qi[keep], xi[keep], score[keep]
         by = np.lexsort((ids[xi], -score.astype(object) if large >= SAFE else -score, qi))
         qi, xi, score = qi[by], xi[by], score[by]
         rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
@@ -90,36 +106,46 @@ def quantised(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, levels: tuple[int, ...] = (4, 16), group_rows: int = 16384, query_rows: int = 16384) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k rows with the highest inner products of quantised vectors.
+    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k other rows with the highest inner products of quantised vectors.
 
     Rows are dealt evenly into groups of about group_rows and queries into blocks of about
-    query_rows; each pair of a group and a block is one task's work of bounded size, which returns k
-    rows a query. Vectors are compared with those of the same dimension. A query's own row is any row
-    with its vec_id. Rows that share a query's vec_id are queries of their own, with equal results.
-    Empty tables give an empty result.
+    query_rows; each pair of a group and a block is one task's work of bounded size. The first group
+    is searched first: the k-th score of each query there is what rows of all other groups must
+    reach, so they return few rows. Vectors are compared with those of the same dimension. Rows that
+    share a vec_id are rows, and queries, of their own. Empty tables give an empty result.
     """
-    numbers = vectors.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
+    rows = stage(quantised(vectors).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    numbers = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     groups, blocks = -(-max(numbers["n"], 1) // group_rows), -(-max(numbers["q"], 1) // query_rows)
-    rows = quantised(vectors).withColumn("uid", F.monotonically_increasing_id())
     deal = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
-    left = rows.select("dim", "vec_id", "v", deal(groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    queries = rows.where(F.col("vec_id") % every == 0).select("dim", "vec_id", "v", "uid", deal(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    left = rows.withColumn("g", deal(groups)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("b", deal(blocks))
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both sides of a cogroup come from one table
+    schema = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def matrix(t: pa.Table) -> np.ndarray:
         return np.frombuffer(b"".join(t["v"].to_pylist()), np.float64).reshape(t.num_rows, -1)
 
     def run(x: pa.Table, q: pa.Table) -> pa.Table:
-        schema = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not x.num_rows or not q.num_rows:
             return schema.empty_table()
-        ids, q_ids = x["vec_id"].to_numpy(), q["vec_id"].to_numpy()
+        ids, q_ids, uids, q_uids = (t[c].to_numpy() for c in ("vec_id", "uid") for t in (x, q))
         if not x["dim"][0].as_py():
-            few = np.sort(ids)[: k + 1]
-            pairs = [(u, i, j, 0) for u, i in zip(q["uid"].to_pylist(), q_ids, strict=True) for j in few[few != i][:k]]
+            few = np.lexsort((uids, ids))[: k + 1]
+            pairs = [(u, i, ids[j], 0) for u, i in zip(q_uids.tolist(), q_ids.tolist(), strict=True) for j in few[uids[few] != u][:k]]
             return pa.Table.from_pandas(pd.DataFrame(pairs, columns=schema.names), schema, preserve_index=False)
-        qi, xi, score = best(matrix(q), q_ids, matrix(x), ids, k, levels)
-        return pa.table([q["uid"].to_numpy()[qi], q_ids[qi], ids[xi], score], schema=schema)
+        qi, xi, score = best(matrix(q), q_uids, q["least"].to_numpy(zero_copy_only=False), matrix(x), uids, ids, k, levels)
+        return pa.table([q_uids[qi], q_ids[qi], ids[xi], score], schema=schema)
+
+    def search(these: DataFrame, asked: DataFrame, first: int, last: int) -> DataFrame:
+        each = asked.withColumn("g", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        return these.groupBy("g", "b", "dim").cogroup(each.groupBy("g", "b", "dim")).applyInArrow(run, "uid long, query_id long, vec_id long, score long")
 
-    found = left.groupBy("g", "b", "dim").cogroup(queries.groupBy("g", "b", "dim")).applyInArrow(run, "uid long, query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id"))
+    found = search(left.where("g = 0"), queries.withColumn("least", F.lit(float("-inf"))), 0, 0)
+    if groups > 1:
+        found = stage(found, "first")
+        bars = found.groupBy("uid").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k).drop("n")
+        asked = queries.join(bars, "uid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        found = found.unionByName(search(left.where("g > 0"), asked, 1, groups - 1))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

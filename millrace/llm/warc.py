@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settled, shared_path, stage
+from millrace.llm.common import identified, stage
+from millrace.storage import shared_path
 
 END = b"\r\n\r\n"
 CHUNK = 8192
@@ -72,12 +73,14 @@ def with_digests(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Adds uid, payload_bytes, payload_digest and, for rows that revisit another, refers_uid and refers_to.
 
     Of rows with equal payloads of at least `least` bytes, that with the largest page_id (of equal
-    ids, the last read) is the response. Only digests that occur more than once are joined back;
+    ids, the largest url, then the last row; nulls count as least) is the response. Only digests that occur more than once are joined back;
     they are a written table, so the planner broadcasts them only if it sees that they are small.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = settled(pages).select("page_id", "url", body.alias("html")).select("*", F.monotonically_increasing_id().alias("uid"), F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1("html").alias("payload_digest"))
-    last = F.max(F.struct("page_id", "uid")).alias("last")
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url")
+    plain = pages.select("page_id", url, body.alias("html"))
+    rows = identified(plain.select("*", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1("html").alias("payload_digest")))
+    last = F.max(F.struct("page_id", "url", "uid")).alias("last")
     again = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("d")).agg(last, F.count("*").alias("n")).where("n > 1")
     again = stage(again.select("d", F.col("last.page_id").alias("to"), F.col("last.uid").alias("to_uid")), "copies")
     joined = rows.join(again, F.col("payload_digest") == F.col("d"), "left")
@@ -88,7 +91,7 @@ def with_digests(pages: DataFrame, least: int = 1000) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, segment: int = 32768, per_file: int = 2048, least: int = 1000) -> None:
     """Writes a record for every row of pages (page_id, url, html) into gzipped archives of at most per_file records in path.
 
-    A null html is an empty payload; a null url or page_id leaves its field out.
+    A null html is an empty payload; a null url or page_id, or a missing column url, leaves its field out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +192,9 @@ def archive_digests(pages: DataFrame, segment: int = 32768, per_file: int = 2048
     narrow = stage(found.select("page_id", "record_id", "type", "refers", digest.alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes")), "read-back")
     responses = narrow.where("type = 'response'").select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     to = narrow.where("type = 'response'").select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"), "payload_bytes")
-    revisits = narrow.where("type = 'revisit'").drop("payload_bytes").join(to, F.col("refers") == F.col("to")).select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
+    # A revisit is a row of the result even where nothing answers to it, and then the job fails.
+    found = narrow.where("type = 'revisit'").drop("payload_bytes").join(to, F.col("refers") == F.col("to"), "left")
+    size = F.when(F.col("to").isNotNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.concat("record_id", F.lit(": revisits a record that isn't there"))))
+    revisits = found.select("page_id", size.cast("long").alias("payload_bytes"), "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
     return responses.unionByName(revisits)
 

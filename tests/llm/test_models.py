@@ -136,13 +136,14 @@ def test_likelihood_equals_the_sum_over_paths():
     assert np.allclose(hmm.likelihood(seq, offs, m), want)
 
 
-def test_expected_counts_match_plain_forward_backward():
+def test_expected_counts_match_plain_forward_backward(monkeypatch):
+    monkeypatch.setattr(hmm, "SEGMENT", 4)  # rows of 14 and 9 tokens go over borders
     r = np.random.default_rng(3)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
     k = hmm.STATES
     m = hmm.Model(np.zeros(0, np.int64), np.zeros(0, np.int64), norm(r.random(k), 0), norm(r.random((k, k)), 1), norm(r.random((hmm.CLASSES, k)), 0))
-    offs = np.array([0, 4, 5, 11])
-    seq = r.integers(0, 50, 11).astype(np.uint16)
+    offs = np.array([0, 4, 5, 11, 25, 34])
+    seq = r.integers(0, 50, 34).astype(np.uint16)
     emitted, moved, begun = np.zeros((hmm.CLASSES, k)), np.zeros((k, k)), np.zeros(k)
     hmm.expected(seq, offs, m, emitted, moved, begun)
     e2, m2, b2 = np.zeros_like(emitted), np.zeros_like(moved), np.zeros_like(begun)
