@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what has been staged; it does so once their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def identified(df: DataFrame) -> DataFrame:
     """df with uid, a number for each row, written once: a plan that numbers rows anew may number them otherwise when executors come or go. A column uid of df is replaced."""
-    return stage(df.withColumn("uid", F.monotonically_increasing_id()), "rows")
+    rows = stage(df.withColumn("uid", F.monotonically_increasing_id()), "rows")
+    free(df.sparkSession)
+    return rows
 
 
 def remainder(doc_id: str, n: int) -> Column:

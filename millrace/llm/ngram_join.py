@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import identified, stage
+from millrace.llm.common import free, identified, stage
 from millrace.llm.text import U, mix, shingle_hashes, text_words
 
 COORDS = 64
@@ -316,6 +316,7 @@ def classes(docs: DataFrame, text: str, similarity: float, recall: float, limit:
     least = known.groupBy("component").agg(F.min(F.struct("none", "least", "key", "node")).alias("c"))
     result = known.join(least, "component").join(links, "node", "left").select("key", F.col("c.node").alias("head"), F.col("c.least").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     result = stage(result, "classes")
+    free(rows.sparkSession)
     return rows.withColumnRenamed("key", "k").join(result, F.col("k") == F.col("key"), "left").select("uid", "doc_id", "n", "head", "class_id", "links", "copies")
 
 
@@ -340,4 +341,5 @@ def keep_first(docs: DataFrame, text: str = "text", similarity: float = 0.8, rec
     rows = identified(docs.select(F.struct("*").alias("_row")))
     found = classes(rows.select("uid", F.col("_row.doc_id").alias("doc_id"), F.col(f"_row.`{text}`").alias("_text")), "_text", similarity, recall, limit, depth, k)
     gone = stage(found.where("head <> uid").select("uid"), "duplicates")
+    free(docs.sparkSession)
     return rows.join(gone, "uid", "left_anti").select("_row.*")
