@@ -224,8 +224,7 @@ def expected(seq: np.ndarray, offs: np.ndarray, m: Model, emitted: np.ndarray, m
                 ahead = beta[:ends] * m.emit[seq[at[:ends] + t + 1]] / scale[t + 1][:, None]
                 moved += (alpha[t][:ends].T @ ahead) * m.move
                 beta[:ends] = ahead @ m.move.T
-            g = alpha[t] * beta[:a]
-            gamma.append(g / np.maximum(g.sum(axis=1), 1e-300)[:, None])
+            gamma.append(alpha[t] * beta[:a])  # adds up to 1, as beta is in the scale of the row
             where.append(at[:a] + t)
         if live:
             begun += gamma[-1][~goes_on[: live[0]]].sum(axis=0)
