@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
-from millrace.operators import chunking, control, models, rows, search, select, view
+from millrace.operators import chunking, control, history, models, rows, search, select, view
 from millrace.plans import graph
 from millrace.sources import envelopes, paged, parsers
 from millrace.streaming import pipeline
@@ -120,6 +120,22 @@ def replace_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.current_view(fresh.unionByName(gone)).select(F.col("id").alias("c_custkey"), "c_name")
 
 
+@query(f"with l as ({LOG}), r as (select id, max_by(op, seq) op, max_by(event_type, seq) event_type, max_by(value, seq) value from l group by id) select c_custkey id, 'none' event_type, c_acctbal as value from customer where c_custkey not in (select id from r) union all select id, event_type, value from r where op <> 'delete'")
+def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("none").alias("event_type"), F.col("c_acctbal").alias("value"))
+    return view.merged_into(target, changelog(spark, sf_dir), ["id"])
+
+
+@query("select case when target = 0 then 'orders' else 'others' end target, count(*) n from (select o_custkey id, 1 target from orders union all select distinct c_custkey, 0 from customer) group by 1")
+def replace_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after the target orders, whose events were all orders, is replaced by customers."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    events = orders.select(F.explode(F.array(F.lit("orders"), F.lit("others"))).alias("target"), F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("event_hash"))
+    fresh = customer.select(F.col("c_custkey").alias("id"), F.xxhash64("c_name").alias("event_hash"), F.lit("snapshot").alias("operation"), F.lit(0).cast("long").alias("seq"))
+    _, ledger = view.replaced(fresh, events, "orders", ["id", "event_hash"], ["id"])
+    return ledger.groupBy("target").agg(F.count("*").alias("n"))
+
+
 @query(f"select op operation, count(*) n from ({LOG}) group by op")
 def operation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog(spark, sf_dir).groupBy("operation").agg(F.count("*").alias("n"))
@@ -392,6 +408,12 @@ def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.total(table(spark, sf_dir, "documents"), search.Request("the thing"))
 
 
+@query("select event_id, event_type || ' ' || json_extract_string(props, '$.k') || ' end' as text from events")
+def searchable_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit('{"kind": "record", "a": ["'), F.col("event_type"), F.lit('", '), F.col("props"), F.lit(', true, null, {"provenance": 1, "z": "end"}]}'))
+    return table(spark, sf_dir, "events").select("event_id", search.searchable_text(body).alias("text"))
+
+
 # Control
 
 
@@ -477,6 +499,66 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("o_orderstatus", "o_orderpriority", control.may_follow(F.col("o_orderstatus"), F.col("o_orderpriority"), {"O": ("1-URGENT",)}).alias("allowed")).agg(F.count("*").alias("n"))
 
 
+# History
+
+
+def histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries of runs, runs of graphs, and graphs of owners: orders, customers and nations."""
+    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), "o_orderkey", F.col("o_orderpriority").alias("source_ref"))
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_nationkey").alias("graph_id"))
+    return entries, runs, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("graph_id"), F.col("n_regionkey").alias("owner_id"))
+
+
+@query("select o_custkey run_id, o_orderdate created_at, o_orderkey from orders where o_custkey in (select c_custkey from customer where c_nationkey = 3) order by 2 desc, 1, 3 limit 100")
+def lineage_of_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, runs, _ = histories(spark, sf_dir)
+    return history.lineage_of_graph(entries.drop("source_ref"), runs, 3)
+
+
+@query("select o_custkey run_id, o_orderkey, s_suppkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey left join supplier on s_suppkey = o_custkey where o_orderpriority = '1-URGENT' and n_regionkey = 1")
+def lineage_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, runs, graphs = histories(spark, sf_dir)
+    lineage = table(spark, sf_dir, "supplier").withColumn("run_id", F.col("s_suppkey"))
+    found = history.lineage_of_source(entries, lineage, "1-URGENT", runs, graphs, 1)
+    return found.select("run_id", F.col("provenance.o_orderkey").alias("o_orderkey"), F.col("lineage.s_suppkey").alias("s_suppkey"))
+
+
+@query("select o_orderkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where n_regionkey = 2")
+def dead_letters_of_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.owned(*histories(spark, sf_dir), 2).select("o_orderkey")
+
+
+@query("select c_custkey, coalesce(max(o_orderkey), 0) + 1 \"version\" from customer left join orders on o_custkey = c_custkey group by 1")
+def next_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("version"))
+    return history.next_versions(saved, table(spark, sf_dir, "customer"), "c_custkey")
+
+
+@query("select p_brand as \"owner\", sum(p_partkey)::bigint used from part group by 1")
+def storage_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.storage_used(table(spark, sf_dir, "part"), "p_brand", "p_partkey").withColumnRenamed("p_brand", "owner")
+
+
+@query("select p_partkey from part order by coalesce(case when p_partkey % 7 > 0 then p_partkey / 10.0 end, 999.0), p_partkey limit 50")
+def models_by_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 > 0, F.col("p_partkey") / 10).alias("price"))
+    return history.by_price(part, "price", "p_partkey").limit(50).select("p_partkey")
+
+
+@query("select c_mktsegment as source, c_nationkey stream from customer except select c_mktsegment, c_nationkey from customer where c_acctbal > 9000")
+def deselected_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("source"), F.col("c_nationkey").alias("stream"), "c_acctbal")
+    return history.deselected(before, before.where("c_acctbal > 9000"))
+
+
+@query("select n_nationkey as \"index\", 'c1,c0' names from nation where n_nationkey <> 1 and n_nationkey % 3 = 1")
+def unique_index_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    indexes = table(spark, sf_dir, "nation").select(key.alias("index"), (key != 1).alias("is_unique"), F.sequence((key % 3).cast("long"), F.lit(0).cast("long")).alias("positions"))
+    columns = table(spark, sf_dir, "nation").select(key.cast("long").alias("position"), F.concat(F.lit("c"), key).alias("name"))
+    return history.unique_key(indexes, columns, ["c0", "c1"]).select("index", F.array_join("names", ",").alias("names"))
+
+
 # Windows over event time (an extension)
 
 

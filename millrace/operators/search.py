@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import search_tokens
 
+UNSEARCHED = ("observed_at", "provenance", "kind")  # fixed values
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6  # fixed values of the ranking
 
 
@@ -79,3 +81,23 @@ def total(docs: DataFrame, request: Request, text: str = "text") -> DataFrame:
     return rows.agg(F.count("*").alias("total"))
 
 
+
+
+def searchable_text(value: Column) -> Column:
+    """All strings and numbers of a JSON value, in order, with a space between; keys, true, false and null aren't text, nor is what stands under observed_at, provenance or kind. Null stays null; text that isn't JSON fails the job."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        parts, todo = [], [json.loads(text)]
+        while todo:
+            item = todo.pop()
+            if isinstance(item, dict):
+                todo += reversed([v for k, v in item.items() if k not in UNSEARCHED])
+            elif isinstance(item, list):
+                todo += reversed(item)
+            elif item is not None and not isinstance(item, bool):
+                parts.append(str(item))
+        return " ".join(parts)
+
+    return F.pandas_udf(lambda s: s.map(one, na_action="ignore"), "string")(value)

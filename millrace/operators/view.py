@@ -46,6 +46,23 @@ def ledger_apply(log: DataFrame, ledger: DataFrame, event: Sequence[str], key: S
     return last, new.select(*event)
 
 
+def merged_into(target: DataFrame, log: DataFrame, key: Sequence[str], seq: str = "seq", op: str = "operation") -> DataFrame:
+    """The target table after the events of log, in order: a delete removes the row of its key, all others insert or update it. log has the target's columns; a null in a key fails the job."""
+    rest = [c for c in target.columns if c not in key]
+    whole = F.when(F.concat(*[F.col(c).cast("string") for c in key]).isNull(), F.raise_error(F.lit("a key has a null"))).otherwise(F.col(key[0]))
+    checked = log.withColumn(key[0], whole.cast(log.schema[key[0]].dataType))
+    last = checked.groupBy(*key).agg(F.max_by(F.struct(F.col(op).alias("_op"), *rest), F.col(seq)).alias("_l"))
+    kept = target.join(last.select(*key), list(key), "left_anti").select(*target.columns)
+    return kept.unionByName(last.where(F.lower("_l._op") != "delete").select(*key, *[F.col("_l")[c].alias(c) for c in rest]))
+
+
+def replaced(log: DataFrame, ledger: DataFrame, target: str, event: Sequence[str], key: Sequence[str], seq: str = "seq", op: str = "operation") -> tuple[DataFrame, DataFrame]:
+    """(rows, ledger) when a target is replaced by log: all its rows and what the ledger (target, event) has of it go, other targets' stay. A delete fails the job. An empty log resets the target."""
+    refused = F.when(F.lower(op) == "delete", F.raise_error(F.lit("a replacement has no deletes"))).otherwise(F.col(op))
+    written, events = ledger_apply(log.withColumn(op, refused.cast("string")), ledger.where("false").select(*event), event, key, seq)
+    return written, ledger.where(~F.col("target").eqNullSafe(F.lit(target))).unionByName(events.withColumn("target", F.lit(target)))
+
+
 def delta(before: DataFrame, after: DataFrame, key: str, fingerprint: str) -> DataFrame:
     """key and change (new, changed, unchanged, removed) between two snapshots."""
     a, b = before.select(F.col(key).alias("_a"), F.col(fingerprint).alias("_fa")), after.select(F.col(key).alias("_b"), F.col(fingerprint).alias("_fb"))
