@@ -4,10 +4,43 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class Scratch:
+    """Tables that are written while it is open are removed when it closes, but for those given to keep.
+
+    Whoever opens it has written, by its end, all that was made of the others: nothing reads them
+    again. What an inner one keeps is left to the one around it. After an error nothing is removed.
+    """
+
+    _open: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
+        self.kept: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        self.around = self._open.get()
+        self._open.set(self)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.append(table)
+        return table
+
+    def __exit__(self, kind: type[BaseException] | None, *_: object) -> None:
+        self._open.set(self.around)
+        for table, path in self.tables:
+            if any(table is k for k in self.kept) or kind:
+                if self.around:
+                    self.around.tables.append((table, path))
+            else:
+                removed(table.sparkSession, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Where it is unset: a temporary folder on a local master, ValueError on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,9 +56,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a table that has been written, so that all plans over it read the same rows."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    table = spark.read.schema(df.schema).parquet(path)
+    if scratch := Scratch._open.get():
+        scratch.tables.append((table, path))
+    return table
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table from the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
