@@ -7,7 +7,7 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.storage import shared_path, written
+from millrace.storage import written
 
 
 BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
@@ -24,10 +24,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and returns the written table: cuts the lineage, outlives executors, and its size is known to the planner."""
     small_batches(df.sparkSession)
-    return written(df, name)
+    return written(df, name, compression)
 
 
 def free(spark: SparkSession) -> None:
@@ -38,7 +38,7 @@ def free(spark: SparkSession) -> None:
 
 def identified(df: DataFrame) -> DataFrame:
     """df with uid, a number for each row, written once: a plan that numbers rows anew may number them otherwise when executors come or go. A column uid of df is replaced."""
-    rows = stage(df.withColumn("uid", F.monotonically_increasing_id()), "rows")
+    rows = stage(df.withColumn("uid", F.monotonically_increasing_id()), "rows", "zstd")  # whole texts
     free(df.sparkSession)
     return rows
 
