@@ -31,6 +31,11 @@ class Scratch:
         self.kept.append(table)
         return table
 
+    def take(self) -> list[tuple[DataFrame, str]]:
+        """The tables so far, with their paths; it is then for the caller to remove them."""
+        out, self.tables = self.tables, []
+        return out
+
     def __exit__(self, kind: type[BaseException] | None, *_: object) -> None:
         self._open.set(self.around)
         for table, path in self.tables:
@@ -56,11 +61,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table that has been written, so that all plans over it read the same rows."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     if scratch := Scratch._open.get():
         scratch.tables.append((table, path))
