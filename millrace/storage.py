@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,11 +62,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table that has been written, so that all plans over it read the same rows."""
+def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """df as a table that has been written, so that all plans over it read the same rows. by: columns, last in df, whose values are folders."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     if scratch := Scratch._open.get():
         scratch.tables.append((table, path))
