@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import hmm, langid, media, mixing, ngram_join, packing, quality, substring, topk, warc
+from millrace.llm import hmm, langid, media, merkle, mixing, ngram_join, packing, quality, substring, topk, warc
 from millrace.llm.common import read, remainder
 
 WORD = mixing.WORD
@@ -62,10 +62,16 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return merkle.proofs(merkle.build(docs, merkle.tampered())).drop("path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_media": op3_media, "op4_packing": op4_packing, "op5_mixing": op5_mixing,
         "op6_substring": op6_substring, "op7_topk": op7_topk, "op8_hmm": op8_hmm, "op9_warc": op9_warc, "op10_langid": op10_langid,
+        "op11_merkle": op11_merkle,
     }
 
 
@@ -102,6 +108,32 @@ SQL = {
                    from e q join e x on q.vec_id % 100 = 0 and x.u <> q.u)
         select query_id, (row_number() over (partition by u order by score desc, vec_id))::int as rank, vec_id, score
         from s qualify rank <= 10""",
+    "op11_merkle": r"""
+        with recursive d as (select *, source is null r, list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint),
+                                    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)) crc from documents),
+             f as (select *, coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-')
+                          || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') head,
+                          coalesce(xor(crc, 4294967295) % 5 = 0, false) t from d),
+             h as (select doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf, sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) changed, t from f),
+             b as (select doc_id, leaf, case when t then changed else leaf end given, dense_rank() over (order by source nulls first) tree,
+                          row_number() over (partition by source order by doc_id nulls first, leaf) - 1 p from h),
+             n as (select tree, 0 l, p, leaf x from b union all
+                   select tree, l + 1, p // 16, sha256(string_agg(x, '' order by p)) from (select *, count(*) over (partition by tree) c from n) where c > 1 group by tree, l, p // 16),
+             s as (select tree, arg_max(x, l) subroot from n group by 1),
+             m as (select 0 l, tree - 1 p, subroot x from s union all
+                   select l + 1, p // 16, sha256(string_agg(x, '' order by p)) from (select *, count(*) over () c from m) where c > 1 group by l, p // 16),
+             g as (select a.tree, a.l, a.p, coalesce(string_agg(o.x, '' order by o.p) filter (o.p < a.p), '') lo, coalesce(string_agg(o.x, '' order by o.p) filter (o.p > a.p), '') hi
+                   from n a join n o on a.tree = o.tree and a.l = o.l and a.p // 16 = o.p // 16 where a.l < (select max(l) from n z where z.tree = a.tree) group by 1, 2, 3),
+             k as (select a.l, a.p, coalesce(string_agg(o.x, '' order by o.p) filter (o.p < a.p), '') lo, coalesce(string_agg(o.x, '' order by o.p) filter (o.p > a.p), '') hi
+                   from m a join m o on a.l = o.l and a.p // 16 = o.p // 16 where a.l < (select max(l) from m) group by 1, 2),
+             u as (select doc_id, leaf, tree, p pos, 0 l, p, given x, '' proof from b union all
+                   select doc_id, leaf, u.tree, pos, u.l + 1, u.p // 16, sha256(lo || x || hi), proof || lo || hi from u join g on u.tree = g.tree and u.l = g.l and u.p = g.p),
+             v as (select tree, pos, doc_id, leaf, arg_max(x, l) x, arg_max(proof, l) proof from u group by 1, 2, 3, 4),
+             w as (select tree, pos, doc_id, leaf, 0 l, tree - 1 p, x, proof from v union all
+                   select tree, pos, doc_id, leaf, w.l + 1, w.p // 16, sha256(lo || x || hi), proof || lo || hi from w join k on w.l = k.l and w.p = k.p),
+             z as (select tree, pos, doc_id, leaf, arg_max(x, l) folded_root, sha256(arg_max(proof, l)) proof_sha256 from w group by 1, 2, 3, 4)
+        select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root verified
+        from z join s on z.tree = s.tree cross join (select arg_max(x, l) root from m)""",
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') html, strlen(coalesce(html, '')) n from pages),
              g as (select sha1(html) d, max(page_id) top from p where n >= 1000 group by 1)
