@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import hmm, langid, media, merkle, mixing, ngram_join, packing, quality, substring, topk, warc
+from millrace.llm import hmm, langid, media, merkle, mixing, ngram_join, packing, quality, setsketch, substring, topk, warc
 from millrace.llm.common import read, remainder
 
 WORD = mixing.WORD
@@ -67,11 +67,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(merkle.build(docs, merkle.tampered())).drop("path")
 
 
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_media": op3_media, "op4_packing": op4_packing, "op5_mixing": op5_mixing,
         "op6_substring": op6_substring, "op7_topk": op7_topk, "op8_hmm": op8_hmm, "op9_warc": op9_warc, "op10_langid": op10_langid,
-        "op11_merkle": op11_merkle,
+        "op11_merkle": op11_merkle, "op13_setsketch": op13_setsketch,
     }
 
 
@@ -134,6 +138,15 @@ SQL = {
              z as (select tree, pos, doc_id, leaf, arg_max(x, l) folded_root, sha256(arg_max(proof, l)) proof_sha256 from w group by 1, 2, 3, 4)
         select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root verified
         from z join s on z.tree = s.tree cross join (select arg_max(x, l) root from m)""",
+    "op13_setsketch": r"""
+        with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+             s as (select distinct doc_id, array_to_string(w[i:i + 1], ' ') g, len(w) = 1 one from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1)) + 1)) i from d)),
+             n as (select doc_id, count(*) n from s group by 1),
+             c as (select a.doc_id x, b.doc_id y, count(*) m from s a join s b on a.g = b.g and a.one = b.one and a.doc_id <> b.doc_id group by 1, 2),
+             l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * m >= 80 * (a.n + b.n - m)),
+             r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+             k as (select doc_id, coalesce((select n from n where n.doc_id = d.doc_id), 0) n_shingles, least(doc_id, coalesce((select min(y) from r where x = doc_id), doc_id)) component_id from d)
+        select *, doc_id = component_id kept from k""",
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') html, strlen(coalesce(html, '')) n from pages),
              g as (select sha1(html) d, max(page_id) top from p where n >= 1000 group by 1)
