@@ -9,6 +9,9 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting by which the shuffle files of a query go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Tables that are written while it is open are removed when it closes, but for those given to keep.
@@ -63,10 +66,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """df as a table that has been written, so that all plans over it read the same rows. by: columns, last in df, whose values are folders."""
+    """df as a table that has been written, so that all plans over it read the same rows; what was shuffled for it goes once it is there. by: columns, last in df, whose values are folders."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.partitionBy(*by).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     table = spark.read.schema(df.schema).parquet(path)
     if scratch := Scratch._open.get():
         scratch.tables.append((table, path))
