@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free, identified, small_batches, stage
+from millrace.llm.common import identified, small_batches, stage
 from millrace.llm.ngram_join import whole_buckets
 from millrace.operators.rows import numbered
 from millrace.storage import written
@@ -204,7 +204,6 @@ def build(docs: DataFrame, changed: Column | None = None) -> Manifest:
     # One row for each source, numbered by its first leaf; that order is the order of sources.
     sources = stage(placed.groupBy("source").agg(F.count("*").alias("n"), F.min("rank").alias("tree")).withColumnRenamed("source", "name"), "sources")
     leaves = stage(placed.join(sources, F.col("source").eqNullSafe(F.col("name"))).select("tree", "n", (F.col("rank") - F.col("tree")).alias("p"), "digest", "doc_id", "changed"), "leaves")
-    free(docs.sparkSession)
     strata = grow(leaves)
     subroots = numbered(roots(strata), ["tree"], "p").select(F.col("tree").alias("doc_id"), "p", "digest")
     total = sources.agg(F.count("*").alias("n"))

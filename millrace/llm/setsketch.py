@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free, identified, small_batches, stage
+from millrace.llm.common import identified, small_batches, stage
 from millrace.llm.ngram_join import components, overlaps, pairs, whole_buckets
 from millrace.llm.text import U, mix, shingle_hashes, slices, string_bytes, word_hashes, word_spans
 from millrace.storage import Scratch
@@ -258,9 +258,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
         nodes = sketched.where("key is not null").groupBy("key").agg(F.min(order).alias("o"), F.first("n").alias("n"), F.min("regs").alias("regs"))
         nodes = stage(nodes.select("key", F.col("o.uid").alias("node"), F.col("o.doc_id").alias("least"), F.col("o.none").alias("none"), "n", "regs"), "sets")
-        members = stage(buckets(nodes, bands, rows), "bands")
-        shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-        members = stage(members.join(shared, "bucket"), "shared")
+        with Scratch() as bucketing:
+            members = stage(buckets(nodes, bands, rows), "bands")
+            shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+            members = bucketing.keep(stage(members.join(shared, "bucket"), "shared"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -275,7 +276,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
 
         stars = favourites(members, block).select("bucket", "side", "node", F.lit(None).cast("int").alias("band"), F.col("node").alias("part"))
         first = links(stars, "stars")
-        free(docs.sparkSession)
         known = stage(components(first), "known")
         second = links(across(members, known, block), "across")
         member = components(first.unionByName(second))
@@ -284,7 +284,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
         named = stage(placed.join(least, "component").select("key", "component_id"), "components")
         scratch.keep(sketched)
         scratch.keep(named)
-    free(docs.sparkSession)
     out = sketched.select("doc_id", "n", F.col("key").alias("k")).join(named, F.col("k") == F.col("key"), "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
