@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import hmm, langid, media, merkle, mixing, ngram_join, packing, quality, setsketch, substring, topk, warc
+from millrace.llm import hmm, langid, media, merkle, mixing, ngram_join, packing, phrases, quality, setsketch, substring, topk, warc
 from millrace.llm.common import read, remainder
 
 WORD = mixing.WORD
@@ -67,6 +67,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(merkle.build(docs, merkle.tampered())).drop("path")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -75,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_media": op3_media, "op4_packing": op4_packing, "op5_mixing": op5_mixing,
         "op6_substring": op6_substring, "op7_topk": op7_topk, "op8_hmm": op8_hmm, "op9_warc": op9_warc, "op10_langid": op10_langid,
-        "op11_merkle": op11_merkle, "op13_setsketch": op13_setsketch,
+        "op11_merkle": op11_merkle, "op12_phrases": op12_phrases, "op13_setsketch": op13_setsketch,
     }
 
 
@@ -138,6 +142,25 @@ SQL = {
              z as (select tree, pos, doc_id, leaf, arg_max(x, l) folded_root, sha256(arg_max(proof, l)) proof_sha256 from w group by 1, 2, 3, 4)
         select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root verified
         from z join s on z.tree = s.tree cross join (select arg_max(x, l) root from m)""",
+    "op12_phrases": r"""
+        with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
+             w as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') w from p),
+             t as (select lang, sum(len(w))::bigint n from w group by 1),
+             f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') g, count(*) f
+                   from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w cross join range(1, 5) r(k)) group by 1, 2, 3 having count(*) >= 30),
+             g as materialized (select *, string_split(g, ' ') v from f),
+             c as (select * from g where k > 1),
+             u as (select c.lang, array_to_string(c.v[i:i + k2 - 1], ' ') g, k2, max(c.f) f from c cross join range(2, 4) r(k2) cross join range(1, 4) s(i)
+                   where k2 < k and i <= k - k2 + 1 group by 1, 2, 3),
+             s as (select c.lang, c.g, c.f a, l.f l, r.f r, (2000000 * c.f::hugeint // (l.f + r.f))::bigint score, m
+                   from c cross join range(1, 4) x(m)
+                   join g l on l.lang = c.lang and l.k = m and l.g = array_to_string(c.v[:m], ' ')
+                   join g r on r.lang = c.lang and r.k = c.k - m and r.g = array_to_string(c.v[m + 1:], ' ')
+                   left join u on u.lang = c.lang and u.g = c.g and u.k2 = c.k
+                   where m < c.k and (u.f is null or 100 * u.f::hugeint < 80 * c.f::hugeint)),
+             b as (select * from s qualify row_number() over (partition by lang, g order by score, m) = 1)
+        select b.lang, row_number() over (partition by b.lang order by score desc, a desc, g) as rank, g phrase, a, l, r, n, score
+        from b join t on t.lang = b.lang qualify rank <= 2000""",
     "op13_setsketch": r"""
         with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
              s as (select distinct doc_id, array_to_string(w[i:i + 1], ' ') g, len(w) = 1 one from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1)) + 1)) i from d)),
