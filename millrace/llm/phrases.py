@@ -26,7 +26,7 @@ from millrace.llm.common import small_batches, stage
 from millrace.llm.text import string_bytes
 from millrace.storage import Scratch
 
-TOKENS = 1 << 20
+TOKENS = 1 << 21
 # A number of a phrase is its slice's and its place there; a slice's is its task's and its place there.
 PLACES, SLICES, TASKS = 26, 12, 25
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -37,6 +37,17 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
 
+def packed(positions: np.ndarray) -> bytes:
+    """Positions as compressed steps; their first bytes stand together, then their second ones and so on, as most of the higher ones are 0."""
+    steps = np.diff(positions.astype(np.int32), prepend=np.int32(0)).astype("<i4")
+    return pa.Codec("zstd").compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).data, asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
+
+
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All words of a batch of texts, lower-cased, the row of each and its position: one more than the last word's in the same piece, else two more."""
     buf, offs = string_bytes(column)
@@ -62,7 +73,7 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def postings(docs: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
-    """A row for each slice: its words with their languages, how often each occurs (n), and all their positions, list after list (32-bit). A slice ends with the text that brings it to `tokens` words."""
+    """A row for each slice: its words with their languages, how often each occurs (n), and all their positions, list after list (packed). A slice ends with the text that brings it to `tokens` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
@@ -77,7 +88,7 @@ def postings(docs: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
             kinds, which, n = np.unique(code, return_inverse=True, return_counts=True)
             positions = np.concatenate([h[2] for h in held])[np.argsort(which, kind="stable")]
             names, one = pa.array(list(langs)), lambda a: pa.array([a.to_pylist()], pa.list_(pa.string()))
-            columns = [pa.array([task << SLICES | made]), one(names.take(pa.array(kinds % len(langs)))), one(coded.dictionary.take(pa.array(kinds // len(langs)))), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([positions.astype(np.int32).tobytes()], pa.binary())]
+            columns = [pa.array([task << SLICES | made]), one(names.take(pa.array(kinds % len(langs)))), one(coded.dictionary.take(pa.array(kinds // len(langs)))), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([packed(positions)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["slice", "lang", "word", "n", "positions"])
 
         for batch in batches:
@@ -100,7 +111,7 @@ def postings(docs: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
 
 
 def grown(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """For a slice and its frequent phrases (level, j, id) of fewer words: the phrases of `length` words, j, prefix and suffix (numbers of their parts), and n, the lengths of their lists."""
+    """For a slice and its frequent phrases (level, j, id) of fewer words: the phrases of `length` words, place, prefix and suffix (numbers of their parts), and n, the lengths of their lists."""
 
     def run(files: pa.Table, frequent: pa.Table) -> pa.Table:
         level, j, ids = (frequent[c].to_numpy() for c in ("level", "j", "id"))
@@ -113,7 +124,7 @@ def grown(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not files.num_rows:  # a slice is never without its file
             raise ValueError("phrases of an unknown slice")
         n = files["n"].combine_chunks().flatten().to_numpy()
-        at, own = np.frombuffer(files["positions"][0].as_buffer(), np.int32), np.repeat(numbers(1, len(n)), n)
+        at, own = unpacked(files["positions"][0].as_py(), int(n.sum())), np.repeat(numbers(1, len(n)), n)
         for k in range(2, length + 1):
             at, own = at[own >= 0], own[own >= 0]
             if k == 2:
@@ -128,18 +139,18 @@ def grown(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if len(n) >> PLACES:
             raise ValueError("more phrases in a slice than numbers for them")
         prefix, suffix = a[kinds // max(len(b), 1)], b[kinds % max(len(b), 1)]
-        slices = np.full(len(kinds), files["slice"][0].as_py())
-        return pa.table({"slice": slices, "j": np.arange(len(kinds), dtype=np.int32), "prefix": prefix, "suffix": suffix, "n": n.astype(np.int64)})
+        places = np.arange(len(kinds)) + (files["slice"][0].as_py() << PLACES)
+        return pa.table({"place": places, "prefix": prefix, "suffix": suffix, "n": n.astype(np.int32)})
 
     return run
 
 
 def frequent(lists: DataFrame, key: list[str], least: int, level: int) -> DataFrame:
-    """The lists (slice, j, key, n) of phrases that occur `least` times or more in all slices, with level, f (how often) and id, a number: that of the first place where the phrase has a list. There is a list for each slice at most."""
-    place = F.shiftleft("slice", PLACES) + F.col("j")
+    """The lists (place, key, n) of phrases that occur `least` times or more in all slices, with their slice and j (their place in it), level, f (how often) and id, a number: that of the first place where the phrase has a list. There is a list for each slice at most."""
     whole = W.partitionBy(*key)
-    rows = lists.withColumn("f", F.sum("n").over(whole)).where(F.col("f") >= least).withColumn("id", F.min(place).over(whole))
-    return rows.select("slice", F.lit(level).alias("level"), "j", "id", "f", (F.col("id") == place).alias("names"), *key)
+    rows = lists.withColumn("f", F.sum("n").over(whole)).withColumn("id", F.min("place").over(whole)).where(F.col("f") >= least)
+    j = F.col("place").bitwiseAND((1 << PLACES) - 1).cast("int")
+    return rows.select(F.shiftright("place", PLACES).alias("slice"), F.lit(level).alias("level"), j.alias("j"), "id", "f", (F.col("id") == F.col("place")).alias("names"), *key)
 
 
 def decimal(c: Column | str) -> Column:
@@ -171,14 +182,14 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     small_batches(docs.sparkSession)
     with Scratch() as scratch:
         files = stage(postings(docs, text, lang, tokens), "postings")
-        words = files.select("slice", F.posexplode(F.arrays_zip("lang", "word", "n")).alias("j", "w")).select("slice", "j", "w.lang", "w.word", F.col("w.n").cast("long").alias("n"))
+        words = files.select("slice", F.posexplode(F.arrays_zip("lang", "word", "n")).alias("j", "w")).select((F.shiftleft("slice", PLACES) + F.col("j")).alias("place"), "w.lang", "w.word", "w.n")
         totals = scratch.keep(stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals"))
         known = stage(frequent(words, ["lang", "word"], least, 1), "frequent1")
         none = F.array().cast("array<long>")
         levels = [known.where("names").select("id", "f", "lang", F.col("word").alias("text"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))]
         marks, phrases = known.select("slice", "level", "j", "id"), []
         for k in range(2, longest + 1):
-            lists = files.select("slice", "n", "positions").groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(grown(k), "slice long, j int, prefix long, suffix long, n long")
+            lists = files.select("slice", "n", "positions").groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(grown(k), "place long, prefix long, suffix long, n int")
             known = stage(frequent(lists, ["prefix", "suffix"], least, k), f"frequent{k}")
             marks = marks.unionByName(known.select("slice", "level", "j", "id"))
             levels.append(stage(named(known.where("names").select("id", "f", "prefix", "suffix"), levels[-1]), f"phrases{k}"))
