@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,44 +10,14 @@ from pyspark.sql import functions as F
 from millrace.llm import langid, mixing, ngram_join, packing, substring
 from millrace.llm.common import read, remainder, stage
 from millrace.llm.queries import tokenizer_path
-from millrace.storage import Scratch, removed
+from millrace.storage import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Texts whose language is less sure than this are rejected: few of their n-grams occur in any language that was learned.
 LEAST_SURE = 0.1
 
-#: Paths of the tables that the stage called last has left for its result.
-_left: list[str] = []
 
-
-def after_another(stage_function: Stage) -> Stage:
-    """A stage that follows another. Its docs are the other's result, written and read again: the tables that stage made its result from are removed."""
-
-    @wraps(stage_function)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _left:
-            removed(spark, _left.pop())
-        return leaving(stage_function)(spark, docs, sf_dir)
-
-    return run
-
-
-def leaving(stage_function: Stage) -> Stage:
-    """A stage whose tables are noted for the one after it."""
-
-    @wraps(stage_function)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _left.clear()
-        with Scratch() as scratch:
-            out = stage_function(spark, docs, sf_dir)
-            _left.extend(path for _, path in scratch.take())
-        return out
-
-    return run
-
-
-@leaving
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, without text or in no known language; learns from the documents' lang."""
     model = langid.fit(docs.where(remainder("doc_id", 4) != 2))
@@ -56,13 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_sure") >= LEAST_SURE)).select(*docs.columns)
 
 
-@after_another
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return ngram_join.keep_first(docs)
 
 
-@after_another
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that have an earlier occurrence are cut; documents of which nothing is left go."""
     cut = substring.cut_repeats(docs)
@@ -70,13 +37,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", length).select(*docs.columns)
 
 
-@after_another
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated and cut to their target shares."""
     return mixing.take_mix(docs)
 
 
-@after_another
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
     return packing.pack(docs, tokenizer_path())
@@ -84,14 +49,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("source_mix", source_mix), ("packing", pack)]
 
-#: Min-hashes, tokenizers and the order of cuts have no counterpart in SQL; tests hold the stages against brute force.
+#: Min-hashes, tokenizers and the order of cuts have no counterpart in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents, each result written before the next one begins; what a stage made its result from is removed then. Stages that are called by themselves leave their tables, as their results are lazy."""
     docs = read(spark, sf_dir, "documents")
-    with Scratch() as scratch:
+    with Scratch() as results:
         for name, step in STAGES[:-1]:
-            docs = stage(step(spark, docs, sf_dir), name)
-        scratch.keep(docs)
+            with Scratch() as scratch:
+                docs = scratch.keep(stage(step(spark, docs, sf_dir), name))
+        results.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

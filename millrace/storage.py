@@ -17,7 +17,7 @@ class Scratch:
     """Tables that are written while it is open are removed when it closes, but for those given to keep.
 
     Whoever opens it has written, by its end, all that was made of the others: nothing reads them
-    again. What an inner one keeps is left to the one around it. After an error nothing is removed.
+    again. What an inner one keeps is left to the one around it. After an error all are removed.
     """
 
     _open: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
@@ -35,15 +35,10 @@ class Scratch:
         self.kept.append(table)
         return table
 
-    def take(self) -> list[tuple[DataFrame, str]]:
-        """The tables so far, with their paths; it is then for the caller to remove them."""
-        out, self.tables = self.tables, []
-        return out
-
     def __exit__(self, kind: type[BaseException] | None, *_: object) -> None:
         self._open.set(self.around)
         for table, path in self.tables:
-            if any(table is k for k in self.kept) or kind:
+            if not kind and any(table is k for k in self.kept):
                 if self.around:
                     self.around.tables.append((table, path))
             else:
