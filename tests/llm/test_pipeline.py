@@ -28,3 +28,12 @@ def test_empty_input(spark, written):
     for _, step in corpus_pipeline.STAGES:
         docs = stage(step(spark, docs, ""), "t")
         assert docs.count() == 0
+
+
+def test_stages_leave_their_tables_to_lazy_results(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    cut = corpus_pipeline.substring_dedup(spark, kept, sf)
+    mixed = corpus_pipeline.source_mix(spark, cut, sf)
+    other = corpus_pipeline.near_duplicates(spark, docs.where("doc_id < 60"), sf)
+    assert mixed.count() and cut.count() <= kept.count() <= 120 and other.count() <= 60
