@@ -8,10 +8,10 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.search import Request, search
+from millrace.operators.search import Request, searchable_text
 from millrace.plans.plugins import GROUPS, discover
 from millrace.sources.envelopes import json_lines
-from millrace.streaming.pipeline import ViewTable
+from millrace.streaming.index import SearchIndex
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,18 +41,19 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if a.verb == "plugins":
         return [{k: sorted(discover(k)) for k in GROUPS}]
     spark = spark or SparkSession.builder.getOrCreate()
-    view = ViewTable(spark, a.collection)
+    index = SearchIndex(spark, a.collection, stored=("payload",))
     if a.verb == "ingest-jsonl":
-        last = view.newest()
+        last = index.newest()
         log = json_lines(spark, a.input, a.source, a.stream, a.id_field, a.operation_field)
-        view.apply(log, (last[1] + 1) if last else 0)
-        return [{"records": view.read().count()}]
-    where = tuple((k, v) for k, v in (("source", a.source), ("stream", a.stream)) if v)
-    rows = view.read()
-    if rows is None:
+        head = F.to_json(F.array("id", "source", "stream", "operation"))
+        body = F.concat(F.lit("["), head, F.lit(","), F.coalesce("payload", F.lit("null")), F.lit("]"))
+        index.apply(log.withColumn("text", searchable_text(body)), last[0] if last else 0)
+        return [{"records": index.read().count()}]
+    if index.newest() is None:
         return []
-    rows = rows.withColumn("text", F.concat_ws(" ", "id", "source", "stream", "operation", F.array_join(F.regexp_extract_all("payload", F.lit(r'"[^"]*"\s*:\s*("[^"]*"|-?[0-9.]+)'), F.lit(1)), " ")))
-    return [{"id": r["id"], "score": r["score"], "payload": r["payload"]} for r in search(rows, Request(a.text, a.limit, a.offset, where)).collect()]
+    where = tuple((k, v) for k, v in (("source", a.source), ("stream", a.stream)) if v)
+    page = index.search(Request(a.text, a.limit, a.offset, where))
+    return [{"id": r["id"], "score": r["score"], "payload": r["payload"]} for r in page.collect()]
 
 
 if __name__ == "__main__":

@@ -12,7 +12,9 @@ from millrace.functions import columns as C
 from millrace.operators import chunking, control, history, models, rows, search, select, view
 from millrace.plans import graph
 from millrace.sources import envelopes, paged, parsers
+from millrace.storage import shared_path
 from millrace.streaming import pipeline
+from millrace.streaming.index import SearchIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +86,16 @@ def current_view_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.current_view(changelog(spark, sf_dir)).select("id", "operation", "value", "event_type", "seq")
 
 
+@query(f"with l as ({LOG}), r as (select *, row_number() over (partition by id order by seq desc) k from l) select id, value, event_type, seq from r where k = 1 and op <> 'delete'")
+def view_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view in buckets after two batches: all events with other values, then all events."""
+    log = changelog(spark, sf_dir)
+    kept = pipeline.ViewTable(spark, shared_path(spark, "view"), buckets=16)
+    kept.apply(log.withColumn("value", -F.col("value")), 0)
+    kept.apply(log, 1)
+    return kept.read().select("id", "value", "event_type", "seq")
+
+
 @query(f"with l as ({LOG}), r as (select id, max_by(op, seq) op from l group by id) select count(*) filter (op = 'delete') removed, count(*) filter (op <> 'delete') present from r")
 def current_view_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = changelog(spark, sf_dir)
@@ -408,6 +420,44 @@ def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.total(table(spark, sf_dir, "documents"), search.Request("the thing"))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """All documents in an index, by two batches: the first has another text of each and a row more for each, the second replaces the texts and deletes those rows."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("files").alias("stream"), "doc_id", "source", "text", "lang")
+    typed = docs.select("source", "stream", F.col("doc_id").cast("string").alias("id"), F.lit("upsert").alias("operation"), "text", F.col("doc_id").alias("seq"), "doc_id", "lang")
+    again = typed.withColumn("id", F.concat(F.lit("draft "), "id"))
+    first = typed.withColumn("text", F.concat_ws(" ", F.lit("the thing of the"), "lang"))
+    index = SearchIndex(spark, shared_path(spark, "index"), stored=("doc_id",))
+    index.apply(first.unionByName(again), 0)
+    index.apply(typed.unionByName(again.withColumn("operation", F.lit("delete"))), 1)
+    return index
+
+
+def hits(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(f"{BM25} select doc_id, score from r where source = 'src3' order by score desc, doc_id limit 5 offset 2")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(indexed(spark, sf_dir).search(search.Request("the, THING!", limit=5, offset=2, where=(("source", "src3"),))))
+
+
+@query(r"""with d as (select doc_id, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda t: t <> '') w from documents),
+    f as (select doc_id, len(w) n, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the')) a from d),
+    s as (select count(*) c, avg(n) l, count(*) filter (a > 0) da from f)
+    select doc_id, round(case when ln((c - da + 0.5) / (da + 0.5)) <= 0 then 1e-6 else ln((c - da + 0.5) / (da + 0.5)) end * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / l)), 9) score
+    from f, s where a > 0 order by score desc, doc_id limit 100""")
+def index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(indexed(spark, sf_dir).search(search.Request("of_the", limit=100)))
+
+
+@query(f"{BM25} select count(*) total from r")
+def index_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After the segments were made one."""
+    index = indexed(spark, sf_dir)
+    index.compact()
+    return index.total(search.Request("the thing"))
+
+
 @query("select event_id, event_type || ' ' || json_extract_string(props, '$.k') || ' end' as text from events")
 def searchable_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit('{"kind": "record", "a": ["'), F.col("event_type"), F.lit('", '), F.col("props"), F.lit(', true, null, {"provenance": 1, "z": "end"}]}'))

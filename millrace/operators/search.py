@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +38,7 @@ class Request:
         return found
 
 
-def _phrases(spark: SparkSession, terms: list[str]) -> list[str]:
+def phrases_of(spark: SparkSession, terms: list[str]) -> list[str]:
     """Terms as the tokeniser sees them: folded, an underscore parts two words of a phrase."""
     row = spark.range(1).select(*[F.array_join(search_tokens(F.lit(t)), " ").alias(str(i)) for i, t in enumerate(terms)]).first()
     return [p for p in row if p]
@@ -45,21 +46,31 @@ def _phrases(spark: SparkSession, terms: list[str]) -> list[str]:
 
 def _ranked(docs: DataFrame, text: str, request: Request) -> DataFrame:
     """Rows that match, with score. Statistics are over the whole collection; they are one row."""
-    phrases = _phrases(docs.sparkSession, request.terms())
+    phrases = phrases_of(docs.sparkSession, request.terms())
     tokens = search_tokens(F.col(text))
     joined = docs.withColumn("_tokens", tokens).withColumn("_len", F.size("_tokens"))
     tf = lambda p: F.size(F.filter("_tokens", lambda t: t == p)) if " " not in p else F.regexp_count(F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" ")), F.lit(f"(?<= ){p}(?= )"))
     counted = joined.select("*", *[tf(p).alias(f"_tf{i}") for i, p in enumerate(phrases)]).drop("_tokens")
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))])
-    hits = counted.where(" and ".join(f"_tf{i} > 0" for i in range(len(phrases))))
-    for column, value in request.where:
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *frequencies(len(phrases)))
+    return scored(counted, stats, len(phrases), request.where).select(*docs.columns, "score")
+
+
+def frequencies(n: int) -> list[Column]:
+    """In how many rows each of n phrases occurs."""
+    return [F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(n)]
+
+
+def scored(counted: DataFrame, stats: DataFrame, n: int, where: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows in which all of n phrases occur, with score. counted has _len and _tf0, _tf1, ... of each row; stats is one row: _n, _avg and _df0, _df1, ... of the collection."""
+    hits = counted.where(" and ".join(f"_tf{i} > 0" for i in range(n)))
+    for column, value in where:
         hits = hits.where(F.col(column) == value)
     score: Column = F.lit(0.0)
-    for i in range(len(phrases)):
+    for i in range(n):
         f, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
         idf = F.ln((F.col("_n") - df + 0.5) / (df + 0.5))
         score = score + F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return hits.join(F.broadcast(stats)).withColumn("score", score).select(*docs.columns, "score")
+    return hits.join(F.broadcast(stats)).withColumn("score", score)
 
 
 def search(docs: DataFrame, request: Request, text: str = "text", seq: str = "seq") -> DataFrame:
@@ -82,7 +93,6 @@ def total(docs: DataFrame, request: Request, text: str = "text") -> DataFrame:
 
 
 
-
 def searchable_text(value: Column) -> Column:
     """All strings and numbers of a JSON value, in order, with a space between; keys, true, false and null aren't text, nor is what stands under observed_at, provenance or kind. Null stays null; text that isn't JSON fails the job."""
 
