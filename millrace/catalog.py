@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -170,9 +170,27 @@ def tombstones_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources
 
 
+def event_lines(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
+    """events in order as files of JSON lines, read as envelopes."""
+    path = shared_path(spark, "jsonl")
+    props = F.concat(F.substring("props", 1, F.length("props") - 1), F.lit(', "event": '), F.col("event_id").cast("string"), F.lit("}"))
+    head = F.concat(F.lit("{"), F.coalesce(F.concat(F.lit('"id": '), key.cast("string"), F.lit(", ")), F.lit("")))
+    line = F.concat(head, F.lit('"props": '), props, F.lit("}"))
+    table(spark, sf_dir, "events").repartitionByRange("event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    return envelopes.json_lines(spark, path, "files", "events")
+
+
 @query("select event_id, json_extract_string(props, '$.k')::bigint k from events")
 def jsonl_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+    rows = event_lines(spark, sf_dir, F.col("event_id"))
+    body = F.try_parse_json("payload")
+    return rows.select(F.variant_get(body, "$.id", "long").alias("event_id"), F.variant_get(body, "$.props.k", "long").alias("k"))
+
+
+@query("select event_id, row_number() over (order by event_id) - 1 seq from events")
+def jsonl_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without ids, by their places."""
+    return event_lines(spark, sf_dir, F.lit(None)).select(F.variant_get(F.try_parse_json("payload"), "$.props.event", "long").alias("event_id"), "seq")
 
 
 @query("with p as (select 'k' path, json_extract(props, '$.k') v from events) select path, case when json_type(v) in ('BIGINT', 'UBIGINT') then 'integer' when json_type(v) = 'DOUBLE' then 'number' when json_type(v) = 'VARCHAR' then 'string' else lower(json_type(v)) end as type, count(*) \"rows\" from p where v is not null group by all")

@@ -6,9 +6,12 @@ import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import SEPARATOR, record_id
+from millrace.sources.lines import SPLIT, line_stream
+from millrace.storage import written
 
 SCHEMA = (
     "id string, source string, stream string, operation string, schema_version string, payload_kind string, payload string, "
@@ -47,23 +50,53 @@ def checked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.when(bad, F.raise_error(F.lit("a delete without a tombstone, or no id"))).otherwise(F.col("id")))
 
 
-def json_lines(spark: SparkSession, path: str, source: str, stream: str, id_field: str = "id", operation_field: str = "_operation", strict: bool = True) -> DataFrame:
-    """JSON objects of a file, one a line, as envelopes with seq. Blank lines are skipped; a line without the id field goes by its number.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 1 in its file), seq (from 0 over all files, by their names), file and value of all lines of text files.
 
-    Lines are numbered within each file by their place in it. strict: a line that isn't an object fails the job.
+    Lines are written with the range of the file that they were read from. In a range they are in
+    order, so a line's number is its place there and the number of lines in the ranges before.
     """
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("seq")).where(F.trim("value") != "")
+    where = F.col("_metadata")
+    read = spark.read.option("lineSep", "\n").text(path)
+    rows = written(read.select("value", where.file_path.alias("file"), where.file_block_start.alias("_start"), F.monotonically_increasing_id().alias("_id")), "lines")
+    ranges = rows.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = W.orderBy("file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    # One row for each range of a file.
+    placed = ranges.withColumn("_all", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_here", F.coalesce(F.sum("_n").over(before.partitionBy("file").orderBy("_start")), F.lit(0))).drop("_n")
+    place = F.col("_id") - F.col("_first")
+    value = F.regexp_replace("value", "\r$", "")
+    return rows.join(placed, ["file", "_start"]).select((F.col("_here") + place + 1).alias("line"), (F.col("_all") + place).alias("seq"), "file", value.alias("value"))
+
+
+def line_envelopes(lines: DataFrame, source: str, stream: str, id_field: str = "id", operation_field: str = "_operation", strict: bool = True, number: Column | None = None) -> DataFrame:
+    """Lines (line, seq, value) of JSON objects as envelopes with seq. Blank lines are skipped; a line without the id field goes by its number. strict: a line that isn't an object fails the job."""
     body = F.try_parse_json("value")
     # The schema of a JSON value as text tells an object from the rest.
     isobject = F.coalesce(F.startswith(F.schema_of_variant(body), F.lit("OBJECT")), F.lit(False))
-    value = F.when(isobject, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80))) if strict else F.lit(None))
-    rows = lines.withColumn("_body", value).where(F.col("_body").isNotNull())
+    refused = F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" is not a JSON object: "), F.substring("value", 1, 80)))
+    value = F.when(isobject, F.col("value")).otherwise(refused if strict else F.lit(None))
+    rows = lines.where(F.trim("value") != "").withColumn("_body", value).where(F.col("_body").isNotNull())
     field = lambda name: F.get_json_object("_body", f"$.{name}")
-    native = F.coalesce(field(id_field), (F.col("seq") + 1).cast("string"))
-    made = envelopes(rows, source, stream, native, F.col("_body"), operation=F.coalesce(field(operation_field), F.lit("upsert")), metadata=F.create_map(F.lit("seq"), F.col("seq").cast("string")))
+    native = F.coalesce(field(id_field), number if number is not None else F.col("line").cast("string"))
+    facts = F.create_map(F.lit("seq"), F.col("seq").cast("string"), F.lit("line_number"), F.col("line").cast("string"), F.lit("native_id"), native)
+    made = envelopes(rows, source, stream, native, F.col("_body"), operation=F.coalesce(field(operation_field), F.lit("upsert")), metadata=facts)
     return made.withColumn("seq", F.col("metadata")["seq"].cast("long"))
 
 
+def json_lines(spark: SparkSession, path: str, source: str, stream: str, id_field: str = "id", operation_field: str = "_operation", strict: bool = True) -> DataFrame:
+    """JSON objects of files, one a line, as envelopes with seq, the place among all lines. Of several files, a line without the id field goes by its file's name and its number there."""
+    lines = numbered_lines(spark, path)
+    several = lines.select("file").distinct().limit(2).count() > 1
+    name = F.concat(F.element_at(F.split("file", "/"), -1), F.lit(":"), F.col("line").cast("string"))
+    return line_envelopes(lines, source, stream, id_field, operation_field, strict, name if several else None)
+
+
+def json_lines_stream(spark: SparkSession, path: str, source: str, stream: str, id_field: str = "id", operation_field: str = "_operation", split: int = SPLIT, last: bool = False) -> DataFrame:
+    """A growing file of JSON objects as a stream of envelopes with seq: the same ids as json_lines, whatever the size of partitions and however often the query begins again."""
+    lines = line_stream(spark, path, split, last).withColumn("seq", F.col("line") - 1)
+    return line_envelopes(lines, source, stream, id_field, operation_field)
+
+
 def lines_state(data: bytes, lines: int) -> dict[str, object]:
     """What a reader of a growing file keeps: where it was, and the hash of all before it."""
     return {"byte_offset": len(data), "line_number": lines, "prefix_sha256": hashlib.sha256(data).hexdigest()}
