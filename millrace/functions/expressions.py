@@ -13,6 +13,14 @@ from pyspark.sql import types as T
 # Functions that expressions may call.
 ALLOWED = ("len", "str", "int", "float", "bool", "abs", "min", "max", "sum", "any", "all", "list", "dict", "set", "tuple", "sorted", "reversed", "enumerate", "range", "zip", "map", "filter", "round")
 TEXT_METHODS = ("lower", "upper", "strip", "lstrip", "rstrip", "title", "replace", "join")
+# How many arguments each takes here, least and most; more than these, or names for them, are refused.
+ARGUMENTS = {
+    "len": (1, 1), "str": (1, 1), "int": (1, 1), "float": (1, 1), "bool": (1, 1), "abs": (1, 1), "min": (1, 99), "max": (1, 99), "sum": (1, 1), "any": (1, 1), "all": (1, 1), "list": (1, 1), "set": (1, 1), "tuple": (1, 1),
+    "sorted": (1, 1), "reversed": (1, 1), "enumerate": (1, 1), "range": (1, 3), "zip": (1, 99), "map": (2, 2), "filter": (2, 2), "round": (1, 2),
+    ".lower": (0, 0), ".upper": (0, 0), ".strip": (0, 1), ".lstrip": (0, 1), ".rstrip": (0, 1), ".title": (0, 0), ".replace": (2, 2), ".join": (1, 1), ".startswith": (1, 1), ".endswith": (1, 1), ".find": (1, 1), ".split": (0, 2), ".count": (1, 1),
+}
+# What Python takes for white space.
+BLANK = r"(?U)[\s\x1c-\x1f]"
 
 
 def either(*parts: Column | None) -> Column | None:
@@ -34,6 +42,7 @@ class Expression:
     def __init__(self, schema: T.StructType, names: Sequence[str] = ("item", "data", "input")) -> None:
         self.fields, self.names = {f.name: f.dataType for f in schema.fields}, names
         self.bound: dict[str, tuple[Column, str]] = {}
+        self.whole: set[str] = set()  # loop variables that are integers
 
     def column(self, text: str) -> Column:
         """The value; null where the row fails."""
@@ -84,13 +93,16 @@ class Expression:
                 return "none" if value is None else "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
             case ast.JoinedStr():
                 return "string"
-            case ast.Compare() | ast.BoolOp() | ast.UnaryOp(op=ast.Not()):
+            case ast.BoolOp(values=values):
+                kinds = {self.kind(v) for v in values} - {"none"}
+                return kinds.pop() if len(kinds) == 1 else "none" if not kinds else "mixed"
+            case ast.Compare() | ast.UnaryOp(op=ast.Not()):
                 return "boolean"
             case ast.ListComp() | ast.GeneratorExp() | ast.SetComp() | ast.List() | ast.Tuple() | ast.Set():
                 return "array"
             case ast.IfExp(body=body):
                 return self.kind(body)
-            case ast.BinOp(left=left, op=ast.Add(), right=right):
+            case ast.BinOp(left=left, op=ast.Add() | ast.Mult(), right=right):
                 return "string" if "string" in (self.kind(left), self.kind(right)) else "number"
             case ast.Subscript(value=value, slice=ast.Constant()):
                 return self.element(value)
@@ -219,8 +231,13 @@ class Expression:
             case ast.Subscript(slice=ast.Constant(value=int()) | ast.UnaryOp(op=ast.USub(), operand=ast.Constant(value=int()))):
                 at = ast.literal_eval(node.slice)
                 return F.try_element_at(self.visit(node.value), F.lit(at + 1 if at >= 0 else at))
-            case ast.BoolOp():
-                return self.truth(node)
+            case ast.BoolOp(values=values, op=op):
+                if self.kind(node) == "mixed":
+                    raise ValueError(f"{ast.unparse(node)}: values of different kinds can't be one column")
+                out = self.visit(values[-1])
+                for v in reversed(values[:-1]):
+                    out = F.when(self.truth(v), out).otherwise(self.visit(v)) if isinstance(op, ast.And) else F.when(self.truth(v), self.visit(v)).otherwise(out)
+                return out
             case ast.UnaryOp(op=ast.Not(), operand=of):
                 return ~self.truth(of)
             case ast.UnaryOp(op=ast.USub()):
@@ -235,7 +252,9 @@ class Expression:
             case ast.Call():
                 return self.call(node)
             case ast.JoinedStr():
-                return F.concat(*[F.coalesce(self.visit(v.value).cast("string"), F.lit("None")) if isinstance(v, ast.FormattedValue) else self.visit(v) for v in node.values])
+                if any(isinstance(v, ast.FormattedValue) and (v.format_spec or v.conversion != -1) for v in node.values):
+                    raise ValueError(f"{ast.unparse(node)}: formats are not supported")
+                return F.concat(F.lit(""), *[self.as_text(v.value) if isinstance(v, ast.FormattedValue) else self.visit(v) for v in node.values])
             case ast.List() | ast.Tuple():
                 return F.array(*map(self.visit, node.elts))
             case ast.Set():
@@ -266,8 +285,49 @@ class Expression:
         finally:
             self.bound = before
 
+    def as_text(self, node: ast.AST) -> Column:
+        """str() of a value."""
+        kind, value = self.kind(node), self.visit(node)
+        if kind not in ("string", "boolean", "number", "none"):
+            raise ValueError(f"{ast.unparse(node)}: only simple values can be text")
+        return F.coalesce(F.when(value, "True").otherwise(F.when(~value, "False")) if kind == "boolean" else value.cast("string"), F.lit("None"))
+
+    def integral(self, node: ast.AST, element: bool = False) -> bool:
+        """Whether a number, or an array's elements, are known to be integers."""
+        if (name := self.field_name(node)) in self.fields:
+            kind = self.fields[name]
+            return isinstance(kind.elementType if element and isinstance(kind, T.ArrayType) else kind, T.IntegralType)
+        match node:
+            case ast.Constant(value=value):
+                return isinstance(value, int) and not isinstance(value, bool)
+            case ast.List(elts=elts) | ast.Tuple(elts=elts) | ast.Set(elts=elts):
+                return element and all(map(self.integral, elts))
+            case ast.BinOp(op=ast.Add() | ast.Sub() | ast.Mult() | ast.Mod(), left=left, right=right):
+                return self.integral(left) and self.integral(right)
+            case ast.Call(func=ast.Name(id="len" | "int" | "range")):
+                return True
+            case ast.Call(func=ast.Name(id="sorted" | "reversed" | "list" | "set" | "tuple"), args=[of]):
+                return self.integral(of, element)
+            case ast.Name(id=name):
+                return name in self.whole
+            case ast.ListComp(elt=elt, generators=[loop]) | ast.GeneratorExp(elt=elt, generators=[loop]) | ast.SetComp(elt=elt, generators=[loop]):
+                before = self.whole
+                if isinstance(loop.target, ast.Name):
+                    self.whole = before | {loop.target.id} if self.integral(loop.iter, True) else before - {loop.target.id}
+                try:
+                    return self.integral(elt)
+                finally:
+                    self.whole = before
+        return False
+
     def arithmetic(self, node: ast.BinOp) -> Column:
+        kinds = self.kind(node.left), self.kind(node.right)
         a, b = self.visit(node.left), self.visit(node.right)
+        if isinstance(node.op, ast.Mult) and set(kinds) == {"string", "number"}:
+            text, n = (a, b) if kinds[0] == "string" else (b, a)
+            return F.when(n.isNotNull(), F.repeat(text, F.greatest(n, F.lit(0)).cast("int")))
+        if not isinstance(node.op, ast.Add) and {"string", "array", "map", "struct"} & set(kinds):
+            raise ValueError(f"{ast.unparse(node)}: not supported")
         match node.op:
             case ast.Add():
                 return F.concat(a, b) if {self.kind(node.left), self.kind(node.right)} & {"string", "array"} else F.try_add(a, b)
@@ -280,7 +340,7 @@ class Expression:
             case ast.FloorDiv():
                 return F.floor(F.try_divide(a.cast("double"), b))
             case ast.Mod():
-                return F.when(b != 0, F.pmod(a, b))
+                return F.when(b != 0, (a % b + b) % b)
         raise ValueError(f"{ast.unparse(node)}: not supported")
 
     def compare(self, op: ast.cmpop, left: ast.AST, right: ast.AST) -> Column:
@@ -310,17 +370,52 @@ class Expression:
 
     def method(self, node: ast.Call) -> Column:
         name, of = node.func.attr, node.func.value
+        self.checked(f".{name}", node)
+        if name == "join":
+            if not (isinstance(of, ast.Constant) and isinstance(of.value, str)):
+                raise ValueError(f"{ast.unparse(node)}: only a text can join")
+            return F.array_join(self.visit(node.args[0]), of.value)
+        if name == "split" and node.args:
+            return self.split(node)
         args, me = [self.visit(a) for a in node.args], self.visit(of)
         literal = lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))
         made = {
-            "lower": lambda: F.lower(me), "upper": lambda: F.upper(me), "strip": lambda: F.trim(me), "lstrip": lambda: F.ltrim(me), "rstrip": lambda: F.rtrim(me), "title": lambda: F.initcap(me),
+            "lower": lambda: F.lower(me), "upper": lambda: F.upper(me), "title": lambda: self.titled(me),
+            "strip": lambda: F.btrim(me, *args) if args else F.regexp_replace(me, f"{BLANK}+$|^{BLANK}+", ""), "lstrip": lambda: F.ltrim(me, *args) if args else F.regexp_replace(me, f"^{BLANK}+", ""), "rstrip": lambda: F.rtrim(me, *args) if args else F.regexp_replace(me, f"{BLANK}+$", ""),
             "startswith": lambda: F.startswith(me, *args), "endswith": lambda: F.endswith(me, *args), "replace": lambda: F.replace(me, *args), "find": lambda: F.instr(me, *args) - 1,
-            "split": lambda: F.split(F.trim(me), r"\s+") if not args else F.split(me, literal(args[0])), "count": lambda: F.regexp_count(me, literal(args[0])), "join": lambda: F.array_join(args[0], of.value),
+            "split": lambda: F.filter(F.split(me, f"{BLANK}+"), lambda x: x != ""), "count": lambda: F.regexp_count(me, literal(args[0])),
         }
         if name not in made:
             raise ValueError(f".{name}() is not supported")
         return made[name]()
 
+    def checked(self, name: str, node: ast.Call) -> None:
+        """Refuses arguments that aren't handled."""
+        least, most = ARGUMENTS.get(name, (0, 99))
+        if not least <= len(node.args) <= most or any(isinstance(a, ast.Starred) for a in node.args):
+            raise ValueError(f"{ast.unparse(node)}: {name}() takes {least} to {most} arguments here")
+        for k in node.keywords:
+            if not (name == "sorted" and k.arg == "reverse" and isinstance(k.value, ast.Constant) and isinstance(k.value.value, bool)):
+                raise ValueError(f"{ast.unparse(node)}: {k.arg}= is not supported")
+
+    def split(self, node: ast.Call) -> Column:
+        """split by a text, at most so many times."""
+        by, most = node.args[0], node.args[1] if len(node.args) > 1 else ast.Constant(value=-1)
+        try:
+            n = ast.literal_eval(most)
+        except ValueError:
+            n = None
+        if not (isinstance(by, ast.Constant) and isinstance(by.value, str) and by.value) or type(n) is not int:
+            raise ValueError(f"{ast.unparse(node)}: a text that isn't empty and a number are needed")
+        return F.split(self.visit(node.func.value), "\\Q" + by.value.replace("\\E", "\\E\\\\E\\Q") + "\\E", n + 1 if n >= 0 else -1)
+
+    @staticmethod
+    def titled(text: Column) -> Column:
+        """Letters after what isn't a letter are upper case, all others lower case."""
+        letters = F.split(text, "")
+        letter = lambda c: F.rlike(c, F.lit(r"^\p{L}$"))
+        return F.array_join(F.transform(letters, lambda c, i: F.when((i == 0) | ~letter(F.get(letters, i - 1)), F.upper(c)).otherwise(F.lower(c))), "")
+
     def applied(self, node: ast.Call) -> Column:
         """map or filter with a lambda of one argument."""
         f, of = node.args
@@ -337,6 +432,10 @@ class Expression:
         name = getattr(node.func, "id", "")
         if name not in ALLOWED:
             raise ValueError(f"{name}() is not allowed")
+        if name == "round":
+            digits = [k.value for k in node.keywords if k.arg == "ndigits"]
+            node = ast.Call(func=node.func, args=[*node.args, *digits], keywords=[k for k in node.keywords if k.arg != "ndigits"])
+        self.checked(name, node)
         if name in ("map", "filter"):
             return self.applied(node)
         if name in ("any", "all"):
@@ -346,16 +445,18 @@ class Expression:
         args = [self.visit(a) for a in node.args]
         one = node.args[0] if node.args else None
         span = [F.lit(0), *args] if len(args) == 1 else args
-        step = args[2] if len(args) > 2 else F.lit(1)
+        by = ast.literal_eval(node.args[2]) if name == "range" and len(args) > 2 else 1
+        if type(by) is not int or not by:
+            raise ValueError(f"{ast.unparse(node)}: the step is a number other than 0")
         down = any(k.arg == "reverse" and getattr(k.value, "value", False) for k in node.keywords)
         made = {
-            "len": lambda: F.size(args[0]) if self.kind(one) in ("array", "map") else F.length(args[0]), "str": lambda: F.coalesce(args[0].cast("string"), F.lit("None")), "bool": lambda: self.truth(one),
+            "len": lambda: F.size(args[0]) if self.kind(one) in ("array", "map") else F.length(args[0]), "str": lambda: self.as_text(one), "bool": lambda: self.truth(one),
             "int": lambda: args[0].try_cast("long") if self.kind(one) == "string" else args[0].try_cast("double").try_cast("long"), "float": lambda: args[0].try_cast("double"), "abs": lambda: F.abs(args[0]),
             "min": lambda: F.least(*args) if len(args) > 1 else F.array_min(args[0]), "max": lambda: F.greatest(*args) if len(args) > 1 else F.array_max(args[0]),
-            "round": lambda: F.bround(args[0], ast.literal_eval(node.args[1]) if len(args) > 1 else 0), "sum": lambda: F.aggregate(args[0], F.lit(0.0), lambda a, b: a + b),
+            "round": lambda: F.bround(args[0], ast.literal_eval(node.args[1]) if len(args) > 1 else 0), "sum": lambda: F.aggregate(args[0], F.lit(0).cast("long"), lambda a, b: a + b.cast("long")) if self.integral(one, True) else F.aggregate(args[0], F.lit(0.0), lambda a, b: a + b),
             "sorted": lambda: F.sort_array(args[0], not down), "reversed": lambda: F.reverse(args[0]), "list": lambda: args[0], "tuple": lambda: args[0], "set": lambda: F.array_distinct(args[0]),
             "enumerate": lambda: F.transform(args[0], lambda x, i: F.struct(i.alias("_0"), x.alias("_1"))), "zip": lambda: self.zipped(args),
-            "range": lambda: F.filter(F.sequence(span[0], F.greatest(span[1], span[0]), step), lambda x: x < span[1]),
+            "range": lambda: F.filter(F.sequence(span[0], (F.greatest if by > 0 else F.least)(span[1], span[0]), F.lit(by)), lambda x: x < span[1] if by > 0 else x > span[1]),
         }
         if name not in made:
             raise ValueError(f"{name}() can't be a column")
