@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
-from millrace.operators import chunking, control, history, models, rows, search, select, view
+from millrace.operators import chunking, control, history, models, objects, rows, search, select, view
 from millrace.plans import graph
 from millrace.sources import envelopes, paged, parsers
 from millrace.storage import shared_path
@@ -286,6 +286,18 @@ def merge_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.merge_zip(a, b, ["c_custkey"], ["s_suppkey"]).select("idx", "c_name", "s_name")
 
 
+@query("""with l as (select user_id, max(event_id) filter (event_type = 'error') e, max(event_id) m from events group by 1),
+    t as (select l.user_id, event_type, max(event_id) x from events v join l on v.user_id = l.user_id where event_type <> 'error' and (e is null or event_id > e) group by 1, 2),
+    g as (select user_id, string_agg('"' || event_type || '": ' || x, ', ' order by event_type) s from t group by 1)
+    select l.user_id, '{"by": ' || coalesce('{' || s || '}', 'null') || ', "last": ' || m || '}' merged from l left join g on g.user_id = l.user_id""")
+def merge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as objects: each writes its number under its kind, an error writes null over all kinds."""
+    n = F.col("event_id").cast("string")
+    by = F.when(F.col("event_type") == "error", "null").otherwise(F.concat(F.lit('{"'), "event_type", F.lit('": '), n, F.lit("}")))
+    body = F.concat(F.lit('{"by": '), by, F.lit(', "last": '), n, F.lit("}"))
+    return objects.merge_json(table(spark, sf_dir, "events").select("user_id", "event_id", body.alias("body")), "user_id", "event_id", "body")
+
+
 @query("with a as (select c_custkey k, c_name name, c_acctbal balance from customer where c_custkey % 2 = 0), b as (select c_custkey k, case when c_custkey % 3 = 0 then upper(c_name) end name, c_nationkey nation from customer where c_custkey % 4 <> 1) select coalesce(a.k, b.k) k, coalesce(b.name, a.name) name, a.balance, b.nation from a full join b on a.k = b.k")
 def merge_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
@@ -492,7 +504,12 @@ def webhook_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_deliveries(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id")
 
 
-@query()
+@query("""with recursive e as (select event_id, event_type trigger, ts, row_number() over (partition by event_type order by ts, event_id) i from events),
+    r as (select trigger, 0::bigint i, null::bigint event_id, []::timestamp[] held, false accepted from (select distinct trigger from e)
+          union all
+          select e.trigger, e.i, e.event_id, case when len(h) < 2 then list_append(h, ts) else h end, len(h) < 2
+          from (select r.trigger, e.i, e.event_id, e.ts, list_filter(held, lambda x: x >= e.ts - interval 60 second) h from r join e on e.trigger = r.trigger and e.i = r.i + 1) e)
+    select event_id, trigger, accepted from r where i > 0""")
 def rate_limit_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
     deliveries = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("trigger"), "ts")
     return control.accept_deliveries(deliveries, "trigger", "ts", "event_id", 2).select("event_id", "trigger", "accepted")

@@ -140,18 +140,23 @@ def downstream(edges: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def table_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and level, the longest way to it, over tables; ValueError for a cycle: a way with more edges than there are nodes."""
-    out = [written(nodes.select("node", F.lit(0).alias("level")).distinct(), "levels")]
-    most, step = out[0].count(), 0
-    while True:
-        step += 1
-        new = out[-1].join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(step).alias("level")).distinct()
-        new = written(new, "levels")
-        if new.isEmpty():
-            return reduce(DataFrame.unionByName, out).groupBy("node").agg(F.max("level").alias("level"))
-        if step >= most:
+    """node and level, the longest way to it, over tables; ValueError for a cycle.
+
+    Nodes that nothing leads to go, with their edges, and so on: a round for each level. Where none
+    can go and some are left, those hold a cycle, so it is found after the longest way that leads to it.
+    """
+    left = written(nodes.select("node").unionByName(edges.select(F.col("target").alias("node"))).distinct(), "left")
+    ways = written(edges.select("source", "target").join(left, F.col("source") == F.col("node"), "left_semi").distinct(), "ways")
+    out, level = [], 0
+    while not left.isEmpty():
+        later = ways.select(F.col("target").alias("node")).distinct()
+        ready = written(left.join(later, "node", "left_anti").withColumn("level", F.lit(level)), "levels")
+        if ready.isEmpty():
             raise ValueError("the graph has a cycle")
-        out.append(new)
+        out.append(ready)
+        left = written(left.join(ready, "node", "left_anti"), "left")
+        ways = written(ways.join(ready, F.col("source") == F.col("node"), "left_anti"), "ways")
+        level += 1
         if len(out) == 32:
-            reached = reduce(DataFrame.unionByName, out[:-1]).groupBy("node").agg(F.max("level").alias("level"))
-            out = [written(reached, "levels"), new]
+            out = [written(reduce(DataFrame.unionByName, out), "levels")]
+    return reduce(DataFrame.unionByName, out) if out else left.withColumn("level", F.lit(0))
