@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import columns as C
 from millrace.operators import chunking, control, history, models, objects, rows, search, select, view
 from millrace.plans import graph
-from millrace.sources import envelopes, paged, parsers
+from millrace.sources import envelopes, paged, parsers, tables
 from millrace.storage import shared_path
 from millrace.streaming import pipeline
 from millrace.streaming.index import SearchIndex
@@ -193,6 +193,22 @@ def jsonl_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_lines(spark, sf_dir, F.lit(None)).select(F.variant_get(F.try_parse_json("payload"), "$.props.event", "long").alias("event_id"), "seq")
 
 
+@query("""with c as (select c_nationkey t, row_number() over (partition by c_nationkey order by c_custkey) - 1 i, c_name, c_custkey, c_acctbal from customer)
+    select t::varchar table_id, (i // 500)::int batch, (i + 2)::int as row, c_name as name, case when c_acctbal >= 0 then c_custkey::varchar end number from c""")
+def table_artifact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recognised table for each nation: two rows of headers, the upper cell over both columns, then its customers; those in debt have no second cell."""
+    customer = table(spark, sf_dir, "customer").withColumn("row", F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) + 1)
+    name = F.col("c_nationkey").cast("string").alias("table_id")
+    cell = lambda row, column, text, wide=1, level=None: F.struct(row.cast("int").alias("row"), F.lit(column).alias("column"), F.lit(1).alias("rowspan"), F.lit(wide).alias("colspan"), F.lit(level).cast("int").alias("header_level"), text.alias("text"))
+    heads = F.array(cell(F.lit(0), 0, F.lit("Customer"), 2, 0), cell(F.lit(1), 0, F.lit("Name"), 1, 1), cell(F.lit(1), 1, F.lit(" Number "), 1, 1))
+    body = F.filter(F.array(cell(F.col("row"), 0, F.col("c_name")), F.when(F.col("c_acctbal") >= 0, cell(F.col("row"), 1, F.col("c_custkey").cast("string")))), lambda c: c.isNotNull())
+    cells = customer.select(name, F.explode(body).alias("c")).unionByName(customer.select(name).distinct().select("table_id", F.explode(heads).alias("c")))
+    cells = cells.select("table_id", "c.*", F.lit(None).cast("string").alias("value"))
+    sizes = customer.groupBy(name).agg((F.max("row") + 1).cast("int").alias("row_count"), F.lit(2).alias("column_count"))
+    rows = tables.table_rows(sizes, cells)
+    return rows.select("table_id", "batch", "row", F.col("values")["Customer / Name"].alias("name"), F.col("values")["Customer / Number"].alias("number"))
+
+
 @query("with p as (select 'k' path, json_extract(props, '$.k') v from events) select path, case when json_type(v) in ('BIGINT', 'UBIGINT') then 'integer' when json_type(v) = 'DOUBLE' then 'number' when json_type(v) = 'VARCHAR' then 'string' else lower(json_type(v)) end as type, count(*) \"rows\" from p where v is not null group by all")
 def schema_infer_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged.path_types(table(spark, sf_dir, "events"), "props")
