@@ -146,11 +146,12 @@ def grown(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 def frequent(lists: DataFrame, key: list[str], least: int, level: int) -> DataFrame:
-    """The lists (place, key, n) of phrases that occur `least` times or more in all slices, with their slice and j (their place in it), level, f (how often) and id, a number: that of the first place where the phrase has a list. There is a list for each slice at most."""
+    """The lists (place, key, n) of phrases that occur `least` times or more in all slices, with their slice and j (their place in it), level and id, a number: that of the first place where the phrase has a list. That place's row has names, and it alone f (how often) and the key. There is a list for each slice at most."""
     whole = W.partitionBy(*key)
     rows = lists.withColumn("f", F.sum("n").over(whole)).withColumn("id", F.min("place").over(whole)).where(F.col("f") >= least)
     j = F.col("place").bitwiseAND((1 << PLACES) - 1).cast("int")
-    return rows.select(F.shiftright("place", PLACES).alias("slice"), F.lit(level).alias("level"), j.alias("j"), "id", "f", (F.col("id") == F.col("place")).alias("names"), *key)
+    named = F.col("id") == F.col("place")
+    return rows.select(F.shiftright("place", PLACES).alias("slice"), F.lit(level).alias("level"), j.alias("j"), "id", named.alias("names"), *[F.when(named, F.col(c)).alias(c) for c in ("f", *key)])
 
 
 def decimal(c: Column | str) -> Column:
@@ -181,15 +182,18 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """
     small_batches(docs.sparkSession)
     with Scratch() as scratch:
-        files = stage(postings(docs, text, lang, tokens), "postings")
-        words = files.select("slice", F.posexplode(F.arrays_zip("lang", "word", "n")).alias("j", "w")).select((F.shiftleft("slice", PLACES) + F.col("j")).alias("place"), "w.lang", "w.word", "w.n")
-        totals = scratch.keep(stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals"))
-        known = stage(frequent(words, ["lang", "word"], least, 1), "frequent1")
+        with Scratch() as counting:
+            files = stage(postings(docs, text, lang, tokens), "postings")
+            words = files.select("slice", F.posexplode(F.arrays_zip("lang", "word", "n")).alias("j", "w"))
+            words = words.select((F.shiftleft("slice", PLACES) + F.col("j")).alias("place"), "w.lang", "w.word", "w.n")
+            totals = counting.keep(scratch.keep(stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")))
+            known = counting.keep(stage(frequent(words, ["lang", "word"], least, 1), "frequent1"))
+            files = counting.keep(stage(files.select("slice", "n", "positions"), "lists"))
         none = F.array().cast("array<long>")
         levels = [known.where("names").select("id", "f", "lang", F.col("word").alias("text"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))]
         marks, phrases = known.select("slice", "level", "j", "id"), []
         for k in range(2, longest + 1):
-            lists = files.select("slice", "n", "positions").groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(grown(k), "place long, prefix long, suffix long, n int")
+            lists = files.groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(grown(k), "place long, prefix long, suffix long, n int")
             known = stage(frequent(lists, ["prefix", "suffix"], least, k), f"frequent{k}")
             marks = marks.unionByName(known.select("slice", "level", "j", "id"))
             levels.append(stage(named(known.where("names").select("id", "f", "prefix", "suffix"), levels[-1]), f"phrases{k}"))
