@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
-from millrace.operators import chunking, control, history, models, objects, rows, search, select, view
+from millrace.operators import chunking, control, history, models, objects, rows, search, select, splitting, vectors, view
 from millrace.plans import graph
-from millrace.sources import envelopes, paged, parsers, tables
+from millrace.sources import envelopes, paged, parsers, sheets, tables
 from millrace.storage import shared_path
 from millrace.streaming import pipeline
 from millrace.streaming.index import SearchIndex
@@ -209,6 +209,25 @@ def table_artifact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("table_id", "batch", "row", F.col("values")["Customer / Name"].alias("name"), F.col("values")["Customer / Number"].alias("number"))
 
 
+@query("""select (c_custkey // 1000)::varchar path, 'Customers' as "table", ((row_number() over (partition by c_custkey // 1000 order by c_custkey) - 1) // 500)::int batch, c_custkey number, c_name as name, c_acctbal >= 0 solvent from customer""")
+def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for every thousand customers, read back in batches."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("<row><c><v>"), "c_custkey", F.lit('</v></c><c t="inlineStr"><is><t>'), "c_name", F.lit('</t></is></c><c t="b"><v>'), (F.col("c_acctbal") >= 0).cast("int"), F.lit("</v></c></row>")).alias("row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "row"))), lambda r: r["row"]), "")
+    book = F.pandas_udf(lambda s: s.map(lambda rows: sheets.workbook("Customers", ["number", "name", "solvent"], rows)), "binary")
+    made = customer.groupBy(F.floor(F.col("c_custkey") / 1000).cast("string").alias("path")).agg(body.alias("rows")).select("path", F.lit("xlsx").alias("extension"), book("rows").alias("content"))
+    batches, _ = sheets.table_batches(made)
+    row = F.from_json("row", "number long, name string, solvent boolean")
+    return batches.select("path", "table", "batch", F.explode("rows").alias("row")).select("path", "table", "batch", row.alias("row")).select("path", "table", "batch", "row.*")
+
+
+@query("select doc_id, (i // 450)::int as \"index\", 'text' element_type, sha256(substring(text, i + 1, 500)) part from (select doc_id, text, unnest(range(0, greatest(length(text) - 50, 1), 450)) i from documents)")
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A splitter as a table function in SQL."""
+    splitting.register(spark, "split_windows", splitting.windows(500, 50))
+    return spark.sql("select doc_id, part.index, part.element_type, sha2(part.text, 256) part from {docs}, lateral split_windows(text) part", docs=table(spark, sf_dir, "documents"))
+
+
 @query("with p as (select 'k' path, json_extract(props, '$.k') v from events) select path, case when json_type(v) in ('BIGINT', 'UBIGINT') then 'integer' when json_type(v) = 'DOUBLE' then 'number' when json_type(v) = 'VARCHAR' then 'string' else lower(json_type(v)) end as type, count(*) \"rows\" from p where v is not null group by all")
 def schema_infer_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged.path_types(table(spark, sf_dir, "events"), "props")
@@ -407,6 +426,18 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.cosine_top(vectors, first["embedding"], 10, "vec_id")
 
 
+NEAREST = """with v as (select vec_id, embedding::double[] e from embeddings), p as (select a.vec_id query_id, b.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 9) similarity from v a, v b where a.vec_id % 50 = 0),
+    r as (select *, (row_number() over (partition by query_id order by similarity desc, vec_id))::int rank from p) select query_id, rank, vec_id, round(similarity, 6) similarity from r where rank <= 10"""
+
+
+@query(NEAREST)
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 50, against all rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = vectors.VectorIndex(shared_path(spark, "vectors"), "vec_id").build(rows, 64)
+    return index.search_exact(rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("select count(*) wrong from embeddings where embedding is null or len(embedding) <> 64")
 def vector_dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.wrong_dimensions(table(spark, sf_dir, "embeddings"), 64).agg(F.count("*").alias("wrong"))

@@ -120,6 +120,67 @@ class PagedStream(SimpleDataSourceStreamReader):
         pass
 
 
+class MessageSource(DataSource):
+    """A channel's messages as a stream, from a provider of pages that run from new to old.
+
+    The provider is a function (before or None, size) -> the size newest messages below before, fewer
+    only at the channel's beginning. A cycle goes down page by page to the floor, which is the highest
+    message of the cycle before; only at its end does the floor rise to the highest message it began with.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "messages"
+
+    def schema(self) -> str:
+        return "id string, record string"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return MessageStream(self.options)
+
+
+class MessageStream(SimpleDataSourceStreamReader):
+    """A page at a time. The offset holds the mode, the place (before), the floor, the high mark and a count of pages; what a restart reads lies between two offsets, so no page is lost or comes twice."""
+
+    def __init__(self, options: dict) -> None:
+        self.fetch = provider(options["provider"])
+        self.size = int(options.get("page_size", 100))
+        self.floor = str(int(options.get("floor", 0)))
+
+    def initialOffset(self) -> dict:
+        return {"mode": "catchup" if self.floor != "0" else "backfill", "before": None, "floor": self.floor, "high": None, "page": 0}
+
+    def read(self, start: dict):
+        found = sorted(((int(m["id"]), m) for m in self.fetch(start["before"], self.size)), key=lambda m: m[0])
+        floor = int(start["floor"])
+        if not found and start["before"] is None:
+            return iter([]), start
+        if start["before"] is not None and found and found[-1][0] >= int(start["before"]):
+            raise ValueError(f"a page below {start['before']} holds {found[-1][0]}")
+        high = start["high"] or str(max(found[-1][0], floor))
+        rows = [(str(n), json.dumps(m, sort_keys=True)) for n, m in found if n > floor]
+        if start["before"] is None and not rows:
+            return iter([]), start  # nothing new: the same offset, so Spark makes no batch
+        ended = len(found) < self.size or (floor > 0 and found[0][0] <= floor)
+        if ended:
+            return iter(rows), {"mode": "catchup", "before": None, "floor": high, "high": None, "page": start["page"] + 1}
+        return iter(rows), {**start, "before": str(found[0][0]), "high": high, "page": start["page"] + 1}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        """The rows of a batch again. Messages above the high mark of its end came later and belong to the next cycle."""
+        at, out = start, []
+        while at["page"] < end["page"]:
+            last = at["page"] + 1 == end["page"]
+            top = int(at["high"] or (end["high"] or end["floor"] if last else 2**63))
+            first = str(top + 1) if at["before"] is None and last else at["before"]
+            rows, at = self.read({**at, "before": first, "high": str(top)} if last else at)
+            out += rows
+        return iter(out)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 def next_link(header: str | None) -> str | None:
     """The URL of rel="next" in a Link header; ValueError for two of them."""
     found = [m[1] for m in re.finditer(r"<([^>]*)>((?:\s*;\s*[^,;]+)*)", header or "") if re.search(r";\s*rel\s*=\s*\"?[^\";]*\bnext\b", m[2], re.IGNORECASE)]

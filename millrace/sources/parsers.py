@@ -104,14 +104,22 @@ def mail_text(data: bytes) -> tuple[str, dict[str, str]]:
 
 
 def word_text(data: bytes) -> str:
-    """Paragraphs of a .docx file, a blank line between them."""
+    """Paragraphs of a .docx file, a blank line between them; those in tables are left out (see `sheets.word_tables`)."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         if sum(i.file_size for i in z.infolist()) > ARCHIVE_BYTES:
             raise ValueError("the archive is too large when unpacked")
         root = ElementTree.fromstring(z.read("word/document.xml"))
     space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    found = ("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p"))
-    return "\n\n".join(p for p in found if p.strip())
+    marks = {f"{space}tab": "\t", f"{space}br": "\n", f"{space}cr": "\n"}
+
+    def paragraphs(e: ElementTree.Element) -> Iterator[str]:
+        for child in e:
+            if child.tag == f"{space}p":
+                yield "".join(t.text or "" if t.tag == f"{space}t" else marks.get(t.tag, "") for run in child.iter(f"{space}r") for t in run)
+            elif child.tag != f"{space}tbl":
+                yield from paragraphs(child)
+
+    return "\n\n".join(p for p in paragraphs(root) if p.strip())
 
 
 def parse(extension: str, data: bytes) -> tuple[str, int]:

@@ -29,7 +29,7 @@ def folder(tmp_path):
     (tmp_path / "bad.bin").write_bytes(b"\x00\x01")
     (tmp_path / ".hidden.txt").write_text("no")
     with zipfile.ZipFile(tmp_path / "e.docx", "w") as z:
-        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:t>Hi</w:t></w:p><w:p><w:t>there</w:t></w:p></w:document>')
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>Hi</w:t></w:r></w:p><w:p><w:r><w:t>there</w:t></w:r></w:p></w:document>')
     return tmp_path
 
 
