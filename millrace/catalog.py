@@ -67,15 +67,21 @@ def content_hash_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select("n_nationkey", select.content_id(nation).alias("id"))
 
 
-@query("select min(doc_id) doc_id, sha256(text) version, count(*) n from documents group by text")
+@query("""select min(doc_id) doc_id, sha256('{"lang":' || coalesce('"' || lang || '"', 'null') || ',"payload":"' || sha256(text) || '"}') as version, count(*) n from documents group by lang, text""")
 def version_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("version")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    """Versions don't depend on when a document was read."""
+    read_at = F.timestamp_seconds(F.col("doc_id"))
+    version = C.version_hash(payload=F.sha2("text", 256), lang=F.col("lang"), **{name: read_at for name in sorted(C.VOLATILE)})
+    return table(spark, sf_dir, "documents").groupBy(version.alias("version")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query("select count(*) faults from orders where o_orderkey is null")
+@query("select case when o_orderkey % 7 = 0 then 'id is empty' when o_orderkey % 11 = 0 then 'unknown operation' when o_orderkey % 5 = 0 then 'a delete without a tombstone' end fault, count(*) faults from orders where o_orderkey % 7 = 0 or o_orderkey % 11 = 0 or o_orderkey % 5 = 0 group by 1")
 def envelope_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return envelopes.faults(envelopes.envelopes(orders, "db", "orders", F.col("o_orderkey"))).agg(F.count("*").alias("faults"))
+    """Envelopes of all orders, of which some are spoilt; the first rule that an envelope breaks counts."""
+    key = F.col("metadata")["key"].cast("long")
+    made = envelopes.envelopes(table(spark, sf_dir, "orders"), "db", "orders", F.col("o_orderkey"), F.col("o_orderstatus"), metadata=F.create_map(F.lit("key"), F.col("o_orderkey").cast("string")))
+    spoilt = made.withColumn("operation", F.when(key % 11 == 0, "move").when(key % 5 == 0, "delete").otherwise(F.col("operation"))).withColumn("id", F.when(key % 7 == 0, "").otherwise(F.col("id")))
+    return envelopes.faults(spoilt).groupBy("fault").agg(F.count("*").alias("faults"))
 
 
 # Current views and changelogs
@@ -402,9 +408,14 @@ def txt_pagecount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.page_count(F.col("text")).alias("page_count"))
 
 
-@query("select part, greatest(1, count(*) // 50)::int page_count from (select p_brand part from part) group by part")
+@query("select (p_partkey // 1000)::varchar part, greatest(1, count(*) // 50)::int page_count, count(*) - 1 breaks from part group by 1")
 def csv_text_pagecount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("part")).agg(F.greatest(F.lit(1), F.floor(F.count("*") / 50)).cast("int").alias("page_count"))
+    """A CSV file for every thousand parts, parsed."""
+    line = F.concat_ws(",", "p_partkey", "p_brand", "p_size")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda r: r["line"]), "\n")
+    made = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 1000).cast("string").alias("name")).agg(F.encode(lines, "UTF-8").alias("content"))
+    good, _ = parsers.parse_files(made.select(F.concat("name", F.lit(".csv")).alias("path"), "name", F.lit("csv").alias("extension"), F.length("content").cast("long").alias("size"), "content"))
+    return good.select(F.col("name").alias("part"), "page_count", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("breaks"))
 
 
 @query("with b as (select p_partkey, coalesce(nullif(trim(case when p_partkey % 5 = 0 then ' ' else p_brand end), ''), 'column_' || row_number() over (order by p_partkey)) base from part), n as (select *, row_number() over (partition by base order by p_partkey) k from b) select p_partkey, case when k = 1 then base else base || '_' || k end as name from n")

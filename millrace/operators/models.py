@@ -16,16 +16,34 @@ from millrace.functions.columns import confidence, cosine, fenced_json, model_co
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
-def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]], model: str, text: str = "text", batch: int = 32) -> DataFrame:
-    """chunks with embedding, model and dimensions: the provider gets batches of texts within a task, in order."""
-
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]], model: str, text: str = "text", batch: int = 32, keep: bool = False) -> DataFrame:
+    """chunks with embedding, model and dimensions: the provider gets batches of texts within a task, in order.
+
+    A batch that fails, or gets fewer or more vectors than texts, fails the job; with keep its rows have
+    no embedding and the fault as error, and all other batches stand. Write the rows before good and
+    failed ones are told apart, or the provider is asked for each of both.
+    """
+
+    def one(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            found = provider(texts)
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        except Exception as e:  # noqa: BLE001  a provider may fail in any way
+            if not keep:
+                raise
+            return [(None, f"{type(e).__name__}: {e}")] * len(texts)
+        return [(list(v), None) for v in found]
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = part.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(texts), batch) for v in provider(texts[i : i + batch])])
+            yield pd.DataFrame([r for i in range(0, len(texts), batch) for r in one(texts[i : i + batch])], columns=["embedding", "error"])
 
-    return chunks.withColumn("embedding", run(text)).withColumn("model", F.lit(model)).withColumn("dimensions", F.size("embedding"))
+    made = chunks.withColumn("_made", run(text)).withColumn("embedding", F.col("_made.embedding")).withColumn("model", F.lit(model))
+    made = made.withColumn("dimensions", F.when(F.col("embedding").isNotNull(), F.size("embedding")))
+    return (made.withColumn("error", F.col("_made.error")) if keep else made).drop("_made")
 
 
 def vector_rows(rows: DataFrame, dimension: int, vector: str = "embedding") -> DataFrame:

@@ -302,3 +302,18 @@ def test_cron():
         with pytest.raises(ValueError):
             control.next_cron(bad, at)
     assert control.backoff(10, 1.5) == 90.0
+
+
+def test_a_failed_batch_leaves_the_others(spark, written):
+    def provider(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[1.0, 2.0]] * (1 if "short" in texts else len(texts))
+
+    table = written([(i, t) for i, t in enumerate(["a", None, "bad", "b", "short", "c", "d"])], "id int, text string").orderBy("id").coalesce(1)
+    got = {r.id: (r.embedding, r.dimensions, r.error) for r in models.embed(table, provider, "m", batch=2, keep=True).collect()}
+    assert got[0] == got[1] == got[6] == ([1.0, 2.0], 2, None)
+    assert got[2] == got[3] == (None, None, "RuntimeError: no") and got[4] == got[5] == (None, None, "ValueError: 1 vectors for 2 texts")
+    with pytest.raises(Exception, match="RuntimeError: no"):
+        models.embed(table, provider, "m", batch=2).collect()
+    assert models.embed(table.where("false"), provider, "m", keep=True).count() == 0
