@@ -132,10 +132,12 @@ def ledger_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select c_custkey, c_name from customer where c_nationkey < 10")
 def replace_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer").select(F.lit("db").alias("source"), F.lit("customer").alias("stream"), F.col("c_custkey").alias("id"), "c_name", "c_nationkey")
-    fresh = customer.where("c_nationkey < 10").withColumn("seq", F.lit(1).cast("long")).withColumn("operation", F.lit("snapshot"))
-    gone = customer.where("c_nationkey >= 10").withColumn("seq", F.lit(0).cast("long")).withColumn("operation", F.lit("delete"))
-    return view.current_view(fresh.unionByName(gone)).select(F.col("id").alias("c_custkey"), "c_name")
+    """A target whose ledger knows all customers is replaced by those of ten nations: they are written again, the others go."""
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_nationkey")
+    ledger = customer.select(F.lit("customers").alias("target"), F.col("id").alias("event"))
+    log = customer.where("c_nationkey < 10").select(F.col("id").alias("event"), "id", "c_name", F.col("id").alias("seq"), F.lit("snapshot").alias("operation"))
+    written, _ = view.replaced(log, ledger, "customers", ["event"], ["id"])
+    return written.select(F.col("id").alias("c_custkey"), "c_name")
 
 
 @query(f"with l as ({LOG}), r as (select id, max_by(op, seq) op, max_by(event_type, seq) event_type, max_by(value, seq) value from l group by id) select c_custkey id, 'none' event_type, c_acctbal as value from customer where c_custkey not in (select id from r) union all select id, event_type, value from r where op <> 'delete'")
