@@ -203,28 +203,15 @@ def text_signatures(batch: pa.RecordBatch, seed: int, with_sides: bool = True) -
 
 
 def common_signatures(docs: DataFrame, seed: int) -> dict[int, int]:
-    """Signatures that are common, with their numbers: COMMON_SHARE keys at most.
-
-    Tasks count the windows of every million; what is seen there less than eight times can't be common.
-    """
+    """Signatures that are common, with their exact numbers: COMMON_SHARE keys at most. Counted over all rows, so it is no matter how they lie in tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        total, size = 0, 0
-
-        def flush() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k[n >= 8].view(np.int64)), pa.array(n[n >= 8].astype(np.int64))], ["key", "n"])
-
+        total = 0
         for batch in batches:
             for key, *_ in text_signatures(batch, seed, False):
-                held.append(key)
-                total, size = total + len(key), size + len(key)
-                if size >= 1 << 20:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                total += len(key)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ones(len(key), np.int64))], ["key", "n"])
+        # Key 0 has no windows of its own that matter: its row is the number of all.
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
 
     counts = stage(docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(f"n > {COMMON} or key = 0"), "common")

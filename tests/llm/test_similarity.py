@@ -197,3 +197,28 @@ def test_op6_passages_near_both_thresholds_against_brute_force(spark, written):
     assert not any(f for f, w in zip(found, want, strict=True) if not w)
     lost = sum(w and not f for f, w in zip(found, want, strict=True))
     assert lost <= 0.005 * sum(want), (lost, sum(want))
+
+
+def around_boilerplate():
+    """60 pairs of passages with one word changed, all around one stretch that 60 other texts have too, then clean texts."""
+    shared, texts = prose(24, 90000), []
+    for k in range(60):
+        own = prose(32, 91000 + k)
+        p = own[:16] + shared + own[16:]
+        q = ["edit" if i == 50 else w for i, w in enumerate(p)]
+        texts += [" ".join(prose(30, 92000 + 2 * k + s) + v + prose(30, 94000 + 2 * k + s)) for s, v in enumerate((p, q))]
+    texts += [" ".join(prose(40, 96000 + k) + shared + prose(40, 97000 + k)) for k in range(60)]
+    return [*texts, *[" ".join(prose(90, 98000 + k)) for k in range(20)]]
+
+
+@pytest.mark.parametrize(("small", "common"), [(16, 4096), (2, 4096), (2, 20)])
+def test_op6_groups_of_every_size_find_the_same_passages_in_any_layout(spark, written, monkeypatch, small, common):
+    monkeypatch.setattr(substring, "SMALL", small)
+    monkeypatch.setattr(substring, "COMMON", common)
+    texts = around_boilerplate()
+    table = written(docs(texts), DOCS)
+    rows = [sorted(tuple(r) for r in substring.passages_of(t).collect()) for t in (table, table.repartition(13))]
+    assert rows[0] == rows[1]
+    got = {r[0] for r in rows[0]}
+    assert got <= set(range(120))
+    assert sum(2 * k in got and 2 * k + 1 in got for k in range(60)) >= 57
