@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.rows import in_ranges
+from millrace.storage import written
 
 # The states that may follow each state.
 RUN_STATES = {
@@ -52,51 +53,119 @@ def finish(jobs: DataFrame, job_id: str, owner: str, status: str) -> DataFrame:
     return jobs.withColumn("status", F.when(held, F.lit(status)).otherwise(F.col("status"))).withColumn("lease_owner", F.when(held, F.lit(None)).otherwise(F.col("lease_owner")))
 
 
-def stretches(rows: DataFrame, key: str, at: str, order: str, seconds: int) -> DataFrame:
-    """Adds _stretch: the number of a run of rows of one key without a pause longer than `seconds`.
+NEVER = -(1 << 63)
 
-    Rows are sorted in ranges of (key, at, order), not gathered by key; what comes before a range is
-    read off the last row of the range before, from a table of one row for each range.
-    """
-    ranged = in_ranges(rows, [key, at, order])
-    by = W.partitionBy("_p").orderBy(key, at, order)
-    last = ranged.groupBy("_p").agg(F.max(F.struct(key, at)).alias("_last"))
-    ends = last.select("_p", F.lag("_last").over(W.orderBy("_p")).alias("_end"))
-    known = ranged.withColumn("_before", F.lag(F.struct(key, at)).over(by)).join(F.broadcast(ends), "_p").withColumn("_before", F.coalesce("_before", "_end"))
-    pause = F.col(f"_before.{at}") < F.col(at) - F.expr(f"interval {seconds} seconds")
-    new = F.when(~F.col(f"_before.{key}").eqNullSafe(F.col(key)) | F.col("_before").isNull() | pause, 1).otherwise(0)
-    marked = known.withColumn("_new", new)
-    starts = marked.groupBy("_p").agg(F.sum("_new").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    inside = F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0))
-    return marked.withColumn("_n", inside).join(F.broadcast(starts), "_p").withColumn("_stretch", F.col("_s") + F.col("_n")).drop("_p", "_end", "_before", "_new", "_n", "_s")
-
-
-def accept_deliveries(deliveries: DataFrame, key: str, at: str, order: str, limit: int, seconds: int = 60) -> DataFrame:
-    """deliveries with accepted: fewer than `limit` accepted ones of the key lie in the seconds up to it.
 
-    Only accepted ones count, so each depends on those before: a pass in time order. After a pause
-    longer than the seconds nothing is held, so a key is cut there and its parts are dealt apart; a
-    key without such a pause is one part. The state is a deque of at most `limit` times; a part is
-    streamed in Arrow batches, sorted, not gathered. Null keys are one key.
+def rate_pass(limit: int, window: int, ends: bool):
+    """A pass over rows (_p, _k, _t, _held) in order. A row with _held sets the state; each other one is accepted if fewer than `limit` times are held.
+
+    ends: gives the state (_p, _k, _held) that each range ends with, else the rows with accepted.
     """
-    schema = deliveries.withColumn("accepted", F.lit(False)).schema
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, stretch, window = deque(), None, pd.Timedelta(seconds=seconds)
+        now, key, held = None, None, deque()
         for part in parts:
-            verdict = []
-            for k, t in zip(part["_stretch"], part[at], strict=True):
-                if k != stretch:
-                    held, stretch = deque(), k
+            verdict, out = [], []
+            for p, k, t, start in zip(part["_p"], part["_k"], part["_t"], part["_held"], strict=True):
+                if start is not None:
+                    if now is not None:
+                        out.append((now, key, list(held)))
+                    now, key, held = p, k, deque(start)
+                    verdict.append(False)
+                    continue
+                if k != key:
+                    key, held = k, deque()
                 while held and held[0] < t - window:
                     held.popleft()
-                verdict.append(len(held) < limit)
+                verdict.append(t != NEVER and len(held) < limit)
                 if verdict[-1]:
                     held.append(t)
-            yield part.drop(columns="_stretch").assign(accepted=verdict)
+            if not ends:
+                yield part.assign(accepted=verdict)[part["_held"].isna()].drop(columns=["_p", "_k", "_t", "_held"])
+            elif out:
+                yield pd.DataFrame(out, columns=["_p", "_k", "_held"])
+        if ends and now is not None:
+            yield pd.DataFrame([(now, key, list(held))], columns=["_p", "_k", "_held"])
+
+    return run
+
+
+def key_pass(limit: int, window: int):
+    """A pass over rows (_k, _p, _t), whole keys in order, that gives the state with which a key enters each of its ranges after the first."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, key, held = None, None, deque()
+        for part in parts:
+            out = []
+            for p, k, t in zip(part["_p"], part["_k"], part["_t"], strict=True):
+                if k != key:
+                    now, key, held = p, k, deque()
+                if p != now:
+                    out.append((p, k, list(held)))
+                    now = p
+                while held and held[0] < t - window:
+                    held.popleft()
+                if t != NEVER and len(held) < limit:
+                    held.append(t)
+            if out:
+                yield pd.DataFrame(out, columns=["_p", "_k", "_held"])
+
+    return run
+
 
-    dealt = stretches(deliveries, key, at, order, seconds).select("_stretch", *deliveries.columns)
-    return dealt.repartition("_stretch").sortWithinPartitions("_stretch", at, order).mapInPandas(run, schema)
+def accept_deliveries(deliveries: DataFrame, key: str, at: str, order: str, limit: int, seconds: int = 60, rounds: int = 4) -> DataFrame:
+    """deliveries with accepted: fewer than `limit` accepted ones of the key lie in the seconds up to it.
+
+    Only accepted ones count, so each depends on those before. Rows are sorted in ranges of
+    (key, at, order), so a key with very many is spread, and each range is passed from the empty
+    state. The state is the times that are held, `limit` at most. Where the one before ends with
+    other times than a range was passed from, the range is passed again from those, until all agree:
+    mostly soon, as times are held for `seconds` only. Keys whose ranges still disagree after
+    `rounds` passes (evenly spaced deliveries above the limit) are passed once in time order, a task
+    a key, with their times only, to learn each range's state; their rows stay spread.
+
+    Null keys are one key. Rows without a time are not accepted. An empty table gives no rows.
+    """
+    window, state = seconds * 1_000_000, "_p int, _k string, _held array<long>"
+    ntz = deliveries.schema[at].dataType.typeName() == "timestamp_ntz"
+    micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{at}`)") if ntz else F.unix_micros(at)
+    ranged = in_ranges(deliveries, [key, at, order]).withColumn("_k", F.to_json(F.struct(key))).withColumn("_t", F.coalesce(micros, F.lit(NEVER)))
+    narrow = ranged.select("_p", "_k", "_t", key, at, order)
+    head = F.min(F.struct(key, at, order, F.col("_k").alias("_k0"), F.col("_t").alias("_t0")))
+    heads = written(narrow.groupBy("_p").agg(head.alias("_h")).select("_p", "_h._k0", "_h._t0"), "heads")
+
+    # Rows are dealt by hashes of columns, not by columns: after a join on these Spark would leave the
+    # dealing out as done, and then read the join's shuffle by map task if it turns into a broadcast.
+    def passed(rows: DataFrame, entries: DataFrame, ends: bool) -> DataFrame:
+        both = rows.withColumn("_held", F.lit(None).cast("array<long>")).unionByName(entries.withColumn("_t", F.lit(NEVER)), allowMissingColumns=True)
+        ordered = both.repartition(F.xxhash64("_p")).sortWithinPartitions("_p", F.col("_held").isNull(), key, at, order)
+        schema = state if ends else deliveries.withColumn("accepted", F.lit(False)).schema
+        return ordered.select(*(["_p", "_k", "_t", "_held"] if ends else ["_p", "_k", "_t", "_held", *deliveries.columns])).mapInPandas(rate_pass(limit, window, ends), schema)
+
+    def after(exits: DataFrame) -> DataFrame:
+        """What ranges enter with: what the one before holds, if it ends with the same key, and still holds at the first row. One row for each range."""
+        before = exits.withColumnRenamed("_held", "_e").select("_p", F.lag(F.struct("_k", "_e")).over(W.orderBy("_p")).alias("_b"))
+        still = F.when(F.col("_t0") == NEVER, F.col("_b._e")).otherwise(F.filter("_b._e", lambda x: x >= F.col("_t0") - window))
+        held = F.when(F.col("_b._k") == F.col("_k0"), still).otherwise(F.array().cast("array<long>"))
+        return before.join(heads, "_p").select("_p", F.col("_k0").alias("_k"), F.coalesce(held, F.array().cast("array<long>")).alias("_held"))
+
+    entries = heads.select("_p", F.col("_k0").alias("_k"), F.array().cast("array<long>").alias("_held"))
+    exits = written(passed(narrow, entries, True), "exits")
+    for n in range(rounds + 1):
+        new = written(after(exits), "entries")
+        changed = new.join(entries.withColumnRenamed("_held", "_old").drop("_k"), "_p").where("_held <> _old").drop("_old")
+        if changed.isEmpty():
+            break
+        if n == rounds:
+            whole = narrow.join(changed.select("_k").distinct(), "_k", "left_semi").select("_k", "_p", "_t", key, at, order)
+            walked = whole.repartition(F.xxhash64("_k")).sortWithinPartitions("_k", "_p", key, at, order).select("_k", "_p", "_t").mapInPandas(key_pass(limit, window), state)
+            true = walked.select("_p", F.col("_held").alias("_true"))
+            new = written(new.join(true, "_p", "left").select("_p", "_k", F.coalesce("_true", "_held").alias("_held")), "entries")
+        else:
+            again = passed(narrow.join(changed.select("_p"), "_p", "left_semi"), changed, True)
+            exits = written(exits.join(changed.select("_p"), "_p", "left_anti").unionByName(again), "exits")
+        entries = new
+    return passed(ranged, entries, False)
 
 
 def lineage(rows: DataFrame, source: str, target: str, sample: int = 3) -> DataFrame:
