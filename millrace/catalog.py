@@ -323,6 +323,13 @@ def merge_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.merge_concat(a, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")))
 
 
+@query("select l_orderkey as k, row_number() over (order by l_orderkey, l_linenumber) - 1 as ordinal, 0 as input from lineitem union all select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1, 1 from orders")
+def merge_concat_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber")
+    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderdate")
+    return rows.merge_concat(a, b, orders=(["k", "l_linenumber"], ["o_orderdate", "k"])).select("k", "ordinal", "input")
+
+
 @query("with a as (select c_name, row_number() over (order by c_custkey) - 1 idx from customer), b as (select s_name, row_number() over (order by s_suppkey) - 1 idx from supplier) select idx, c_name, s_name from a join b using (idx)")
 def merge_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from millrace.functions.expressions import Expression
 from millrace.storage import written
 
+
 def filter_rows(rows: DataFrame, condition: str) -> tuple[DataFrame, DataFrame]:
     """(matched, rejected): every row is in one of them; a row in which the condition fails is rejected."""
     p = Expression(rows.schema).condition(condition)
@@ -53,10 +54,17 @@ def split_batches(rows: DataFrame, size: int, order: Sequence[str]) -> DataFrame
     return placed.groupBy(F.floor(F.col("idx") / size).alias("batch")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("idx", *rows.columns))).alias("items"))
 
 
-def merge_concat(*inputs: DataFrame) -> DataFrame:
-    """Rows of all inputs with the number of the input; columns by name, missing ones null."""
-    out = inputs[0].withColumn("input", F.lit(0))
-    for n, rows in enumerate(inputs[1:], 1):
+def merge_concat(*inputs: DataFrame, orders: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """Rows of all inputs with the number of the input; columns by name, missing ones null.
+
+    orders: for each input the columns that its rows are in order of; then `ordinal` is a row's
+    position in its input from 0, and (input, ordinal) the order of the whole.
+    """
+    if orders and len(orders) != len(inputs):
+        raise ValueError("each input needs an order")
+    placed = [numbered(rows, by, "ordinal") for rows, by in zip(inputs, orders, strict=True)] if orders else inputs
+    out = placed[0].withColumn("input", F.lit(0))
+    for n, rows in enumerate(placed[1:], 1):
         out = out.unionByName(rows.withColumn("input", F.lit(n)), allowMissingColumns=True)
     return out
 

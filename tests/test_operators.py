@@ -267,6 +267,15 @@ def test_vectors(spark):
         models.vector_table("a; drop")
 
 
+def test_merge_concat_keeps_the_order_of_each_input(spark, written):
+    a, b = written([(3, "c"), (1, "a"), (2, None)], "k int, v string"), written([(9,), (8,)], "k int")
+    got = rows.merge_concat(a, b, orders=(["k"], ["k"])).orderBy("input", "ordinal").collect()
+    assert [(r.input, r.ordinal, r.k, r.v) for r in got] == [(0, 0, 1, "a"), (0, 1, 2, None), (0, 2, 3, "c"), (1, 0, 8, None), (1, 1, 9, None)]
+    assert rows.merge_concat(a.where("false"), b, orders=(["k"], ["k"])).count() == 2
+    with pytest.raises(ValueError):
+        rows.merge_concat(a, b, orders=(["k"],))
+
+
 # Control
 
 
