@@ -26,6 +26,11 @@ class Folder:
         store, at = self._at(name)
         return {s.getPath().getName(): s.getModificationTime() for s in store.listStatus(at)} if store.exists(at) else {}
 
+    def size(self, name: str = "") -> int:
+        """Bytes of all that lies below."""
+        store, at = self._at(name)
+        return store.getContentSummary(at).getLength() if store.exists(at) else 0
+
     def text(self, name: str) -> str:
         store, at = self._at(name)
         stream = store.open(at)

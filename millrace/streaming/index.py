@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,22 +15,61 @@ from pyspark.sql import types as T
 from millrace.functions.columns import search_tokens
 from millrace.operators.search import Request, frequencies, phrases_of, scored
 from millrace.operators.view import KEY
-from millrace.storage import Scratch, written
-from millrace.streaming.pipeline import ViewTable
+from millrace.storage import COMPRESSED, Scratch, tidy, written
+from millrace.streaming.pipeline import ViewTable, rounds
+
+TASKS = 8  # a bucket of terms is written by as many tasks, as one term can have a posting of every row
+BITS = 10  # a block: rows whose numbers differ in their last bits only
+MOST = 1_000_000  # tokens that a task holds as Python objects, and a text's more; a block of more is several
+CELLS = "_bucket int, term string, _block long, rows array<int>, starts array<int>, positions array<int>"
+POSTINGS = "term string, _seg int, _block long, places array<struct<row: int, positions: array<int>>>, _bucket int"
+GONE = "_seg int, _row long, len int"
+
+
+def cells(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (_row, tokens with a space between) to the postings of each block's terms: rows (the last bits of their numbers), and the positions in the i-th from starts[i] up to starts[i + 1]."""
+    types = [pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = ["_bucket", "term", "_block", "rows", "starts", "positions"]
+
+    def batch_of(block: int, found: dict[str, tuple[list[int], list[int], list[int]]]) -> pa.RecordBatch:
+        columns = [[zlib.crc32(t.encode()) % n for t in found], list(found), [block] * len(found), *map(list, zip(*found.values()))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, found = -1, 0, {}
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if found and (row >> BITS != block or held > MOST):
+                    yield batch_of(block, found)
+                    held, found = 0, {}
+                block, places = row >> BITS, {}
+                for at, term in enumerate(text.as_py().split(" ")):
+                    places.setdefault(term, []).append(at)
+                    held += 1
+                for term, at in places.items():
+                    rows, starts, positions = found.setdefault(term, ([], [0], []))
+                    rows.append(row & (1 << BITS) - 1)
+                    positions += at
+                    starts.append(len(positions))
+        if found:
+            yield batch_of(block, found)
+
+    return run
 
 
 class SearchIndex(ViewTable):
     """A view whose text is indexed: postings with positions, in buckets by the hash of the term.
 
-    A batch adds a segment: the postings of rows that came, and retractions, which are the same
-    postings with sign -1, of rows that went. A posting is live if its signs add up to more than 0. A
-    search reads the buckets of its terms in all segments and nothing else; lengths stand in the
-    postings, the number of rows and of their tokens in the commit. `compact` makes one segment of
-    all. View and segments have one commit, so they can't disagree. `stored` are columns that
-    searches may filter by, beside the key.
+    A batch adds a segment: its rows (_row is their number in it, _seg the segment's), with the
+    columns that searches show, and the postings of their terms, which name _seg and _row only, one
+    row for each term and block of 1024 rows. Rows that went are listed as dead; their postings stay until `compact`, which makes one segment of
+    all that live. A search reads the buckets of its terms, the rows and the dead, but no other
+    postings and no texts; the number of rows and of their tokens stands in the commit. View and
+    segments have one commit, so they can't disagree. `stored` are columns that searches may filter
+    by, beside the key.
     """
 
-    tops = ("data", "postings")
+    tops = ("data", "postings", "rows", "dead")
 
     def __init__(self, spark: SparkSession, path: str, key: Sequence[str] = KEY, text: str = "text", stored: Sequence[str] = (), terms: int = 64, **options: Any) -> None:
         super().__init__(spark, path, key, **options)
@@ -36,56 +77,87 @@ class SearchIndex(ViewTable):
         self.columns = [*self.key, self.seq, *[c for c in stored if c not in self.key]]
 
     def folders(self, content: dict[str, Any]) -> set[str]:
-        return super().folders(content) | set(content.get("segments", []))
+        segments = content.get("segments", [])
+        return super().folders(content) | {f"{top}/{s}" for top in ("postings", "rows") for s in segments} | {f"dead/{d}" for d in content.get("dead", [])}
 
     def _term_bucket(self, term: Column, n: int) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
-
-    def _write(self, postings: DataFrame, at: str, n: int) -> None:
-        """A segment: a folder for each bucket, rows by term. A bucket is written by eight tasks, as one term can have a posting of every row."""
-        part = F.pmod(F.xxhash64(*self.key), F.lit(8))
-        dealt = postings.withColumn("_bucket", self._term_bucket(F.col("term"), n)).repartition(F.col("_bucket"), part).sortWithinPartitions("_bucket", "term")
-        dealt.write.partitionBy("_bucket").parquet(f"{self.path}/{at}")
-
-    def prepare(self, content: dict[str, Any], old: DataFrame | None, new: DataFrame, log: DataFrame, at: str) -> dict[str, Any]:
-        pick = lambda rows: rows.join(log.select(*self.key).distinct(), self._same(rows, log), "left_semi").select(*self.columns, F.col(self.text).alias("_text"))
-        come = pick(new)
-        gone = come.limit(0) if old is None else pick(old)
-        signed = gone.exceptAll(come).withColumn("sign", F.lit(-1)).unionByName(come.exceptAll(gone).withColumn("sign", F.lit(1)))
-        tokens = search_tokens(F.col("_text"))
-        signed = written(signed.select(*self.columns, "sign", tokens.alias("_tokens")).withColumn("len", F.size("_tokens")), "signed")
-        each = signed.select(*self.columns, "sign", "len", F.posexplode("_tokens").alias("_at", "term"))
-        postings = each.groupBy(*self.columns, "len", "sign", "term").agg(F.sort_array(F.collect_list("_at")).alias("positions"))
-        stats = signed.agg(F.count("*").alias("rows"), F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("len")).alias("tokens")).first()
-        made = {"terms": content.get("terms", self.terms), "segments": content.get("segments", []), "n": content.get("n", 0) + (stats["n"] or 0), "tokens": content.get("tokens", 0) + (stats["tokens"] or 0)}
-        made["postings"] = content.get("postings") or postings.withColumns({"segment": F.lit(""), "_bucket": F.lit(0)}).schema.jsonValue()
-        if stats["rows"]:
-            segment = f"postings/segment={uuid.uuid4().hex}"
-            self._write(postings, segment, made["terms"])
-            made["segments"] = [*made["segments"], segment]
-        return made
+        return (F.crc32(term.cast("binary")) % n).cast("int")
+
+    def _write(self, postings: DataFrame, segment: str) -> None:
+        """Adds to a segment: a folder for each bucket, rows by term."""
+        postings.sortWithinPartitions("_bucket", "term", "_seg", "_block").write.mode("append").options(**COMPRESSED).partitionBy("_bucket").parquet(f"{self.path}/postings/{segment}")
+
+    def _written(self, rows: DataFrame, at: str) -> DataFrame:
+        rows.write.options(**COMPRESSED).parquet(f"{self.path}/{at}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{at}")
+
+    def _live(self, content: dict[str, Any]) -> DataFrame | None:
+        """_seg, _row, len and columns of the rows that are indexed and not dead; None before the first."""
+        if not content.get("segments"):
+            return None
+        if "dead" not in content:
+            raise ValueError("the index was made by an earlier version; build it anew")
+        rows = self.spark.read.schema(T.StructType.fromJson(content["rows"])).parquet(*[f"{self.path}/rows/{s}" for s in content["segments"]])
+        return self._without(content, rows)
+
+    def _gone(self, content: dict[str, Any]) -> DataFrame:
+        return self.spark.read.schema(GONE).parquet(*[f"{self.path}/dead/{d}" for d in content["dead"]])
+
+    def _without(self, content: dict[str, Any], rows: DataFrame) -> DataFrame:
+        return rows.join(self._gone(content).select("_seg", "_row"), ["_seg", "_row"], "left_anti") if content["dead"] else rows
+
+    def prepare(self, content: dict[str, Any], fresh: Sequence[DataFrame], log: DataFrame) -> dict[str, Any]:
+        terms, number, segment, dead = content.get("terms", self.terms), content.get("made", 0) + 1, f"segment={uuid.uuid4().hex}", uuid.uuid4().hex
+        made = {"terms": terms, "made": number, "segments": content.get("segments", []), "dead": content.get("dead", []), "n": content.get("n", 0), "tokens": content.get("tokens", 0)}
+        if (live := self._live(content)) is not None:
+            gone = self._written(live.join(log.select(*self.key).distinct(), self._same(live, log), "left_semi").select("_seg", "_row", "len"), f"dead/{dead}")
+            lost = gone.agg(F.count("*").alias("n"), F.sum("len").alias("tokens")).first()
+            made |= {"n": made["n"] - lost["n"], "tokens": made["tokens"] - (lost["tokens"] or 0), "dead": [*made["dead"], dead] if lost["n"] else made["dead"]}
+        tokens = search_tokens(F.col(self.text))
+        every = fresh[0]
+        for part in fresh[1:]:
+            every = every.unionByName(part)
+        rows = self._written(every.select(F.lit(number).alias("_seg"), "_row", F.size(tokens).alias("len"), *self.columns), f"rows/{segment}")
+        came = rows.agg(F.count("*").alias("n"), F.sum("len").alias("tokens")).first()
+        made["rows"] = rows.schema.jsonValue()
+        if not came["n"]:
+            return made
+        for part in fresh:
+            known = part.select("_row", F.array_join(tokens, " ").alias("_tokens")).where("_tokens <> ''")
+            dealt = known.mapInArrow(cells(terms), CELLS).repartition("_bucket", F.pmod("_block", F.lit(max(1, TASKS // len(fresh)))))
+            positions = lambda i: F.slice("positions", F.get("starts", i) + 1, F.get("starts", i + 1) - F.get("starts", i))
+            places = F.transform("rows", lambda row, i: F.struct(row.alias("row"), positions(i).alias("positions")))
+            self._write(dealt.select("term", F.lit(number).alias("_seg"), "_block", places.alias("places"), "_bucket"), segment)
+        return made | {"segments": [*made["segments"], segment], "n": made["n"] + came["n"], "tokens": made["tokens"] + came["tokens"]}
+
+    def _blocks(self, content: dict[str, Any]) -> DataFrame:
+        at = [f"{self.path}/postings/{s}" for s in content["segments"] if self.folder.names(f"postings/{s}")]
+        return self.spark.read.schema(POSTINGS).option("basePath", f"{self.path}/postings").parquet(*at) if at else self.spark.createDataFrame([], POSTINGS)
+
+    def _postings(self, content: dict[str, Any], terms: Sequence[str] | None = None) -> DataFrame:
+        rows = self._blocks(content)
+        if terms is not None:
+            numbers = {zlib.crc32(t.encode()) % content["terms"] for t in terms}
+            rows = rows.where(F.col("_bucket").isin(*sorted(numbers)) & F.col("term").isin(*terms))
+        each = rows.select("term", "_seg", "_block", "_bucket", F.explode("places").alias("_p"))
+        return each.select("term", "_seg", F.shiftleft("_block", BITS).bitwiseOR(F.col("_p.row").cast("long")).alias("_row"), "_p.positions", "_bucket")
 
     def postings(self, content: dict[str, Any], terms: Sequence[str] | None = None) -> DataFrame:
-        """All postings of some terms, live or not; other buckets aren't read."""
-        schema = T.StructType.fromJson(content["postings"])
-        if not content["segments"]:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/postings").parquet(*[f"{self.path}/{at}" for at in content["segments"]])
-        if terms is None:
-            return rows
-        numbers = self.spark.range(1).select(*[self._term_bucket(F.lit(t), content["terms"]).alias(str(i)) for i, t in enumerate(terms)]).first()
-        return rows.where(F.col("_bucket").isin(*sorted(set(numbers))) & F.col("term").isin(*terms))
-
-    def _live(self, rows: DataFrame) -> DataFrame:
-        same = rows.groupBy(*self.columns, "len", "term")
-        return same.agg(F.sum("sign").alias("_signs"), F.first("positions").alias("positions")).where("_signs > 0").drop("_signs")
+        """All postings of some terms, with sign: 1, or -1 if their row is dead; other buckets aren't read."""
+        rows = self._postings(content, terms)
+        if not content["dead"]:
+            return rows.withColumn("sign", F.lit(1))
+        gone = self._gone(content).select("_seg", "_row", F.lit(-1).alias("_sign"))
+        return rows.join(gone, ["_seg", "_row"], "left").withColumn("sign", F.coalesce("_sign", F.lit(1))).drop("_sign")
 
     def _hits(self, content: dict[str, Any], request: Request) -> DataFrame:
+        if (live := self._live(content)) is None:
+            return self._listed(content, request).limit(0)
         phrases = phrases_of(self.spark, request.terms())
         terms = sorted({t for p in phrases for t in p.split(" ")})
         place = {t: F.col(f"_p{i}") for i, t in enumerate(terms)}
-        live = self._live(self.postings(content, terms))
-        rows = live.groupBy(*self.columns, F.col("len").alias("_len")).agg(*[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(terms)])
+        at = self._postings(content, terms).groupBy("_seg", "_row").agg(*[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(terms)])
+        rows = at.join(live, ["_seg", "_row"]).withColumnRenamed("len", "_len")
 
         def occurrences(phrase: str) -> Column:
             first, *rest = phrase.split(" ")
@@ -95,7 +167,7 @@ class SearchIndex(ViewTable):
             return F.coalesce(F.size(at), F.lit(0))
 
         counted = rows.select(*self.columns, "_len", *[F.greatest(occurrences(p), F.lit(0)).alias(f"_tf{i}") for i, p in enumerate(phrases)])
-        average = content["tokens"] / content["n"] if content["n"] else 0.0
+        average = content["tokens"] / content["n"] if content["tokens"] else 1.0  # of no tokens no row is a hit
         stats = counted.agg(F.lit(content["n"]).alias("_n"), F.lit(average).alias("_avg"), *frequencies(len(phrases)))
         return scored(counted, stats, len(phrases), request.where).select(*self.columns, "score")
 
@@ -136,16 +208,27 @@ class SearchIndex(ViewTable):
         return found.join(F.broadcast(score), same).drop(*[f"_k{i}" for i in range(len(self.key))])
 
     def compact(self) -> int:
-        """Makes one segment of those there are, without what has been retracted. Segments that others add meanwhile stay beside it. Returns how many were merged."""
+        """Makes one segment of those there are, without dead rows. Segments that others add meanwhile stay beside it, and what they list as dead stays dead. Returns how many were merged."""
         _, content = self.commits.newest()
-        merged = content.get("segments", [])
+        merged, dead = content.get("segments", []), content.get("dead", [])
         if len(merged) < 2:
             return 0
-        at = f"postings/segment={uuid.uuid4().hex}"
-        self._write(self._live(self.postings(content)).withColumn("sign", F.lit(1)).select(*[c for c in T.StructType.fromJson(content["postings"]).names if c not in ("segment", "_bucket")]), at, content["terms"])
+        segment = f"segment={uuid.uuid4().hex}"
+        with tidy(self.spark):
+            self._written(self._live(content), f"rows/{segment}")
+            groups = rounds(range(content["terms"]), sum(self.folder.size(f"postings/{s}") for s in merged))
+            for group in groups:
+                rows = self._blocks(content).where(F.col("_bucket").isin(*group))
+                if dead:
+                    last = F.col("_row").bitwiseAND((1 << BITS) - 1).cast("int")
+                    gone = self._gone(content).groupBy("_seg", F.shiftright("_row", BITS).alias("_block")).agg(F.collect_set(last).alias("_dead"))
+                    alive = F.filter("places", lambda p: ~F.array_contains(F.coalesce("_dead", F.array().cast("array<int>")), p["row"]))
+                    rows = rows.join(gone, ["_seg", "_block"], "left").withColumn("places", alive).where(F.size("places") > 0)
+                rows = rows.select("term", "_seg", "_block", "places", "_bucket")
+                self._write(rows.repartition("_bucket", F.pmod("_block", F.lit(TASKS))), segment)
         while True:
             version, content = self.commits.newest()
-            rest = [s for s in content["segments"] if s not in merged]
-            if self.commits.add(version + 1, content | {"segments": [at, *rest]}):
+            left = {"segments": [segment, *[s for s in content["segments"] if s not in merged]], "dead": [d for d in content["dead"] if d not in dead]}
+            if self.commits.add(version + 1, content | left):
                 self.prune()
                 return len(merged)

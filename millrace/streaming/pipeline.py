@@ -13,11 +13,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.view import KEY, applied
-from millrace.storage import Scratch, written
+from millrace.storage import COMPRESSED, Scratch, tidy, written
 from millrace.streaming.commits import Commits, Folder
 
 Transform = Callable[[DataFrame], DataFrame]
 
+#: A batch is merged in rounds of about this many bytes in files, by buckets: what is shuffled for a round goes before the next one begins.
+ROUND = 16 << 20
+MOST_ROUNDS = 16
+
+
+def rounds(numbers: Sequence[int], size: int) -> list[list[int]]:
+    """Numbers of buckets in groups, one for each ROUND of size; one empty group if there are none."""
+    n = max(1, min(MOST_ROUNDS, -(-size // ROUND), len(numbers)))
+    return [list(numbers[i::n]) for i in range(n)]
+
 
 class ViewTable:
     """A current view in a folder, in buckets by the hash of the key; a batch writes anew only the buckets of its keys.
@@ -27,7 +37,8 @@ class ViewTable:
     does nothing. Of two writers, the one that commits second begins again from the other's version.
     What no version needs any more is removed once it is older than `grace` seconds, so readers have
     as long to end. The number of buckets is fixed with the first commit; a bucket is rewritten by
-    one task. Keys may hold nulls; rows of a batch later in seq come after earlier ones and all of
+    one task. Its files also hold _row, a number of each row that came with the commit (null in
+    others), which no version shows. Keys may hold nulls; rows of a batch later in seq come after earlier ones and all of
     them after what the view holds.
     """
 
@@ -76,13 +87,13 @@ class ViewTable:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def merged(self, old: DataFrame | None, log: DataFrame) -> DataFrame:
-        """The last row of each key that isn't a delete."""
+        """The last row of each key that isn't a delete, and _new: 1 if it is of the log."""
         events = log.withColumn("_new", F.lit(1))
         if old is not None:
             events = old.withColumn("_new", F.lit(0)).unionByName(events, allowMissingColumns=True)
         rest = [c for c in events.columns if c not in (*self.key, "_new")]
-        last = events.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.struct("_new", self.seq)).alias("_last"))
-        return last.where(F.lower(F.col(f"_last.`{self.op}`")) != "delete").select(*self.key, "_last.*")
+        last = events.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.struct("_new", self.seq)).alias("_last"), F.max("_new").alias("_new"))
+        return last.where(F.lower(F.col(f"_last.`{self.op}`")) != "delete").select(*self.key, "_last.*", "_new")
 
     def changes(self, old: DataFrame | None, log: DataFrame) -> int:
         """How many events of the log change their key's row, one after the other: another content, a first row, or a delete of one."""
@@ -96,13 +107,15 @@ class ViewTable:
             events = events.unionByName(held.select(*self.key, self.seq, self.op, version.alias("_version"), F.lit(0).alias("_new")))
         return applied(events.withColumn("_at", F.struct("_new", self.seq)), F.col("_version"), self.key, "_at", self.op).where("_new = 1").count()
 
-    def prepare(self, content: dict[str, Any], old: DataFrame | None, new: DataFrame, log: DataFrame, at: str) -> dict[str, Any]:
-        """What a kind of view adds to its commit; it may write below `at`. content: the commit before; old and new: the buckets of the batch before and after it."""
+    def prepare(self, content: dict[str, Any], fresh: Sequence[DataFrame], log: DataFrame) -> dict[str, Any]:
+        """What a kind of view adds to its commit. content: the commit before; fresh: the rows that came with the batch, with _row, a number of each; in parts, one for each round."""
         return {}
 
     def apply(self, log: DataFrame, batch: int, writer: str = "") -> int:
         """Puts a batch of events (key, seq, operation, other columns) into the view. Returns how many of them changed it; 0 if the batch was there already."""
-        with Scratch():
+        rest = [c for c in log.columns if c not in (*self.key, self.seq, self.op)]
+        log = log.withColumns({c: F.when(F.lower(self.op) == "delete", None).otherwise(F.col(c)) for c in rest})  # a delete has no content
+        with Scratch(), tidy(self.spark):
             log = written(log, "batch")
             while True:
                 version, content = self.commits.newest()
@@ -118,12 +131,21 @@ class ViewTable:
         touched = self._touched(log, n)
         at = f"data/{uuid.uuid4().hex}"
         old = self._rows(content, touched) if content else None
-        rows = self.merged(old, log)
-        rows.withColumn("_bucket", self._bucket(n)).repartition(max(1, len(touched)), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{at}")
+        held = [f"{where}/_bucket={b}" for b, where in content.get("buckets", {}).items() if int(b) in touched]
+        size = sum(Folder(self.spark, f.rpartition("/")[0]).size() for f in log.inputFiles()[:1])
+        groups = rounds(touched, size + sum(self.folder.size(name) for name in held))
+        for i, group in enumerate(groups):
+            events = log.where(self._bucket(n).isin(*group)) if len(groups) > 1 else log
+            rows = self.merged(self._rows(content, group) if content else None, events).withColumn("_bucket", self._bucket(n)).repartition(max(1, len(group)), "_bucket")
+            number = F.monotonically_increasing_id() + (i << 58)  # the ids of a job stay below 2^58
+            numbered = rows.withColumn("_row", F.when(F.col("_new") == 1, number)).drop("_new")
+            numbered.write.mode("append").options(**COMPRESSED).partitionBy("_bucket").parquet(f"{self.path}/{at}")
+        schema = rows.drop("_new", "_bucket").schema
         new = {name.partition("=")[2]: at for name in self.folder.names(at) if name.startswith("_bucket=")}
         kept = {b: where for b, where in content.get("buckets", {}).items() if int(b) not in touched}
-        made = {"of": n, "schema": rows.schema.jsonValue(), "batches": content.get("batches", {}) | {writer: batch}, "buckets": kept | new}
-        made |= self.prepare(content, old, self._rows(made, touched), log, at)
+        made = {"of": n, "schema": schema.jsonValue(), "batches": content.get("batches", {}) | {writer: batch}, "buckets": kept | new}
+        came = lambda group: self._rows({"schema": T.StructType([*schema, T.StructField("_row", T.LongType())]).jsonValue(), "buckets": new}, group).where("_row is not null")
+        made |= self.prepare(content, [came(group) for group in groups], log)
         done = self.changes(old, log)
         if self.commits.add(version + 1, made):
             return done

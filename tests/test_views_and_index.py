@@ -148,6 +148,40 @@ def test_a_search_reads_its_buckets_only(spark, tmp_path):
     assert index.search(search.Request("fox")).count() == 10
 
 
+def test_rounds_give_the_same_index_in_little_space(spark, tmp_path, monkeypatch):
+    from millrace.streaming import pipeline
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(400)) for _ in range(600)]
+    rows = [("a", "s", f"k{i}", "upsert", t, "en", i) for i, t in enumerate(texts)]
+    log = spark.createDataFrame(rows, DOC)
+    drafts = log.withColumn("id", F.concat(F.lit("draft "), "id"))
+    log.coalesce(1).write.parquet(str(tmp_path / "input"))
+    size = lambda at: sum(f.stat().st_size for f in at.rglob("*.parquet"))
+    found = {}
+    for name, round_bytes in (("one", 1 << 40), ("many", 1)):
+        monkeypatch.setattr(pipeline, "ROUND", round_bytes)
+        index = SearchIndex(spark, str(tmp_path / name), buckets=8, terms=4)
+        index.apply(drafts, 0)
+        index.apply(log.unionByName(drafts.withColumn("operation", F.lit("delete"))), 1)
+        content = index.commits.newest()[1]
+        assert (content["n"], content["tokens"]) == (600, 240_000)
+        request = search.Request(words[0], limit=1000)
+        found[name] = [pages(index.search(request)), index.compact(), pages(index.search(request))]
+        assert {x["sign"] for x in index.postings(index.commits.newest()[1]).collect()} == {1}
+        assert size(tmp_path / name / "postings") < 3 * size(tmp_path / "input"), name
+    assert found["one"] == found["many"] and found["one"][0] == found["one"][2] == pages(search.search(log, search.Request(words[0], limit=1000)))
+
+
+def test_a_row_of_the_same_seq_is_found_by_its_new_text(spark, tmp_path):
+    index = SearchIndex(spark, str(tmp_path / "i"), terms=2)
+    for batch, text in enumerate(["red fox dog", "dog fox red", "fox red dog"]):
+        index.apply(spark.createDataFrame([("a", "s", "k", "upsert", text, "en", 1), ("a", "s", f"other{batch}", "upsert", "cat", "en", 2)], DOC), batch)
+        for phrase in ("red_fox", "dog_fox", "fox_red", "red_dog"):
+            assert index.total(search.Request(phrase)).first()["total"] == (phrase.replace("_", " ") in text), (text, phrase)
+
+
 def test_an_empty_index(spark, tmp_path):
     index = SearchIndex(spark, str(tmp_path / "i"))
     with pytest.raises(ValueError):
