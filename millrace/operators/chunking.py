@@ -1,23 +1,51 @@
 """Texts to chunks: windows of tokens, separators, HTML sections, topics, document elements.
 
 Windows are expressions. The greedy splitters keep a little state from piece to piece, so they are
-small functions on one text inside an Arrow-batched pandas UDF. A chunk's index over all documents
+small functions on one text, given Arrow batches of which only some texts at a time become Python
+objects. A chunk's index over all documents
 comes from counts by document, not from a window over all chunks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.columns import words
 from millrace.operators.rows import running
 
 DEFAULT_SEPARATORS = "\\n\\n,\\n,. , , "  # fixed: as written in settings, backslashes escaped
+AT_ONCE = 1 << 20  # characters of texts whose parts are Python objects at once, and a text's more
+
+
+def in_parts(split: Callable[[str | None], list], kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches (doc, text) to batches (doc, _p), the parts of each text; a batch goes out after AT_ONCE characters, however many rows came in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, made = 0, 0, []
+            for i, value in enumerate(batch.column(1)):
+                text = value.as_py()
+                made.append(split(text))
+                held += len(text or "")
+                if held >= AT_ONCE or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(made)), pa.array(made, pa.list_(kind))], ["doc", "_p"])
+                    first, held, made = i + 1, 0, []
+
+    return run
+
+
+def parts_of(docs: DataFrame, doc: str, text: str, split: Callable[[str | None], list], kind: pa.DataType, sql: str) -> DataFrame:
+    """doc and _p: an array of what split makes of each text. kind and sql: the type of a part, for Arrow and for Spark."""
+    schema = T.StructType([T.StructField("doc", docs.schema[doc].dataType), *T.StructType.fromDDL(f"_p array<{sql}>")])
+    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(in_parts(split, kind), schema).withColumnRenamed("doc", doc)
 
 
 def windows(tokens: Column, size: int, overlap: int) -> Column:
@@ -42,8 +70,9 @@ def chunk_tokens(docs: DataFrame, doc: str, text: str = "text", size: int = 512,
         piece = F.substring(F.col("_t"), F.col("_i") + 1, F.lit(size))
         return rows.select(doc, "local", piece.alias("text"), F.length(piece).alias("chunk_tokens"))
     elif encode and decode:
-        split = F.pandas_udf(lambda s: s.map(lambda t: [] if t is None or not t.strip() else [(decode(x := list(encode(t))[i : i + size]), len(x)) for i in range(0, len(encode(t)), size - overlap)]), "array<struct<text:string,n:int>>")
-        return docs.select(doc, F.posexplode(split(text)).alias("local", "_c")).select(doc, "local", F.col("_c.text").alias("text"), F.col("_c.n").alias("chunk_tokens"))
+        split = lambda t: [] if t is None or not t.strip() else [{"text": decode(x := list(encode(t))[i : i + size]), "n": len(x)} for i in range(0, len(encode(t)), size - overlap)]
+        made = parts_of(docs, doc, text, split, pa.struct([("text", pa.string()), ("n", pa.int32())]), "struct<text:string,n:int>")
+        return made.select(doc, F.posexplode("_p").alias("local", "_c")).select(doc, "local", F.col("_c.text").alias("text"), F.col("_c.n").alias("chunk_tokens"))
     else:
         raise ValueError("tokens of an encoding need encode and decode")
     return docs.select(doc, F.posexplode(windows(tokens, size, overlap)).alias("local", "_w")).select(doc, "local", glue(F.col("_w")).alias("text"), F.size("_w").alias("chunk_tokens"))
@@ -90,10 +119,10 @@ def by_separators(text: str, size: int, separators: Sequence[str]) -> list[str]:
 def chunk_recursive(docs: DataFrame, doc: str, text: str = "text", size: int = 1000, overlap: int = 200, separators: str = DEFAULT_SEPARATORS) -> DataFrame:
     """doc, local and text: pieces between separators, blank ones dropped, each followed by the first `overlap` characters of the next."""
     marks = unescape(separators)
-    split = F.pandas_udf(lambda s: s.map(lambda t: by_separators(t, size, marks) if t and t.strip() else []), "array<string>")
-    pieces = F.filter(split(text), lambda p: F.regexp_replace(p, r"(?U)\s", "") != "")
+    made = parts_of(docs, doc, text, lambda t: by_separators(t, size, marks) if t and t.strip() else [], pa.string(), "string")
+    pieces = F.filter("_p", lambda p: F.regexp_replace(p, r"(?U)\s", "") != "")
     after = lambda p, i: F.concat(p, F.substring(F.coalesce(F.try_element_at(F.col("_p"), i + 2), F.lit("")), 1, overlap))
-    rows = docs.select(doc, pieces.alias("_p"))
+    rows = made.select(doc, pieces.alias("_p"))
     return rows.select(doc, F.posexplode(F.transform("_p", after) if overlap > 0 else F.col("_p")).alias("local", "text"))
 
 
@@ -148,8 +177,9 @@ def html_sections(html: str, size: int, tags: frozenset[str]) -> list[tuple[str,
 def chunk_html(docs: DataFrame, doc: str, html: str = "html", size: int = 2000, tags: str = "h1,h2,h3,p,table,section") -> DataFrame:
     """doc, local, text and tag_hierarchy of the sections of pages; blank pages have none."""
     chosen = frozenset(t.strip().lower() for t in tags.split(",") if t.strip())
-    split = F.pandas_udf(lambda s: s.map(lambda t: html_sections(t, size, chosen) if t and t.strip() else []), "array<struct<text:string,tag_hierarchy:array<string>>>")
-    return docs.select(doc, F.posexplode(split(html)).alias("local", "_c")).select(doc, "local", "_c.text", "_c.tag_hierarchy")
+    split = lambda t: [{"text": x, "tag_hierarchy": y} for x, y in html_sections(t, size, chosen)] if t and t.strip() else []
+    made = parts_of(docs, doc, html, split, pa.struct([("text", pa.string()), ("tag_hierarchy", pa.list_(pa.string()))]), "struct<text:string,tag_hierarchy:array<string>>")
+    return made.select(doc, F.posexplode("_p").alias("local", "_c")).select(doc, "local", "_c.text", "_c.tag_hierarchy")
 
 
 def elements(text: str, limit: int = 12_000) -> list[str]:
@@ -166,8 +196,8 @@ def elements(text: str, limit: int = 12_000) -> list[str]:
 
 def chunk_elements(docs: DataFrame, doc: str, text: str = "text", limit: int = 12_000) -> DataFrame:
     """doc, local and text of a document's elements."""
-    split = F.pandas_udf(lambda s: s.map(lambda t: elements(t, limit) if t else []), "array<string>")
-    return docs.select(doc, F.posexplode(split(text)).alias("local", "text"))
+    made = parts_of(docs, doc, text, lambda t: elements(t, limit) if t else [], pa.string(), "string")
+    return made.select(doc, F.posexplode("_p").alias("local", "text"))
 
 
 def topics(parts: Sequence[str], near: Sequence[float], threshold: float, least: int, most: int) -> list[tuple[str, float]]:
@@ -207,8 +237,8 @@ def chunk_semantic(docs: DataFrame, doc: str, embed: Callable[[list[str]], list[
             found = [(t, None) for t, _ in topics(parts, [1.0] * len(parts), -2.0, least, most)]
         return [{"text": t, "similarity_score": s} for t, s in found]
 
-    split = F.pandas_udf(lambda s: s.map(one), "array<struct<text:string,similarity_score:double>>")
-    return docs.select(doc, F.posexplode(split(text)).alias("local", "_c")).select(doc, "local", "_c.text", "_c.similarity_score")
+    made = parts_of(docs, doc, text, one, pa.struct([("text", pa.string()), ("similarity_score", pa.float64())]), "struct<text:string,similarity_score:double>")
+    return made.select(doc, F.posexplode("_p").alias("local", "_c")).select(doc, "local", "_c.text", "_c.similarity_score")
 
 
 def hash_embedding(texts: list[str], size: int = 32) -> list[list[float]]:

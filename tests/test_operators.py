@@ -326,3 +326,17 @@ def test_a_failed_batch_leaves_the_others(spark, written):
     with pytest.raises(Exception, match="RuntimeError: no"):
         models.embed(table, provider, "m", batch=2).collect()
     assert models.embed(table.where("false"), provider, "m", keep=True).count() == 0
+
+
+def test_chunkers_hold_few_texts_as_objects_at_once(spark):
+    import pyarrow as pa
+
+    text = "a line of some words\n" * 500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([text, None, ""] * 1000)], ["doc", "text"])
+    out = list(chunking.in_parts(lambda t: chunking.elements(t) if t else [], pa.string())(iter([batch, batch.slice(0, 0)])))
+    assert len(out) > 8 and max(b.column(1).nbytes for b in out) < 3 * chunking.AT_ONCE
+    assert [d for b in out for d in b.column(0).to_pylist()] == list(range(3000))
+    parts = [p for b in out for p in b.column(1).to_pylist()]
+    assert parts == [chunking.elements(text), [], []] * 1000
+    rows = spark.createDataFrame([(1, text), (2, None), (None, "x")], "doc_id int, text string")
+    assert {(r.doc_id, r.local) for r in chunking.chunk_elements(rows, "doc_id").collect()} == {(1, 0), (None, 0)}
