@@ -43,6 +43,8 @@ COMMON, COMMON_SHARE = 4096, 1_000_000
 #: Runs of a text that are worked on at once, and parts of regions that are verified at once.
 PIECE, REGION = 1 << 25, 1 << 15
 REQUESTS = 1024
+#: Elements of diagonals that are followed at once.
+CELLS = 1 << 16
 POSITION = 26
 #: Parts of a group: the sides (before 0 and 1, after 2 and 3) whose minima its windows share.
 PARTS = ((0,), (1,), (2,), (3,), (0, 1), (2, 3), (0, 2), (1, 3))
@@ -93,18 +95,21 @@ def window_sums(h: np.ndarray, t: int) -> np.ndarray:
     return out
 
 
-def compact_windows(h: np.ndarray, at: np.ndarray, t: int, function: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Position, reach to the left and to the right of every compact window of at least t elements, and its row; h: elements of rows at[i] to at[i+1]."""
+def compact_windows(h: np.ndarray, at: np.ndarray, t: int, function: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position, reach to the left and to the right of every compact window of at least t elements, and its row; h: elements of rows at[i] to at[i+1]. Not whole: reaches of t - 1 at most, which are those of the windows of t elements with that minimum."""
     none = np.zeros(0, np.int64)
     if len(h) < t:
         return none, none, none, none
     v = ranks(h, function)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     inside = row[: len(h) - t + 1] == row[t - 1 :]
-    c = lowest(h, t, function)[inside]
+    c, start = lowest(h, t, function)[inside], np.flatnonzero(inside)
     if not len(c):
         return none, none, none, none
-    c = c[np.append(True, c[1:] != c[:-1])]
+    new = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+    c = c[new]
+    if not whole:
+        return c, c - start[new], start[np.append(new[1:], len(start)) - 1] + t - 1 - c, row[c]
     w, r, m = v[c], row[c], len(c)
 
     def nearest(w: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -140,14 +145,15 @@ def pieces(h: np.ndarray, at: np.ndarray, t: int, size: int = PIECE) -> Iterator
 
 def signatures(h: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """key, place of the first function's minimum and row of each part of a text over which all functions' compact windows have t elements or more in common."""
-    found, starts = [], []
+    found, starts, some = [], [], np.zeros(len(h), bool)
     for f in range(FUNCTIONS):
-        c, left, _, _ = compact_windows(h, at, t, f)
+        c, left, _, _ = compact_windows(h, at, t, f, whole=False)
         if not len(c):
             return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        starts.append(c - np.minimum(left, t - 1))  # of the first window of t elements whose minimum is c
+        starts.append(c - left)  # of the first window of t elements whose minimum is c
         found.append(c)
-    first = np.unique(np.concatenate(starts))
+        some[starts[-1]] = True
+    first = np.flatnonzero(some)
     c = [x[np.searchsorted(s, first, side="right") - 1] for x, s in zip(found, starts, strict=True)]
     key = np.zeros(len(first), U)
     for f, x in enumerate(c):
@@ -403,22 +409,29 @@ def passages(x: np.ndarray, y: np.ndarray, t: int, similarity: float) -> list[tu
     order = np.argsort(y, kind="stable")
     ordered = y[order]
     packed = ordered.astype(U) << U(32) | order.astype(U)
-    numbers = {v: n for n, v in enumerate(dict.fromkeys(xs + ys))}
-    nx, ny = np.array([numbers[v] for v in xs]), np.array([numbers[v] for v in ys])
+    ds = np.array(diagonals(ordered, order, x, t, least), np.int64)
+    if not len(ds):
+        return []
+    kinds, numbers = np.unique(np.concatenate([x, y]), return_inverse=True)
+    nx, ny = numbers[: len(x)], numbers[len(x) :]
 
     def similar(a: int, b: int, c: int, d: int) -> bool:
-        p, q = np.zeros(len(numbers), bool), np.zeros(len(numbers), bool)
+        p, q = np.zeros(len(kinds), bool), np.zeros(len(kinds), bool)
         p[nx[a:b]] = True
         q[ny[c:d]] = True
         return np.count_nonzero(p & q) >= similarity * np.count_nonzero(p | q)
 
-    i, out = np.arange(len(x)), set()
-    for d in diagonals(ordered, order, x, t, least):
-        at = np.searchsorted(packed, x.astype(U) << U(32) | np.clip(i + d, 0, len(y)).astype(U))
+    i, high, out = np.arange(len(x)), x.astype(U) << U(32), set()
+    each = max(1, CELLS // len(x))
+    for first in range(0, len(ds), each):
+        wanted = i + ds[first : first + each, None]
+        at = np.searchsorted(packed, high | np.minimum(np.maximum(wanted, 0), len(y)).astype(U))
         after, before = np.minimum(at, len(y) - 1), np.maximum(at - 1, 0)
-        far = [np.where(ordered[k] == x, np.abs(order[k] - i - d), len(x) + len(y)) for k in (before, after)]
-        place = np.where(far[0] < far[1], order[before], order[after])
-        out.update(along(np.minimum(*far) <= t, place, t, similarity, similar))
+        far = [np.where(ordered[k] == x, np.abs(order[k] - wanted), len(x) + len(y)) for k in (before, after)]
+        hits, found = np.minimum(*far) <= t, np.where(far[0] < far[1], order[before], order[after])
+        span = np.where(hits, found, -1).max(axis=1) - np.where(hits, found, len(y)).min(axis=1) + 1
+        for k in np.flatnonzero(span >= t * similarity).tolist():  # along() finds nothing in less of y
+            out.update(along(hits[k], found[k], t, similarity, similar))
     joined: list[tuple[int, int, int, int]] = []
     for a, b, c, d in sorted(out):  # passages that overlap in both, on neighbouring diagonals, are one
         for k, (a2, b2, c2, d2) in enumerate(joined):
@@ -442,23 +455,25 @@ def along(hit: np.ndarray, place: np.ndarray, t: int, similarity: float, similar
     stops = np.flatnonzero(hit & np.append(~hit[1:] | new[1:], True)) + 1
     joined: list[tuple] = []  # start, end, elements that occur, start, end, parts
     for a, b, c, d in zip(starts.tolist(), stops.tolist(), place[starts].tolist(), (place[stops - 1] + 1).tolist(), strict=True):
-        q: tuple = (a, b, b - a, c, d, ())
+        m = b - a
+        q: tuple = (a, b, m, c, d, ())
         while joined:
             p = joined[-1]
-            c, d, m = min(p[3], q[3]), max(p[4], q[4]), p[2] + q[2]
-            if m < similarity * (q[1] - p[0] + d - c - m):
+            first, _, n, c2, d2, _ = p
+            c, d, m = c if c < c2 else c2, d if d > d2 else d2, m + n
+            if m < similarity * (b - first + d - c - m):
                 break
-            q = (p[0], q[1], m, c, d, (joined.pop(), q))
+            joined.pop()
+            q = (first, b, m, c, d, (p, q))
         joined.append(q)
-    out = []
+    out, least = [], t * similarity
+    joined = [q for q in joined if q[1] - q[0] >= t and q[4] - q[3] >= least]
     while joined:
         a, b, _, c, d, parts = joined.pop()
-        if b - a < t:
-            continue
-        if d - c >= t * similarity and similar(a, b, c, d):
+        if similar(a, b, c, d):
             out.append((a, b, c, d))
-        else:
-            joined.extend(parts)
+        else:  # parts span no more than the whole, in both
+            joined.extend([q for q in parts if q[1] - q[0] >= t and q[4] - q[3] >= least])
     return out
 
 

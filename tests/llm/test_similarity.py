@@ -222,3 +222,28 @@ def test_op6_groups_of_every_size_find_the_same_passages_in_any_layout(spark, wr
     got = {r[0] for r in rows[0]}
     assert got <= set(range(120))
     assert sum(2 * k in got and 2 * k + 1 in got for k in range(60)) >= 57
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=60), st.integers(1, 12), st.lists(st.integers(1, 59), max_size=3))
+def test_op6_short_reaches_are_those_of_compact_windows(values, t, cuts):
+    h = np.array(values, np.uint64)
+    at = np.unique([0, *[c for c in cuts if c < len(h)], len(h)])
+    c, left, right, row = substring.compact_windows(h, at, t, 0)
+    got = substring.compact_windows(h, at, t, 0, whole=False)
+    assert [x.tolist() for x in got] == [x.tolist() for x in (c, np.minimum(left, t - 1), np.minimum(right, t - 1), row)]
+
+
+def test_op6_only_diagonals_that_span_enough_of_both_are_followed(monkeypatch):
+    followed, along = [], substring.along
+    monkeypatch.setattr(substring, "along", lambda *a: followed.append(1) or along(*a))
+    r = np.random.default_rng(5)
+    unit, fill, p = (r.integers(0, 1 << 32, n, dtype=np.uint32) for n in (30, 100, 50))
+    # Each element of x stands in y, but y has 30 of them only.
+    assert substring.passages(np.tile(unit, 4), np.concatenate([unit, fill]), 46, 0.8) == [] and not followed
+    x = np.concatenate([np.tile(unit, 4), p, fill])
+    y = np.concatenate([unit, p, fill[:3]])
+    want = [(30, 173, 0, 83)]
+    assert substring.passages(x, y, 46, 0.8) == want and followed
+    monkeypatch.setattr(substring, "CELLS", 1)
+    assert substring.passages(x, y, 46, 0.8) == want
