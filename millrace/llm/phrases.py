@@ -6,9 +6,11 @@ in a text, and only they, have neighbouring positions. Phrases grow by a word at
 occurrence of a frequent phrase is merge-joined, by position, with the lists of what stands one word
 later: the phrase that shares all its words but the first, whose last is the adjacent word. Where
 that isn't frequent, the longer phrase can't be. What comes out are the lists of longer phrases; a
-list's length is how often the phrase occurs in the slice, and only lengths leave it. They are added
-up over all slices by the phrase's two parts, which name it exactly: words are told apart by their
-text, longer phrases by the numbers of their parts, never by a hash.
+list's length is how often the phrase occurs in the slice, and only lengths leave it, packed: phrases
+are dealt into buckets by a hash of their two parts, and a slice's lists of a bucket are one row. A
+bucket's lengths are added up over all slices by the two parts, which name a phrase exactly: words are
+told apart by their text, longer phrases by the numbers of their parts, never by a hash. Each slice gets
+back the numbers of its frequent phrases, packed as well (marks).
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import small_batches, stage
-from millrace.llm.text import string_bytes
+from millrace.llm.text import U, mix, string_bytes
 from millrace.storage import Scratch
 
 TOKENS = 1 << 21
+#: Lists that a bucket has at most, on average: one is unpacked at a time in a task.
+LISTS = 1 << 20
 # A number of a phrase is its slice's and its place there; a slice's is its task's and its place there.
 PLACES, SLICES, TASKS = 26, 12, 25
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -37,15 +41,21 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
 
-def packed(positions: np.ndarray) -> bytes:
-    """Positions as compressed steps; their first bytes stand together, then their second ones and so on, as most of the higher ones are 0."""
-    steps = np.diff(positions.astype(np.int32), prepend=np.int32(0)).astype("<i4")
-    return pa.Codec("zstd").compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).data, asbytes=True)
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, compressed; the first bytes of a column's numbers stand together, then their second ones and so on, as most of the higher ones are 0."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.ravel() for c in columns]
+    return pa.Codec("zstd").compress(np.concatenate(planes).data, asbytes=True)
 
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), np.uint8).reshape(4, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
+def unpacked(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, n * sum(sizes), asbytes=True), np.uint8)
+    parts = np.split(planes, np.cumsum(sizes)[:-1] * n)
+    return [np.ascontiguousarray(p.reshape(size, n).T).view(k).ravel() for p, size, k in zip(parts, sizes, kinds, strict=True)]
+
+
+def steps(ascending: np.ndarray, kind: str = "<i4") -> np.ndarray:
+    return np.diff(ascending, prepend=0).astype(kind)
 
 
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -88,7 +98,7 @@ def postings(docs: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
             kinds, which, n = np.unique(code, return_inverse=True, return_counts=True)
             positions = np.concatenate([h[2] for h in held])[np.argsort(which, kind="stable")]
             names, one = pa.array(list(langs)), lambda a: pa.array([a.to_pylist()], pa.list_(pa.string()))
-            columns = [pa.array([task << SLICES | made]), one(names.take(pa.array(kinds % len(langs)))), one(coded.dictionary.take(pa.array(kinds // len(langs)))), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([packed(positions)], pa.binary())]
+            columns = [pa.array([task << SLICES | made]), one(names.take(pa.array(kinds % len(langs)))), one(coded.dictionary.take(pa.array(kinds // len(langs)))), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([packed(steps(positions))], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["slice", "lang", "word", "n", "positions"])
 
         for batch in batches:
@@ -110,21 +120,35 @@ def postings(docs: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
     return rows.mapInArrow(run, "slice long, lang array<string>, word array<string>, n array<int>, positions binary")
 
 
-def grown(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """For a slice and its frequent phrases (level, j, id) of fewer words: the phrases of `length` words, place, prefix and suffix (numbers of their parts), and n, the lengths of their lists."""
+LENGTHS, MARKS = ("<i4", "<i8", "<i8", "<i4"), ("<i4", "<i8")
+MARKED = "slice long, level int, m int, marks binary"
+
+
+def marked(words: pa.Table) -> pa.Table:
+    """The marks of a slice's frequent words (slice, j, id): how many (m), their places (steps) and numbers, packed."""
+    words = words.sort_by("j")
+    data = packed(steps(words["j"].to_numpy()), words["id"].to_numpy())
+    return pa.table({"slice": words["slice"][:1], "level": pa.array([1], pa.int32()), "m": pa.array([len(words)], pa.int32()), "marks": pa.array([data], pa.binary())})
+
+
+def grown(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a slice and the marks of its frequent phrases of fewer words: the phrases of `length` words in rows of a bucket each, how many it has (m) and, packed, their places in the slice (steps), prefixes (steps) and suffixes (numbers of their parts), and the lengths of their lists."""
 
     def run(files: pa.Table, frequent: pa.Table) -> pa.Table:
-        level, j, ids = (frequent[c].to_numpy() for c in ("level", "j", "id"))
+        marks = [frequent[c].to_pylist() for c in ("level", "m", "marks")]
 
         def numbers(k: int, n: int) -> np.ndarray:
             out = np.full(n, -1)
-            out[j[level == k]] = ids[level == k]
+            for level, m, data in zip(*marks, strict=True):
+                if level == k:
+                    j, ids = unpacked(data, m, *MARKS)
+                    out[np.cumsum(j)] = ids
             return out
 
         if not files.num_rows:  # a slice is never without its file
             raise ValueError("phrases of an unknown slice")
         n = files["n"].combine_chunks().flatten().to_numpy()
-        at, own = unpacked(files["positions"][0].as_py(), int(n.sum())), np.repeat(numbers(1, len(n)), n)
+        at, own = np.cumsum(unpacked(files["positions"][0].as_py(), int(n.sum()), "<i4")[0], dtype=np.int32), np.repeat(numbers(1, len(n)), n)
         for k in range(2, length + 1):
             at, own = at[own >= 0], own[own >= 0]
             if k == 2:
@@ -139,19 +163,56 @@ def grown(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if len(n) >> PLACES:
             raise ValueError("more phrases in a slice than numbers for them")
         prefix, suffix = a[kinds // max(len(b), 1)], b[kinds % max(len(b), 1)]
-        places = np.arange(len(kinds)) + (files["slice"][0].as_py() << PLACES)
-        return pa.table({"place": places, "prefix": prefix, "suffix": suffix, "n": n.astype(np.int32)})
+        bucket = mix(prefix.view(U) ^ mix(suffix.view(U))) % U(buckets)
+        order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+        ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+        rows = []
+        for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+            x = order[ends[k - 1] if k else 0 : ends[k]]  # ascending, and so are their prefixes
+            rows.append((k, len(x), packed(steps(x), steps(prefix[x], "<i8"), suffix[x], n[x].astype("<i4"))))
+        number, m, data = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"bucket": pa.array(number, pa.int32()), "slice": pa.array([files["slice"][0].as_py()] * len(rows), pa.int64()), "m": pa.array(m, pa.int32()), "lists": pa.array(data, pa.binary())})
+
+    return run
+
+
+def counted(least: int, level: int) -> Callable[[pa.Table], pa.Table]:
+    """For a bucket of `grown`: a row for each slice that has frequent phrases of it (`least` times or more in all slices), with their marks. A phrase's number (id) is its first place; that place's row has id, f (how often), prefix and suffix of such phrases."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("slice")
+        parts = []
+        for number, m, data in zip(*(rows[c].to_pylist() for c in ("slice", "m", "lists")), strict=True):
+            j, prefix, suffix, n = unpacked(data, m, *LENGTHS)
+            parts.append((np.cumsum(j, dtype=np.int64) + (number << PLACES), np.cumsum(prefix), suffix, n))
+        place, prefix, suffix, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((suffix, prefix))  # places of a phrase stay in order
+        new = np.append(True, (np.diff(prefix[order]) != 0) | (np.diff(suffix[order]) != 0))
+        first = np.flatnonzero(new)
+        f = np.add.reduceat(n[order].astype(np.int64), first)
+        of = np.cumsum(new) - 1
+        ids, total = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+        ids[order], total[order] = place[order[first]][of], f[of]
+        x = np.flatnonzero(total >= least)  # by place, as parts are
+        names = x[ids[x] == place[x]]
+        bounds = np.cumsum([0, *(len(p[0]) for p in parts)])
+        at, named_at = np.searchsorted(x, bounds), np.searchsorted(names, bounds)
+        some = np.flatnonzero(np.diff(at))
+        marks = [packed(steps(place[x[at[k] : at[k + 1]]] & ((1 << PLACES) - 1)), ids[x[at[k] : at[k + 1]]]) for k in some.tolist()]
+        offsets = pa.array(np.append(named_at[some], len(names)).astype(np.int32))
+        lists = {c: pa.ListArray.from_arrays(offsets, pa.array(v[names])) for c, v in (("id", ids), ("f", total), ("prefix", prefix), ("suffix", suffix))}
+        return pa.table({"slice": rows["slice"].take(pa.array(some)), "level": np.full(len(some), level, np.int32), "m": np.diff(at)[some].astype(np.int32), "marks": pa.array(marks, pa.binary()), **lists})
 
     return run
 
 
-def frequent(lists: DataFrame, key: list[str], least: int, level: int) -> DataFrame:
-    """The lists (place, key, n) of phrases that occur `least` times or more in all slices, with their slice and j (their place in it), level and id, a number: that of the first place where the phrase has a list. That place's row has names, and it alone f (how often) and the key. There is a list for each slice at most."""
+def frequent(lists: DataFrame, key: list[str], least: int) -> DataFrame:
+    """The lists (place, key, n) of words that occur `least` times or more in all slices, with their slice and j (their place in it) and id, a number: that of the first place where the word has a list. That place's row has names, and it alone f (how often) and the key. There is a list for each slice at most."""
     whole = W.partitionBy(*key)
     rows = lists.withColumn("f", F.sum("n").over(whole)).withColumn("id", F.min("place").over(whole)).where(F.col("f") >= least)
     j = F.col("place").bitwiseAND((1 << PLACES) - 1).cast("int")
     named = F.col("id") == F.col("place")
-    return rows.select(F.shiftright("place", PLACES).alias("slice"), F.lit(level).alias("level"), j.alias("j"), "id", named.alias("names"), *[F.when(named, F.col(c)).alias(c) for c in ("f", *key)])
+    return rows.select(F.shiftright("place", PLACES).alias("slice"), j.alias("j"), "id", named.alias("names"), *[F.when(named, F.col(c)).alias(c) for c in ("f", *key)])
 
 
 def decimal(c: Column | str) -> Column:
@@ -187,16 +248,19 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
             words = files.select("slice", F.posexplode(F.arrays_zip("lang", "word", "n")).alias("j", "w"))
             words = words.select((F.shiftleft("slice", PLACES) + F.col("j")).alias("place"), "w.lang", "w.word", "w.n")
             totals = counting.keep(scratch.keep(stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")))
-            known = counting.keep(stage(frequent(words, ["lang", "word"], least, 1), "frequent1"))
+            known = counting.keep(stage(frequent(words, ["lang", "word"], least), "frequent1"))
             files = counting.keep(stage(files.select("slice", "n", "positions"), "lists"))
         none = F.array().cast("array<long>")
         levels = [known.where("names").select("id", "f", "lang", F.col("word").alias("text"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))]
-        marks, phrases = known.select("slice", "level", "j", "id"), []
+        marks, phrases = stage(known.select("slice", "j", "id").groupBy("slice").applyInArrow(marked, MARKED), "marks1"), []
+        # No more lists than words.
+        buckets = -(-(totals.agg(F.sum("n")).first()[0] or 1) // LISTS)
         for k in range(2, longest + 1):
-            lists = files.groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(grown(k), "place long, prefix long, suffix long, n int")
-            known = stage(frequent(lists, ["prefix", "suffix"], least, k), f"frequent{k}")
-            marks = marks.unionByName(known.select("slice", "level", "j", "id"))
-            levels.append(stage(named(known.where("names").select("id", "f", "prefix", "suffix"), levels[-1]), f"phrases{k}"))
+            lists = files.groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(grown(k, buckets), "bucket int, slice long, m int, lists binary")
+            known = stage(lists.groupBy("bucket").applyInArrow(counted(least, k), f"{MARKED}, id array<long>, f array<long>, prefix array<long>, suffix array<long>"), f"frequent{k}")
+            marks = marks.unionByName(known.select("slice", "level", "m", "marks"))
+            found = known.select(F.explode(F.arrays_zip("id", "f", "prefix", "suffix")).alias("p")).select("p.*")
+            levels.append(stage(named(found, levels[-1]), f"phrases{k}"))
             phrases.append(levels[-1])
         out = None
         for k, rows in enumerate(phrases, 2):

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import phrases
@@ -80,3 +82,36 @@ def test_long_text_and_lengths(spark, written):
 
 def test_nothing_to_find(spark, written):
     assert mine(table(written, [])) == [] and mine(table(written, [(None, None), ("", "en"), ("one two", "en")])) == []
+
+
+def test_op12_any_number_of_buckets_gives_the_same(spark, written, monkeypatch):
+    data = rows(500, 6)
+    monkeypatch.setattr(phrases, "LISTS", 40)
+    assert mine(table(written, data), least=3, tokens=500) == brute(data, 3)
+
+
+def test_op12_lists_leave_a_slice_packed_and_come_back_whole():
+    r = np.random.default_rng(7)
+    n, kinds = 200_000, 3000
+    word = np.minimum(r.zipf(1.3, n), kinds) - 1
+    code, counts = np.unique(word, return_counts=True)
+    positions = np.argsort(word, kind="stable").astype(np.int64)
+    ids = (code * 7919 + (5 << phrases.PLACES)).astype(np.int64)
+    pairs = Counter(zip(ids[np.searchsorted(code, word[:-1])].tolist(), ids[np.searchsorted(code, word[1:])].tolist(), strict=True))
+    marks = phrases.marked(pa.table({"slice": np.full(len(code), 3), "j": np.arange(len(code), dtype=np.int32), "id": ids}))
+    out = []
+    for number in (3, 9):  # two slices with the same lists
+        file = pa.table({"slice": [number], "n": [counts.astype(np.int32)], "positions": [phrases.packed(phrases.steps(positions))]})
+        out.append(phrases.grown(2, 5)(file, marks))
+    assert sum(out[0]["m"].to_pylist()) == len(pairs) and out[0].num_rows == 5
+    assert sum(map(len, out[0]["lists"].to_pylist())) < 6 * len(pairs)
+    got, seen, every = {}, Counter(), pa.concat_tables(out[::-1])
+    for k in range(5):
+        for x in phrases.counted(6, 2)(every.filter(pa.array([b == k for b in every["bucket"].to_pylist()]))).to_pylist():
+            j, known = phrases.unpacked(x["marks"], x["m"], *phrases.MARKS)
+            assert (np.diff(np.cumsum(j)) > 0).all() and (known >> phrases.PLACES == 3).all()
+            assert (len(x["id"]) == x["m"] and x["id"] == known.tolist()) if x["slice"] == 3 else x["id"] == []
+            seen[x["slice"]] += x["m"]
+            got |= dict(zip(zip(x["prefix"], x["suffix"], strict=True), x["f"], strict=True))
+    want = {p: 2 * f for p, f in pairs.items() if 2 * f >= 6}
+    assert got == want and seen == {3: len(want), 9: len(want)}
