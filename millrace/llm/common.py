@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.storage import written
+from millrace.storage import LEVEL, written
 
 
 BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
@@ -22,15 +22,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, level: int = LEVEL) -> DataFrame:
     """Writes df to the shared folder and returns the written table: cuts the lineage, outlives executors, and its size is known to the planner."""
     small_batches(df.sparkSession)
-    return written(df, name)
+    return written(df, name, level=level)
 
 
-def identified(df: DataFrame) -> DataFrame:
+def identified(df: DataFrame, level: int = LEVEL) -> DataFrame:
     """df with uid, a number for each row, written once: a plan that numbers rows anew may number them otherwise when executors come or go. A column uid of df is replaced."""
-    return stage(df.withColumn("uid", F.monotonically_increasing_id()), "rows")
+    return stage(df.withColumn("uid", F.monotonically_increasing_id()), "rows", level)
 
 
 def remainder(doc_id: str, n: int) -> Column:

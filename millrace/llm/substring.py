@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import identified, stage
 from millrace.llm.ngram_join import whole_buckets
-from millrace.llm.text import U, mix, shingle_hashes, string_bytes, text_words, word_spans
+from millrace.llm.text import U, mix, shingle_hashes, slices, string_bytes, text_words, word_spans
 from millrace.storage import Scratch
 
 K = 5
@@ -43,9 +43,11 @@ COMMON, COMMON_SHARE = 4096, 1_000_000
 #: Runs of a text that are worked on at once, and parts of regions that are verified at once.
 PIECE, REGION = 1 << 25, 1 << 15
 REQUESTS = 1024
-#: Elements of diagonals that are followed at once.
-CELLS = 1 << 16
+#: Elements of pairs that are compared at once, and of their diagonals.
+ELEMENTS, CELLS = 1 << 17, 1 << 16
 POSITION = 26
+#: Signatures that a task packs at once, and bits of a signature that are its bucket, at least.
+HELD, BUCKETS = 1 << 19, 11
 #: Parts of a group: the sides (before 0 and 1, after 2 and 3) whose minima its windows share.
 PARTS = ((0,), (1,), (2,), (3,), (0, 1), (2, 3), (0, 2), (1, 3))
 
@@ -208,30 +210,75 @@ def text_signatures(batch: pa.RecordBatch, seed: int, with_sides: bool = True) -
                 yield key, cid[row + r], c - own[row] + x, side_minima(part, own, c, row, seed) if with_sides else np.zeros((len(c), 4), np.int64), (total[own[1:]] - total[own[:-1]])[row]
 
 
-def common_signatures(docs: DataFrame, seed: int) -> dict[int, int]:
-    """Signatures that are common, with their exact numbers: COMMON_SHARE keys at most. Counted over all rows, so it is no matter how they lie in tasks."""
+def held(parts: Iterator[list[np.ndarray]], least: int) -> Iterator[list[np.ndarray]]:
+    """Columns of `least` rows or a few more each, the last ones of what is left, put together from shorter ones."""
+    kept, rows = [], 0
+    for part in parts:
+        kept.append(part)
+        rows += len(part[0])
+        if rows >= least:
+            yield [np.concatenate(v) for v in zip(*kept, strict=True)]
+            kept, rows = [], 0
+    if rows:
+        yield [np.concatenate(v) for v in zip(*kept, strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def bucket_rows(bits: int, key: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket of the keys (their first bits) with its keys in order and what goes with them, packed column by column."""
+    order = np.argsort(key)
+    bucket = (key[order] >> U(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    n = np.diff(np.append(starts, len(key)))
+    columns = [pa.array(bucket[starts])]
+    for v in (key, *more):
+        at = np.append(starts, len(key)) * v.itemsize
+        columns.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(v[order])]))
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "key", *(f"v{k}" for k in range(len(more)))])
+
+
+def unpacked_rows(table: pa.Table, kinds: dict[str, type]) -> list[np.ndarray]:
+    """Columns of the rows of bucket_rows, one after the other."""
+    return [string_bytes(table[c].combine_chunks())[0].view(kind) for c, kind in kinds.items()]
+
+
+def common_signatures(docs: DataFrame, seed: int) -> tuple[dict[int, int], int]:
+    """Signatures that are common, with their exact numbers: COMMON_SHARE keys at most; and the number of all signatures. Counted over all rows, so it is no matter how they lie in tasks."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key,) in held(([key] for batch in batches for key, *_ in text_signatures(batch, seed, False)), HELD):
+            yield bucket_rows(BUCKETS, key)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
-        for batch in batches:
-            for key, *_ in text_signatures(batch, seed, False):
-                total += len(key)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ones(len(key), np.int64))], ["key", "n"])
-        # Key 0 has no windows of its own that matter: its row is the number of all.
+        for t in whole_buckets(batches):
+            (key,) = unpacked_rows(t, {"key": U})
+            key = np.sort(key)
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            n = np.diff(np.append(starts, len(key)))
+            total += len(key)
+            some = n > COMMON
+            yield pa.RecordBatch.from_arrays([pa.array(key[starts[some]].view(np.int64)), pa.array(n[some])], ["key", "n"])
+        # Key 0 has no windows of its own that matter: its rows are the numbers of all.
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
 
-    counts = stage(docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(f"n > {COMMON} or key = 0"), "common")
+    packed_keys = docs.mapInArrow(each, "bucket long, key binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = stage(packed_keys.mapInArrow(added, "key long, n long"), "common")
     total = counts.where("key = 0").agg(F.sum("n")).first()[0] or 0
-    return {r["key"]: r["n"] for r in counts.where(f"key <> 0 and n > {max(COMMON, total // COMMON_SHARE)}").collect()}
+    return {r["key"]: r["n"] for r in counts.where(f"key <> 0 and n > {max(COMMON, total // COMMON_SHARE)}").collect()}, total
+
+
+#: The columns that windows() packs.
+WINDOW = {"key": U, "v0": np.int64, "v1": np.int32, "v2": np.int64, "v3": np.int64}
 
 
-def windows(docs: DataFrame, seed: int, common: dict[int, int]) -> DataFrame:
-    """key, cid, pos, sides and base of the signatures of every text (cid, t). A common one is dealt by a salt of the text's content and has its key as base, others have 0."""
+def windows(docs: DataFrame, seed: int, common: dict[int, int], total: int = 0) -> DataFrame:
+    """The signatures of every text (cid, t), packed by buckets of their keys: key, cid, pos, sides and base. A common one is dealt by a salt of the text's content and has its key as base, others have 0. total: how many there are, for the number of buckets."""
     at = np.array(sorted(common), np.int64)
     limit = max(COMMON, min(common.values(), default=0))
+    bits = max(BUCKETS, (total >> 18).bit_length())
     shared = docs.sparkSession.sparkContext.broadcast((at, np.array([-(-common[k] // limit) for k in at.tolist()], np.int64)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         hot, salts = shared.value
         for batch in batches:
             for key, cid, pos, sides, whole in text_signatures(batch, seed):
@@ -241,9 +288,13 @@ def windows(docs: DataFrame, seed: int, common: dict[int, int]) -> DataFrame:
                     is_common = hot[x] == key.view(np.int64)
                     salted = mix(key ^ mix(mix(whole, 600) % salts[x].astype(U), 601), 602)
                     dealt, base = np.where(is_common, salted, key), np.where(is_common, key.view(np.int64), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (dealt.view(np.int64), cid, pos, packed(sides), base)], ["key", "cid", "pos", "sides", "base"])
+                yield [dealt, cid, pos.astype(np.int32), packed(sides), base]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in held(each(batches), HELD):
+            yield bucket_rows(bits, *columns)
 
-    return docs.mapInArrow(run, "key long, cid long, pos long, sides long, base long")
+    return docs.mapInArrow(run, "bucket long, key binary, v0 binary, v1 binary, v2 binary, v3 binary")
 
 
 def meetings(found: DataFrame) -> DataFrame:
@@ -251,8 +302,17 @@ def meetings(found: DataFrame) -> DataFrame:
     fields = ["kind", "cid", "pos", "other", "other_pos", "sides"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_buckets(batches, bucket="key"):
-            key, cid, pos, sides, base = (t[c].to_numpy() for c in ("key", "cid", "pos", "sides", "base"))
+        for t in whole_buckets(batches):
+            key, cid, pos, sides, base = unpacked_rows(t, WINDOW)
+            order = np.argsort(key)
+            same = key[order[1:]] == key[order[:-1]]
+            # A window that is alone with its key meets none.
+            x = order[np.append(same, False) | np.append(False, same) | (base[order] != 0)]
+            # Groups are in order of cid, so the first is the same however rows lie.
+            x = x[np.lexsort((pos[x], cid[x], key[x]))]
+            key, cid, pos, sides, base = key[x].view(np.int64), cid[x], pos[x].astype(np.int64), sides[x], base[x]
+            if not len(key):
+                continue
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             each = np.diff(np.append(starts, len(key)))
             size, first = np.repeat(each, each), np.repeat(starts, each)
@@ -266,8 +326,7 @@ def meetings(found: DataFrame) -> DataFrame:
                 if len(cols[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), k, np.int32)), *map(pa.array, cols)], fields)
 
-    # Groups are in order of cid, so the first is the same however rows lie.
-    return found.repartition("key").sortWithinPartitions("key", "cid", "pos").mapInArrow(run, "kind int, cid long, pos long, other long, other_pos long, sides long")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, cid long, pos long, other long, other_pos long, sides long")
 
 
 def edges(met: DataFrame) -> DataFrame:
@@ -351,87 +410,163 @@ def regions(found: DataFrame, t: int) -> DataFrame:
                 lo, hi, near, far, u, o = (np.repeat(v, count) for v in (lo, hi, near, far, u[s], o[s]))
                 lo = lo + k * REGION
                 hi = np.minimum(hi, lo + REGION + 2 * margin)
-                parts.append(np.stack([u, np.maximum(lo, 0), hi, o, np.maximum(lo - far, 0), np.maximum(hi - near, 0)]))
-            both = np.unique(np.concatenate(parts, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in both], ["cid", "a", "b", "other", "c", "d"])
+                parts.append(np.stack([u, o, np.maximum(lo, 0), np.maximum(lo - far, 0), hi, np.maximum(hi - near, 0)]))
+            u, o, a, c, b, d = np.unique(np.concatenate(parts, axis=1), axis=1)
+            # Regions that start at the same places are one, as long as the longest on each side: those four name it.
+            s = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (o[1:] != o[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+            whole = (u[s], a[s], np.maximum.reduceat(b, s), o[s], c[s], np.maximum.reduceat(d, s))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in whole], ["cid", "a", "b", "other", "c", "d"])
 
     dealt = found.withColumn("bucket", F.xxhash64("cid", "other")).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "cid long, a long, b long, other long, c long, d long")
 
 
-def diagonals(ys: np.ndarray, order: np.ndarray, x: np.ndarray, t: int, least: int) -> list[int]:
-    """Where in y minus where in x, for every part of the differences that has at least `least` equal elements: the commonest one of it. ys: the elements of y, sorted; order: their places."""
-    lo, n = np.searchsorted(ys, x), 0
-    size = np.searchsorted(ys, x, side="right") - lo
-    count = np.zeros(len(x) + len(ys), np.int64)
-    ends = np.cumsum(size)
-    while n < len(x):
-        m = max(n + 1, int(np.searchsorted(ends, (ends[n - 1] if n else 0) + (1 << 18), side="right")))
-        own = size[n:m]
-        k = np.arange(own.sum()) + np.repeat(lo[n:m] - np.cumsum(own) + own, own)
-        count += np.bincount(order[k] - np.repeat(np.arange(n, min(m, len(x))), own) + len(x), minlength=len(count))
-        n = m
+def diagonals(matches: Iterator[tuple[np.ndarray, np.ndarray]], base: np.ndarray, size: np.ndarray, t: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pair and diagonal, for every part of a pair's diagonals that has at least `least` matches: the commonest one of it. matches: pairs and their diagonals, from 0 to size; base: where each pair's sizes start."""
+    count = np.zeros(int(size.sum()) + t, np.int64)
+    for pair, d in matches:
+        count += np.bincount(base[pair] + d, minlength=len(count))
     total = np.concatenate([[0], np.cumsum(count)])
-    first = np.arange(0, len(count), max(1, t // 2))
-    enough = first[total[np.minimum(first + t, len(count))] - total[first] >= least]
-    found = {f + int(count[f : f + t].argmax()) - len(x) for f in enough.tolist()}
-    return sorted(found)
-
-
-def one_stretch(xs: list[int], ys: list[int], places: dict[int, int], t: int, similarity: float) -> list[tuple[int, int, int, int]] | None:
-    """passages() where x and y have one stretch in common, equal element by element, each of which stands once in both, or too few elements; else None. places: where the elements of y are."""
-    hits = [i for i, v in enumerate(xs) if v in places]
-    n = len(hits)
-    if n < int(t * similarity):  # along() joins nothing with fewer
-        return []
-    a = hits[0]
-    c = places[xs[a]]
-    own = set(xs[a : a + n])
-    if hits[-1] - a + 1 != n or xs[a : a + n] != ys[c : c + n] or len(own) != n:
-        return None
-    if len(places) != len(ys) and sum(v in own for v in ys) != n:
-        return None
-    return [(a, a + n, c, c + n)] if n >= t else []
+    step = max(1, t // 2)
+    each = -(-size // step)
+    pair = np.repeat(np.arange(len(size)), each)
+    first = (np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)) * step
+    width = np.minimum(t, size[pair] - first)
+    at = base[pair] + first
+    some = np.flatnonzero(total[at + width] - total[at] >= least)
+    pair, first, width, at = pair[some], first[some], width[some], at[some]
+    found = []
+    for k in range(0, len(some), 1 << 12):
+        part = slice(k, k + (1 << 12))
+        inside = np.where(np.arange(t) < width[part, None], count[at[part, None] + np.arange(t)], -1)
+        found.append(first[part] + inside.argmax(axis=1))
+    both = np.unique((base[pair] + np.concatenate(found)) if found else np.zeros(0, np.int64))
+    pair = np.searchsorted(base, both, side="right") - 1
+    return pair, both - base[pair]
 
 
 def passages(x: np.ndarray, y: np.ndarray, t: int, similarity: float) -> list[tuple[int, int, int, int]]:
-    """(start, end, start, end) of passages of at least t elements of x and of y whose sets have at least the similarity.
+    """(start, end, start, end) of passages of at least t elements of x and of y whose sets have at least the similarity."""
+    found = passages_of_pairs(x, np.array([0, len(x)]), y, np.array([0, len(y)]), t, similarity)
+    return [tuple(row[1:]) for row in found.tolist()]
+
+
+def passages_of_pairs(x: np.ndarray, xat: np.ndarray, y: np.ndarray, yat: np.ndarray, t: int, similarity: float) -> np.ndarray:
+    """(pair, start, end, start, end), a row for each of the passages of at least t elements of x and of y, whose sets have at least the similarity, in each pair of x[xat[k]:xat[k+1]] and y[yat[k]:yat[k+1]].
 
     Each diagonal that has enough equal elements is followed by itself: an element's place in y is
-    the one nearest to it, so that other occurrences of the element don't matter.
+    the one nearest to it, so that other occurrences of the element don't matter. All pairs'
+    diagonals are looked up together.
     """
+    n, none = len(xat) - 1, np.zeros((0, 5), np.int64)
+    if not len(x) or not len(y):
+        return none
+    pair, ypair = (np.repeat(np.arange(n), np.diff(at)) for at in (xat, yat))
+    ky = ypair.astype(U) << U(32) | y
+    order = np.argsort(ky, kind="stable")
+    ys, places = ky[order], order - yat[ypair[order]]
+    at = np.searchsorted(ys, kx := pair.astype(U) << U(32) | x)
+    hit = np.flatnonzero(ys[np.minimum(at, len(ys) - 1)] == kx)
+    own, at, i = pair[hit], at[hit], hit - xat[pair[hit]]
+    count = np.bincount(own, minlength=n)
+    enough = count >= max(1, int(t * similarity))  # along() joins nothing with fewer
+    first = np.cumsum(count) - count
+    d = places[at] - i
+    # One stretch, equal element by element, each of which stands once in both, is a passage or nothing is.
+    twice = np.append(ys[1:] == ys[:-1], False)[at]
+    plain = enough & (np.bincount(own[twice | (d != d[first[own]])], minlength=n) == 0)
+    k = np.flatnonzero(plain)
+    a = i[first[k]]
+    whole = i[first[k] + count[k] - 1] - a + 1 == count[k]
+    plain[k[~whole]] = False
+    long = whole & (count[k] >= t)
+    k, a = k[long], a[long]
+    c = a + d[first[k]]
+    out = [np.stack([k, a, a + count[k], c, c + count[k]], axis=1)]
+
+    left = (enough & ~plain)[own]
+    own, at, i = own[left], at[left], i[left]
+    if not len(own):
+        return out[0]
+    ends = np.append(np.flatnonzero(ys[1:] != ys[:-1]) + 1, len(ys))
+    group = np.searchsorted(ends, at, side="right")
+    many = ends[group] - at
+    total, nx = np.cumsum(many), np.diff(xat)
+
+    def matches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        a = 0
+        while a < len(own):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 18), side="right")))
+            m = many[a:b]
+            k = np.arange(m.sum()) + np.repeat(at[a:b] - np.cumsum(m) + m, m)
+            yield np.repeat(own[a:b], m), places[k] - np.repeat(i[a:b], m) + np.repeat(nx[own[a:b]], m)
+            a = b
+
+    size = nx + np.diff(yat)
+    of, ds = diagonals(matches(), np.cumsum(size) - size, size, t, int(t * similarity * similarity))
+    if not len(of):
+        return out[0]
+    ds -= nx[of]
+    # Places in order within each group of equal elements of a pair.
+    width = U(int(max(np.diff(yat).max(), 1)).bit_length())
+    numbers = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
+    ordered = numbers.astype(U) << width | places.astype(U)
+    count = np.bincount(own, minlength=n)
+    first = np.cumsum(count) - count
+    stretches: list[tuple[int, bytes]] = []
+    ends_of = np.cumsum(count[of])
+    done = 0
+    while done < len(of):
+        upto = max(done + 1, int(np.searchsorted(ends_of, (ends_of[done - 1] if done else 0) + CELLS, side="right")))
+        m = count[of[done:upto]]
+        line = np.repeat(np.arange(len(m)), m)
+        k = np.arange(len(line)) + np.repeat(first[of[done:upto]] - np.cumsum(m) + m, m)
+        wanted = i[k] + ds[done + line]
+        limit = np.minimum(np.maximum(wanted, 0), np.diff(yat)[own[k]]).astype(U)
+        near = np.searchsorted(ordered, group[k].astype(U) << width | limit)
+        after, before = np.minimum(near, ends[group[k]] - 1), np.maximum(near - 1, at[k])
+        far = [np.abs(places[q] - wanted) for q in (before, after)]
+        place = np.where(far[0] < far[1], places[before], places[after])
+        ok = np.minimum(*far) <= t
+        line, p, q = line[ok], i[k[ok]], place[ok]
+        if len(line):
+            s = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)))
+            e = np.append(s[1:], len(line)) - 1
+            rows = np.stack([p[s], p[e] + 1, q[s], q[e] + 1], axis=1)
+            start = np.flatnonzero(np.append(True, line[s[1:]] != line[s[:-1]]))
+            stop = np.append(start[1:], len(s))
+            # along() finds nothing in fewer elements, or in less of x or y.
+            hits = np.add.reduceat(e - s + 1, start)
+            span_x = rows[stop - 1, 1] - rows[start, 0]
+            span_y = np.maximum.reduceat(rows[:, 3], start) - np.minimum.reduceat(rows[:, 2], start)
+            for j in np.flatnonzero((hits >= t * similarity) & (span_x >= t) & (span_y >= t * similarity)).tolist():
+                stretches.append((int(of[done + line[s[start[j]]]]), rows[start[j] : stop[j]].tobytes()))
+        done = upto
+    # Neighbouring diagonals often have the same stretches.
+    by: dict[int, set[bytes]] = {}
+    for k, rows in stretches:
+        by.setdefault(k, set()).add(rows)
+    for k, lines in by.items():
+        out.append(np.array([(k, *row) for row in of_pair(x[xat[k] : xat[k + 1]], y[yat[k] : yat[k + 1]], lines, t, similarity)], np.int64).reshape(-1, 5))
+    return np.concatenate(out)
+
+
+def of_pair(x: np.ndarray, y: np.ndarray, lines: set[bytes], t: int, similarity: float) -> list[tuple[int, int, int, int]]:
+    """passages() along the diagonals of a pair; lines: the stretches of each."""
     xs, ys = x.tolist(), y.tolist()
-    places = dict(zip(ys, range(len(ys)), strict=True))
-    simple = one_stretch(xs, ys, places, t, similarity)
-    if simple is not None:
-        return simple
-    least = int(t * similarity * similarity)
-    order = np.argsort(y, kind="stable")
-    ordered = y[order]
-    packed = ordered.astype(U) << U(32) | order.astype(U)
-    ds = np.array(diagonals(ordered, order, x, t, least), np.int64)
-    if not len(ds):
-        return []
-    kinds, numbers = np.unique(np.concatenate([x, y]), return_inverse=True)
-    nx, ny = numbers[: len(x)], numbers[len(x) :]
 
     def similar(a: int, b: int, c: int, d: int) -> bool:
-        p, q = np.zeros(len(kinds), bool), np.zeros(len(kinds), bool)
-        p[nx[a:b]] = True
-        q[ny[c:d]] = True
-        return np.count_nonzero(p & q) >= similarity * np.count_nonzero(p | q)
-
-    i, high, out = np.arange(len(x)), x.astype(U) << U(32), set()
-    each = max(1, CELLS // len(x))
-    for first in range(0, len(ds), each):
-        wanted = i + ds[first : first + each, None]
-        at = np.searchsorted(packed, high | np.minimum(np.maximum(wanted, 0), len(y)).astype(U))
-        after, before = np.minimum(at, len(y) - 1), np.maximum(at - 1, 0)
-        far = [np.where(ordered[k] == x, np.abs(order[k] - wanted), len(x) + len(y)) for k in (before, after)]
-        hits, found = np.minimum(*far) <= t, np.where(far[0] < far[1], order[before], order[after])
-        span = np.where(hits, found, -1).max(axis=1) - np.where(hits, found, len(y)).min(axis=1) + 1
-        for k in np.flatnonzero(span >= t * similarity).tolist():  # along() finds nothing in less of y
-            out.update(along(hits[k], found[k], t, similarity, similar))
+        if b - a + d - c <= 1024:
+            p, q = set(xs[a:b]), set(ys[c:d])
+            both = len(p & q)
+        else:
+            p, q = np.unique(x[a:b]), np.unique(y[c:d])
+            both = len(np.intersect1d(p, q, assume_unique=True))
+        return both >= similarity * (len(p) + len(q) - both)
+
+    out: set[tuple[int, int, int, int]] = set()
+    for rows in lines:
+        out.update(along(np.frombuffer(rows, np.int64).reshape(-1, 4).tolist(), t, similarity, similar))
     joined: list[tuple[int, int, int, int]] = []
     for a, b, c, d in sorted(out):  # passages that overlap in both, on neighbouring diagonals, are one
         for k, (a2, b2, c2, d2) in enumerate(joined):
@@ -443,18 +578,14 @@ def passages(x: np.ndarray, y: np.ndarray, t: int, similarity: float) -> list[tu
     return joined
 
 
-def along(hit: np.ndarray, place: np.ndarray, t: int, similarity: float, similar: Callable[[int, int, int, int], bool]) -> list[tuple[int, int, int, int]]:
-    """passages() where an element's place in y is known. similar: whether the sets of x[a:b] and y[c:d] are.
+def along(stretches: list[list[int]], t: int, similarity: float, similar: Callable[[int, int, int, int], bool]) -> list[tuple[int, int, int, int]]:
+    """passages() along a diagonal; stretches: runs of elements of x that occur in y one after the other, and where (start, end, start, end). similar: whether the sets of x[a:b] and y[c:d] are.
 
-    Runs of elements of x that occur in y are joined while what they span in both may still be
-    similar enough. Where the sets of a joined passage are not, its two parts are tried.
+    Stretches are joined while what they span in both may still be similar enough. Where the sets of
+    a joined passage are not, its two parts are tried.
     """
-    new = hit.copy()
-    new[1:] &= ~hit[:-1] | (place[1:] != place[:-1] + 1)
-    starts = np.flatnonzero(new)
-    stops = np.flatnonzero(hit & np.append(~hit[1:] | new[1:], True)) + 1
     joined: list[tuple] = []  # start, end, elements that occur, start, end, parts
-    for a, b, c, d in zip(starts.tolist(), stops.tolist(), place[starts].tolist(), (place[stops - 1] + 1).tolist(), strict=True):
+    for a, b, c, d in stretches:
         m = b - a
         q: tuple = (a, b, m, c, d, ())
         while joined:
@@ -507,16 +638,21 @@ def verified(docs: DataFrame, found: DataFrame, t: int, similarity: float) -> Da
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches, 1024):
-            by: dict[int, list] = {}
-            for r in table.to_pylist():
-                by.setdefault(r["bucket"], [None, None])[r["side"]] = r
-            out = []
-            for p, q in by.values():
-                x, y = np.frombuffer(p["runs"], np.uint32), np.frombuffer(q["runs"], np.uint32)
-                if len(x) and len(y):
-                    out += [(p["cid"], p["lo"] + a, p["lo"] + b + K - 1, q["cid"], q["lo"] + c, q["lo"] + d + K - 1) for a, b, c, d in passages(x, y, t, similarity)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["cid", "start", "end", "other", "other_start", "other_end"])
+            # Two rows a bucket, a region, in the order of their sides.
+            table = table.combine_chunks().sort_by([("bucket", "ascending"), ("side", "ascending")])
+            cid, lo = table["cid"].to_numpy().reshape(-1, 2), table["lo"].to_numpy().reshape(-1, 2)
+            buf, offs = string_bytes(table["runs"].combine_chunks())
+            runs, offs = buf.view(np.uint32), offs // 4
+            size = np.diff(offs)
+            for i, j in slices(offs[::2], ELEMENTS):
+                own = np.repeat(np.arange(2 * (j - i)) % 2, size[2 * i : 2 * j]) == 0
+                part = runs[offs[2 * i] : offs[2 * j]]
+                at = [np.append(0, np.cumsum(size[2 * i + side : 2 * j : 2])) for side in (0, 1)]
+                k, a, b, c, d = passages_of_pairs(part[own], at[0], part[~own], at[1], t, similarity).T
+                k = k + i
+                if len(k):
+                    rows = (cid[k, 0], lo[k, 0] + a, lo[k, 0] + b + K - 1, cid[k, 1], lo[k, 1] + c, lo[k, 1] + d + K - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in rows], ["cid", "start", "end", "other", "other_start", "other_end"])
 
     dealt = parts.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(compare, "cid long, start long, end long, other long, other_start long, other_end long")
@@ -573,7 +709,7 @@ def in_order(rows: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """rows with uid in the order of doc_id (nulls last), then of a hash of the text."""
     order = ["_none", "_id", "_hash"]
     keyed = rows.withColumn("_none", doc_id.isNull()).withColumn("_id", doc_id).withColumn("_hash", F.xxhash64(text))
-    return identified(keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order))
+    return identified(keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order), 3)
 
 
 def content_hash(rows: DataFrame) -> Column:
@@ -583,6 +719,14 @@ def content_hash(rows: DataFrame) -> Column:
     return F.when(plain.isin(*[r["h"] for r in twice]), F.xxhash64(F.lit(1), full)).otherwise(plain) if twice else plain
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the number of words (end) in place of the last column, t."""
+    for batch in batches:
+        n = [np.diff(offs) for _, _, _, offs in text_words(batch["t"])]
+        if n:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(n).astype(np.int64))], [*batch.schema.names[:-1], "end"])
+
+
 def repeats(rows: DataFrame, least_words: int, similarity: float) -> DataFrame:
     """For rows (uid, doc_id, t), with uid in the order in which occurrences count as first: passages (uid, start, end, other, other_start, first, of) that repeat in another row, in words.
 
@@ -594,15 +738,14 @@ def repeats(rows: DataFrame, least_words: int, similarity: float) -> DataFrame:
     spark, t = rows.sparkSession, least_words - K + 1
     seed = seed_runs(t, similarity)
     rows = rows.where("t is not null").withColumn("hash", content_hash(rows))
-    n_words = F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     heads = rows.select("uid", "hash").groupBy("hash").agg(F.min("uid").alias("cid"), F.count("*").alias("n"))
     several = stage(heads.where("n > 1").select("hash", "cid"), "several")
-    again = rows.select("uid", "hash", "doc_id", n_words.alias("end")).join(several, "hash")
-    again = stage(again.select("uid", "cid", "doc_id", "end"), "copies")
+    again = rows.join(several, "hash").select("uid", "cid", "doc_id", "t")
+    again = stage(again.mapInArrow(counted, again.withColumn("t", F.lit(0).cast("long")).withColumnRenamed("t", "end").schema), "copies")
     docs = rows.join(again.where("uid <> cid").select("uid"), "uid", "left_anti").select(F.col("uid").alias("cid"), "t")
     with Scratch() as scratch:
         with Scratch() as firsts_only:
-            met = firsts_only.keep(stage(meetings(windows(docs, seed, common_signatures(docs, seed))), "meetings"))
+            met = firsts_only.keep(stage(meetings(windows(docs, seed, *common_signatures(docs, seed))), "meetings"))
             near = firsts_only.keep(scratch.keep(stage(verified(docs, stage(regions(edges(met), t), "regions"), t, similarity), "passages")))
         rest = stage(unsettled(met, near), "unsettled")
         with Scratch() as pairs:

@@ -95,12 +95,17 @@ def shingle_hashes(words: np.ndarray, offs: np.ndarray, k: int = 5) -> tuple[np.
     out = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=out[1:])
     at = np.arange(out[-1]) + np.repeat(offs[:-1] - out[:-1], sizes)
-    stop = np.repeat(offs[1:], sizes)
-    h = np.zeros(len(at), U)
+    h = np.zeros(max(n - k + 1, 0), U)  # of all runs, then those within a row
     for j in range(k):
-        here = at + j
-        inside = here < stop
-        h = mix(h * U(_STEP) + np.where(inside, words[np.minimum(here, max(n - 1, 0))] if n else U(0), U(0)))
+        h = mix(h * U(_STEP) + words[j : j + len(h)])
+    h = h[np.minimum(at, len(h) - 1)] if len(h) else np.zeros(len(at), U)
+    short = np.flatnonzero((count > 0) & (count < k))
+    if len(short):
+        own = np.zeros(len(short), U)
+        for j in range(k):
+            inside = j < count[short]
+            own = mix(own * U(_STEP) + np.where(inside, words[np.minimum(offs[short] + j, n - 1)], U(0)))
+        h[out[short]] = own
     return h, out
 
 

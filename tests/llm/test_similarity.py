@@ -247,3 +247,46 @@ def test_op6_only_diagonals_that_span_enough_of_both_are_followed(monkeypatch):
     assert substring.passages(x, y, 46, 0.8) == want and followed
     monkeypatch.setattr(substring, "CELLS", 1)
     assert substring.passages(x, y, 46, 0.8) == want
+
+
+def test_op6_pairs_compared_together_have_the_passages_of_each(monkeypatch):
+    r, pairs = np.random.default_rng(11), []
+    for k in range(300):
+        x, y = (r.integers(0, (6, 40, 1 << 32)[k % 3], r.integers(0, 90), dtype=np.uint32) for _ in range(2))
+        n = int(r.integers(0, min(len(x), len(y)) + 1))
+        y[:n] = x[len(x) - n :]
+        y[n // 2 : n // 2 + k % 2] = 7
+        pairs.append((x, y))
+    at = [np.append(0, np.cumsum([len(p[side]) for p in pairs])) for side in (0, 1)]
+    for cells in (substring.CELLS, 1):
+        monkeypatch.setattr(substring, "CELLS", cells)
+        got = substring.passages_of_pairs(np.concatenate([p[0] for p in pairs]), at[0], np.concatenate([p[1] for p in pairs]), at[1], 12, 0.8).tolist()
+        want = [[k, *found] for k, (x, y) in enumerate(pairs) for found in substring.passages(x, y, 12, 0.8)]
+        assert sorted(got) == sorted(want) and len({g[0] for g in got}) > 50
+
+
+def test_op6_regions_that_start_at_the_same_places_are_one_and_the_longest(spark):
+    found = spark.createDataFrame([(9, 60, 1, 15), (9, 70, 1, 24)], "cid long, pos long, other long, other_pos long")
+    got = [tuple(r) for r in substring.regions(found, 46).collect()]
+    assert len({(cid, other, a, c) for cid, a, _, other, c, _ in got}) == len(got)
+    assert (9, 3, 127, 1, 0, 82) in got
+
+
+@pytest.mark.parametrize("every", [1 << 19, 100])
+def test_op6_signatures_are_shuffled_in_rows_of_buckets(spark, written, monkeypatch, every):
+    monkeypatch.setattr(substring, "BUCKETS", 3)
+    monkeypatch.setattr(substring, "HELD", every)
+    texts = [" ".join(prose(200, 60000 + k // 2)) for k in range(40)]
+    table = written([(k, t) for k, t in enumerate(texts)], "cid long, t string").coalesce(1)
+    signatures = [x for b in table.toArrow().to_batches() for x in zip(*(v.tolist() for v in next(substring.text_signatures(b, 21))[:3]), strict=True)]
+    common, total = substring.common_signatures(table, 21)
+    packed = substring.windows(table, 21, common, total)
+    assert common == {} and total == len(signatures) > 500
+    assert packed.count() <= 8 * (1 if every > total else total // every + 1)
+    met = [(r.cid, r.pos, r.other, r.other_pos) for r in substring.meetings(packed).where("kind = 0").collect()]
+    by = {}
+    for key, cid, pos in signatures:
+        by.setdefault(key, []).append((cid, pos))
+    assert sorted(met) == sorted((*w, *min(g)) for g in by.values() for w in g if w[0] != min(g)[0])
+    monkeypatch.setattr(substring, "COMMON", 1)
+    assert substring.common_signatures(table, 21)[0] == {np.uint64(k).astype(np.int64).item(): len(g) for k, g in by.items() if len(g) > 1}
