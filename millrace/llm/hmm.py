@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,11 @@ COMMON = 60_000
 END = COMMON + RARE  # the class of the token that ends a text
 CLASSES = END + 1
 STATES = 8
-SEGMENT = 2048
+SEGMENT = 8192
+GROUP = 1 << 19  # tokens that are worked on together
+SCALED = 8  # steps between scalings: a step takes a factor of 1e-36 at most, for up to 1e18 training tokens
+ONES = np.ones(STATES)
+BITS = 18  # of keys, by which common words are looked up
 BINS = 256  # of word counts, for each power of two
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -38,7 +43,7 @@ _LOWER[65:91] += 32
 
 @dataclass
 class Words:
-    """The words of rows i to j: lower-cased bytes, spans, offsets of the rows, keys and rare classes."""
+    """The words of rows i to j: lower-cased bytes, spans, offsets of the rows and keys."""
 
     i: int
     j: int
@@ -47,7 +52,22 @@ class Words:
     end: np.ndarray
     offs: np.ndarray
     keys: np.ndarray
-    rare: np.ndarray
+
+    def rare(self, some: np.ndarray) -> np.ndarray:
+        """The rare classes of some words."""
+        s, e = self.start[some], self.end[some]
+        tail = np.zeros(len(some), U)
+        for back in range(1, 4):
+            at = e - back
+            tail = tail << U(8) | np.where(at >= s, self.data[np.maximum(at, 0)] if len(self.data) else 0, 0).astype(U)
+        return (mix(tail << U(8) | np.minimum(e - s, 16).astype(U), 31) % U(RARE)).astype(np.int64)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct keys, their rare classes and how often they occur."""
+        coded = pa.array(self.keys).dictionary_encode()
+        at = coded.indices.to_numpy()  # numbered as they first occur
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))
+        return self.keys[first], self.rare(first), np.bincount(at, minlength=len(first))
 
 
 def words_of(column: pa.Array) -> Iterator[Words]:
@@ -55,12 +75,7 @@ def words_of(column: pa.Array) -> Iterator[Words]:
     for i, j in slices(offs):
         part, rel = _LOWER[buf[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
         s, e, w = word_spans(part, rel)
-        tail = np.zeros(len(s), U)
-        for back in range(1, 4):
-            at = e - back
-            tail = tail << U(8) | np.where(at >= s, part[np.maximum(at, 0)] if len(part) else 0, 0).astype(U)
-        rare = (mix(tail << U(8) | np.minimum(e - s, 16).astype(U), 31) % U(RARE)).astype(np.int64)
-        yield Words(i, j, part, s, e, w, word_hashes(part, s, e).view(np.int64), rare)
+        yield Words(i, j, part, s, e, w, word_hashes(part, s, e).view(np.int64))
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -68,19 +83,23 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        added = 0
 
         def merge() -> None:
             if len(held) > 1:
-                keys, first, where = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
-                n = np.bincount(where, weights=np.concatenate([h[2] for h in held])).astype(np.int64)
-                held[:] = [(keys, np.concatenate([h[1] for h in held])[first], n)]
+                coded = pa.array(np.concatenate([h[0] for h in held])).dictionary_encode()
+                at = coded.indices.to_numpy()
+                first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))
+                n = np.bincount(at, weights=np.concatenate([h[2] for h in held])).astype(np.int64)
+                held[:] = [(coded.dictionary.to_numpy(), np.concatenate([h[1] for h in held])[first], n)]
 
         for batch in batches:
             for w in words_of(batch["t"]):
-                keys, first, n = np.unique(w.keys, return_index=True, return_counts=True)
-                held.append((keys, w.rare[first], n))
-                if len(held) >= 16:
+                held.append(w.distinct())
+                added += len(held[-1][0])
+                if added > max(1 << 18, len(held[0][0])):
                     merge()
+                    added = 0
         merge()
         for keys, rare, n in held:
             for a in range(0, len(keys), 100_000):
@@ -97,13 +116,27 @@ class Model:
     move: np.ndarray
     emit: np.ndarray  # (CLASSES, STATES): P(class | state)
 
-    def classes(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's class, and its place among the common words or -1."""
+    @cached_property
+    def lower(self) -> np.ndarray:
+        """For each value of a key's upper bits, the place of the first common word that isn't below it."""
+        return np.searchsorted(self.keys >> 64 - BITS, np.arange(-1 << BITS - 1, 1 << BITS - 1))
+
+    @cached_property
+    def log(self) -> np.ndarray:
+        return np.log10(self.number + 0.5)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place among the common words or -1."""
         if not len(self.keys):
-            return COMMON + w.rare, np.full(len(w.keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, w.keys), len(self.keys) - 1)
-        at = np.where(self.keys[at] == w.keys, at, -1)
-        return np.where(at >= 0, at, COMMON + w.rare), at
+            return np.full(len(keys), -1)
+        at, last = self.lower[(keys >> 64 - BITS) + (1 << BITS - 1)], len(self.keys) - 1
+        below = np.arange(len(keys))
+        while len(below):  # few words share their upper bits
+            below = below[at[below] <= last]
+            below = below[self.keys[at[below]] < keys[below]]
+            at[below] += 1
+        at = np.minimum(at, last)
+        return np.where(self.keys[at] == keys, at, -1)
 
 
 def _by_length(offs: np.ndarray, tokens: int) -> Iterator[np.ndarray]:
@@ -115,17 +148,34 @@ def _by_length(offs: np.ndarray, tokens: int) -> Iterator[np.ndarray]:
         yield order[a:b]
 
 
+def _live(size: np.ndarray) -> np.ndarray:
+    """How many sequences have a token at each place; size falling."""
+    return np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
+
+
+def _emissions(seq: np.ndarray, first: np.ndarray, live: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the sequences' tokens, those at one place beside each other, and their rows of emit."""
+    bound = np.cumsum(live) - live
+    at = np.arange(int(live.sum())) - np.repeat(bound, live)
+    classes = seq[first[at] + np.repeat(np.arange(len(live)), live)]
+    return classes, np.take(m.emit, classes, axis=0)
+
+
 def forward(seq: np.ndarray, first: np.ndarray, size: np.ndarray, vector: np.ndarray, m: Model, moved: bool) -> tuple[np.ndarray, np.ndarray]:
     """Scaled state vectors after each sequence (size falling) and the natural log of their scales; vector: where each starts, before its first token."""
-    vector, scale = (vector @ m.move if moved else vector).copy(), np.zeros(len(first))
-    live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
+    vector, scale, live = (vector @ m.move if moved else vector).copy(), np.zeros(len(first)), _live(size)
+    _, emit = _emissions(seq, first, live, m)
+    ahead, bound = np.empty_like(vector), 0
     for t, n in enumerate(live.tolist()):
-        v = vector[:n] if t == 0 else vector[:n] @ m.move
-        v = v * m.emit[seq[first[:n] + t]]
-        c = np.maximum(v.sum(axis=1), 1e-300)
-        vector[:n] = v / c[:, None]
-        scale[:n] += np.log(c)
-    return vector, scale
+        v = vector[:n]
+        np.multiply(v if t == 0 else np.dot(v, m.move, out=ahead[:n]), emit[bound : bound + n], out=v)
+        bound += n
+        if t % SCALED == SCALED - 1:
+            c = np.maximum(v @ ONES, 1e-300)
+            v /= c[:, None]
+            scale[:n] += np.log(c)
+    c = np.maximum(vector @ ONES, 1e-300)
+    return vector / c[:, None], scale + np.log(c)
 
 
 @dataclass
@@ -192,8 +242,9 @@ def expected(seq: np.ndarray, offs: np.ndarray, m: Model, emitted: np.ndarray, m
     if k:
         last = np.tile(m.start, (n, 1))
         rows = np.unique(later.row)
-        rows = rows[np.argsort(-size[rows], kind="stable")]
-        last[rows], _ = forward(seq, offs[rows], np.full(len(rows), SEGMENT), last[rows], m, False)
+        for some in slices(np.arange(len(rows) + 1) * SEGMENT, GROUP):
+            part = rows[slice(*some)]
+            last[part], _ = forward(seq, offs[part], np.full(len(part), SEGMENT), last[part], m, False)
         for x, r in enumerate(later.row.tolist()):
             before[n + x] = last[r]
             last[r], _ = later.step(x, last[r])
@@ -203,38 +254,46 @@ def expected(seq: np.ndarray, offs: np.ndarray, m: Model, emitted: np.ndarray, m
             after[n + x] = beta[r]
             beta[r] = later.back(x, beta[r])
         after[:n] = beta
-    for some in _by_length(np.concatenate([[0], np.cumsum(length)]), 1 << 18):
+    for some in _by_length(np.concatenate([[0], np.cumsum(length)]), GROUP):
+        some = some[length[some] > 0]
+        if not len(some):
+            continue
         at, size, goes_on = first[some], length[some], some >= n
-        live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left").tolist()
-        alpha, scale, gamma, where = [], [], [], []
-        v = np.where(goes_on[:, None], before[some] @ m.move, before[some])
-        for t, a in enumerate(live):
-            v = (v if t == 0 else v[:a] @ m.move) * m.emit[seq[at[:a] + t]]
-            c = np.maximum(v.sum(axis=1), 1e-300)
-            v = v / c[:, None]
-            alpha.append(v)
-            scale.append(c)
+        live = _live(size)
+        classes, ahead = _emissions(seq, at, live, m)
+        bound, live = [0, *np.cumsum(live).tolist()], [*live.tolist(), 0]
+        # States before each token, and with the step to it: alpha is the product of the second and the token's emissions.
+        origin, predicted = np.empty((2, *ahead.shape))
+        origin[: len(some)] = before[some]
+        scale: dict[int, np.ndarray] = {}
+        for t in range(len(live) - 1):
+            a, b, ends = bound[t], bound[t + 1], live[t + 1]
+            np.dot(origin[a:b], m.move, out=predicted[a:b])
+            if t == 0:
+                predicted[:b][~goes_on] = origin[:b][~goes_on]
+            v = np.multiply(predicted[a : a + ends], ahead[a : a + ends], out=origin[b : b + ends])
+            if t % SCALED == SCALED - 1 and ends:
+                scale[t] = np.maximum(v @ ONES, 1e-300)[:, None]
+                v /= scale[t]
+        # What follows a row's last token, in the scale of the row.
+        last = np.array(bound)[size - 1] + np.arange(len(some))
         beta = after[some]
-        for t in range(len(live) - 1, -1, -1):
-            a = live[t]
-            ends = live[t + 1] if t + 1 < len(live) else 0
-            if ends < a:  # rows whose last token this is: what follows, in the scale of the row
-                beta[ends:a] /= np.maximum((alpha[t][ends:] * beta[ends:a]).sum(axis=1), 1e-300)[:, None]
+        beta /= np.maximum((predicted[last] * ahead[last] * beta).sum(axis=1), 1e-300)[:, None]
+        for t in range(len(live) - 2, -1, -1):
+            a, b, ends = bound[t], bound[t + 1], live[t + 1]
             if ends:
-                ahead = beta[:ends] * m.emit[seq[at[:ends] + t + 1]] / scale[t + 1][:, None]
-                moved += (alpha[t][:ends].T @ ahead) * m.move
-                beta[:ends] = ahead @ m.move.T
-            gamma.append(alpha[t] * beta[:a])  # adds up to 1, as beta is in the scale of the row
-            where.append(at[:a] + t)
-        if live:
-            begun += gamma[-1][~goes_on[: live[0]]].sum(axis=0)
-            if goes_on.any():  # the step over the border into a segment
-                into = np.flatnonzero(goes_on[: live[0]])
-                ahead = beta[into] * m.emit[seq[at[into]]] / scale[0][into][:, None]
-                moved += (before[some][into].T @ ahead) * m.move
-            g, c = np.concatenate(gamma), seq[np.concatenate(where)]
-            for x in range(STATES):
-                emitted[:, x] += np.bincount(c, weights=g[:, x], minlength=CLASSES)
+                v = np.dot(ahead[b : b + ends], m.move.T, out=beta[:ends])
+                if t in scale:
+                    v /= scale[t]
+            ahead[a:b] *= beta[: b - a]
+        moved += (origin[len(some) :].T @ ahead[len(some) :]) * m.move
+        into = np.flatnonzero(goes_on)  # the step over the border into a segment
+        moved += (origin[into].T @ ahead[into]) * m.move
+        predicted *= ahead  # the states of each token: adds up to 1, as beta is in the scale of the row
+        begun += predicted[: len(some)][~goes_on].sum(axis=0)
+        classes, of = classes.astype(np.intp), np.ascontiguousarray(predicted.T)
+        for x in range(STATES):
+            emitted[:, x] += np.bincount(classes, weights=of[x], minlength=CLASSES)
 
 
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -322,26 +381,28 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", steps: int = 5,
         m = shared.value
         for batch in batches:
             for w in words_of(batch["t"]):
-                cls, at = m.classes(w)
-                size = np.diff(w.offs)
+                at, size = m.places(w.keys), np.diff(w.offs)
+                hit = at >= 0
+                rare = np.flatnonzero(~hit)
+                shared_by = w.rare(rare)
+                cls = at.copy()
+                cls[rare] = COMMON + shared_by
                 seq = np.full(len(cls) + len(size), END, np.uint16)
                 seq[np.arange(len(cls)) + np.repeat(np.arange(len(size)), size)] = cls
                 bounds = w.offs + np.arange(len(w.offs))
                 log, known = np.zeros(len(cls) + 1), np.zeros(len(cls) + 1, np.int64)
-                hit = at >= 0
-                np.cumsum(np.where(hit, np.log10((m.number[at] if len(m.number) else np.zeros(len(at))) + 0.5), 0), out=log[1:])
+                np.cumsum(np.append(m.log, 0.0)[at], out=log[1:])
                 np.cumsum(hit, out=known[1:])
                 # The row's words that aren't common, each with the times it occurs and its rare class.
-                rare = np.flatnonzero(~hit)
                 row = np.repeat(np.arange(len(size)), size)[rare]
                 order = np.lexsort((w.keys[rare], row))
-                rare, row = rare[order], row[order]
+                rare, row, shared_by = rare[order], row[order], shared_by[order]
                 new = np.ones(len(rare), bool)
                 new[1:] = (row[1:] != row[:-1]) | (w.keys[rare][1:] != w.keys[rare][:-1])
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(rare)))
                 offs = pa.array(np.searchsorted(row[first], np.arange(len(size) + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offs, pa.array(v)) for v in (w.keys[rare[first]], times << 12 | w.rare[rare[first]])]
+                lists = [pa.ListArray.from_arrays(offs, pa.array(v)) for v in (w.keys[rare[first]], times << 12 | shared_by[first])]
                 cols = [batch[c].slice(w.i, w.j - w.i) for c in ("uid", "doc_id", "held_out")]
                 sums = [pa.array(size + 1), pa.array(known[w.offs[1:]] - known[w.offs[:-1]]), pa.array(log[w.offs[1:]] - log[w.offs[:-1]])]
                 yield pa.RecordBatch.from_arrays([*cols, *sums, pa.array([seq[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), *lists], ["uid", "doc_id", "held_out", "n_tokens", "known", "log", "seq", "keys", "times"])

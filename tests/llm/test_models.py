@@ -163,6 +163,55 @@ def test_expected_counts_match_plain_forward_backward(monkeypatch):
     assert np.allclose(emitted, e2) and np.allclose(moved, m2) and np.allclose(begun, b2)
 
 
+def test_texts_of_usual_length_are_passed_once(monkeypatch):
+    passed, whole = [], hmm.forward
+    monkeypatch.setattr(hmm, "forward", lambda seq, first, size, *rest: passed.append(int(size.sum())) or whole(seq, first, size, *rest))
+    r = np.random.default_rng(4)
+    m = hmm.Model(np.zeros(0, np.int64), np.zeros(0, np.int64), np.full(hmm.STATES, 1 / hmm.STATES), np.full((hmm.STATES, hmm.STATES), 1 / hmm.STATES), r.random((hmm.CLASSES, hmm.STATES)))
+    offs = np.array([0, 5000, 5010, 11_000])
+    seq = r.integers(0, hmm.CLASSES, offs[-1]).astype(np.uint16)
+    hmm.likelihood(seq, offs, m)
+    assert sum(passed) == offs[-1]
+    emitted, moved, begun = np.zeros((hmm.CLASSES, hmm.STATES)), np.zeros((hmm.STATES, hmm.STATES)), np.zeros(hmm.STATES)
+    hmm.expected(seq, offs, m, emitted, moved, begun)
+    assert sum(passed) == offs[-1]  # the pass of the expected counts is its own
+    assert np.allclose(emitted.sum(axis=1), np.bincount(seq, minlength=hmm.CLASSES)) and np.isclose(moved.sum(), offs[-1] - 3) and np.isclose(begun.sum(), 3)
+
+
+def test_very_unlikely_words_between_scalings(monkeypatch):
+    monkeypatch.setattr(hmm, "GROUP", 40)
+    k = hmm.STATES
+    r = np.random.default_rng(5)
+    start, move, emit = r.random(k), r.random((k, k)), r.random((hmm.CLASSES, k)) * 1e-30
+    m = hmm.Model(np.zeros(0, np.int64), np.zeros(0, np.int64), start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
+    for size in range(1, 3 * hmm.SCALED + 2):
+        offs = np.array([0, size, 2 * size, 2 * size + 1])
+        seq = r.integers(0, 50, offs[-1]).astype(np.uint16)
+        emitted, moved, begun = np.zeros((hmm.CLASSES, k)), np.zeros((k, k)), np.zeros(k)
+        hmm.expected(seq, offs, m, emitted, moved, begun)
+        likely = hmm.Model(m.keys, m.number, m.start, m.move, emit * 1e30)
+        e2, m2, b2 = np.zeros((hmm.CLASSES, k)), np.zeros((k, k)), np.zeros(k)
+        hmm.expected(seq, offs, likely, e2, m2, b2)
+        assert np.allclose(emitted, e2) and np.allclose(moved, m2) and np.allclose(begun, b2)
+        assert np.allclose(hmm.likelihood(seq, offs, m), hmm.likelihood(seq, offs, likely) - 30 * math.log(10) * np.diff(offs))
+
+
+def test_words_and_their_places_among_common_ones():
+    texts = ["To be or not to BE", None, "", "be  x\ty x", "or"]
+    (w,) = hmm.words_of(pa.array(texts))
+    keys, rare, n = w.distinct()
+    assert sorted(n.tolist()) == sorted(Counter(t for x in texts for t in tokens(x)[:-1]).values())
+    assert rare.tolist() == [int(w.rare(np.flatnonzero(w.keys == k))[0]) for k in keys]
+    assert all((w.keys == k).sum() == c for k, c in zip(keys, n, strict=True))
+    # Words that share their upper bits, the least and the greatest one included.
+    common = np.unique(np.concatenate([np.arange(-20, 20, 2), [-1 << 63, (1 << 63) - 1], np.arange(1 << 50, (1 << 50) + 9, 3)]))
+    asked = np.concatenate([common, common[1:] - 1, common[:-1] + 1])
+    for some in (common, common[1:-1], common[:1], common[:0]):
+        m = hmm.Model(some, np.ones(len(some), np.int64), *[np.zeros(0)] * 3)
+        at = {int(k): i for i, k in enumerate(some)}
+        assert m.places(asked).tolist() == [at.get(int(k), -1) for k in asked]
+
+
 def test_score_edges(spark, written):
     table = written([(None, None, "en", "s", 0, "x", 9), (3, "", "en", "s", 0, "x", 9), (3, "Word word", "en", "s", 0, "x", 9)], DOCS)
     got = hmm.score(table, F.lit(False)).collect()
