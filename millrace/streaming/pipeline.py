@@ -19,8 +19,8 @@ from millrace.streaming.commits import Commits, Folder
 Transform = Callable[[DataFrame], DataFrame]
 
 #: A batch is merged in rounds of about this many bytes in files, by buckets: what is shuffled for a round goes before the next one begins.
-ROUND = 16 << 20
-MOST_ROUNDS = 16
+ROUND = 64 << 20
+MOST_ROUNDS = 6
 
 
 def rounds(numbers: Sequence[int], size: int) -> list[list[int]]:
@@ -100,10 +100,9 @@ class ViewTable:
         rest = sorted(c for c in log.columns if c not in (*self.key, self.seq, self.op))
         version = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
         events = log.select(*self.key, self.seq, self.op, version.alias("_version"), F.lit(1).alias("_new"))
-        if old is not None:
-            both = old.join(log.select(*self.key).distinct(), self._same(old, log), "left_semi")
+        if old is not None:  # all rows, as few columns: to find the keys of the log first would shuffle the others
             missing = [c for c in rest if c not in old.columns]
-            held = both.withColumns({c: F.lit(None).cast(log.schema[c].dataType) for c in missing})
+            held = old.withColumns({c: F.lit(None).cast(log.schema[c].dataType) for c in missing})
             events = events.unionByName(held.select(*self.key, self.seq, self.op, version.alias("_version"), F.lit(0).alias("_new")))
         return applied(events.withColumn("_at", F.struct("_new", self.seq)), F.col("_version"), self.key, "_at", self.op).where("_new = 1").count()
 
@@ -116,7 +115,7 @@ class ViewTable:
         rest = [c for c in log.columns if c not in (*self.key, self.seq, self.op)]
         log = log.withColumns({c: F.when(F.lower(self.op) == "delete", None).otherwise(F.col(c)) for c in rest})  # a delete has no content
         with Scratch(), tidy(self.spark):
-            log = written(log, "batch")
+            log = written(log, "batch", level=3)
             while True:
                 version, content = self.commits.newest()
                 if batch <= content.get("batches", {}).get(writer, -1):
@@ -136,7 +135,7 @@ class ViewTable:
         groups = rounds(touched, size + sum(self.folder.size(name) for name in held))
         for i, group in enumerate(groups):
             events = log.where(self._bucket(n).isin(*group)) if len(groups) > 1 else log
-            rows = self.merged(self._rows(content, group) if content else None, events).withColumn("_bucket", self._bucket(n)).repartition(max(1, len(group)), "_bucket")
+            rows = self.merged(self._rows(content, group) if content else None, events).withColumn("_bucket", self._bucket(n)).repartition(max(1, len(group)), "_bucket").sortWithinPartitions("_bucket")
             number = F.monotonically_increasing_id() + (i << 58)  # the ids of a job stay below 2^58
             numbered = rows.withColumn("_row", F.when(F.col("_new") == 1, number)).drop("_new")
             numbered.write.mode("append").options(**COMPRESSED).partitionBy("_bucket").parquet(f"{self.path}/{at}")
